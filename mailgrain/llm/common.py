@@ -87,14 +87,15 @@ def prefix_sums(lengths: Column) -> Column:
     return F.when(F.size(lengths) > 0, let(lengths, sums)).otherwise(F.array().cast("array<int>"))
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches of a Java pattern as array<struct<s,e,m>>: code-point start, end, matched text."""
+def spans(text: Column, pattern: str, size=F.length) -> Column:
+    """Leftmost non-overlapping matches of a Java pattern as array<struct<s,e,m>>: start, end, matched text. Places count
+    code points, or what ``size`` counts in a string."""
 
     def build(gaps: Column, found: Column) -> Column:
         sizes = F.zip_with(
             F.slice(gaps, F.lit(1), F.size(found)),
             found,
-            lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m")),
+            lambda g, m: F.struct(size(g).alias("g"), size(m).alias("m")),
         )
         return let(
             sizes,

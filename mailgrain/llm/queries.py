@@ -15,5 +15,11 @@ def op2_quality_rules(spark, sf_dir):
     )
 
 
+def op9_licenses(spark, sf_dir):
+    from .licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
