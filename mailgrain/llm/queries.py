@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import span_text, table
 
 
 def op2_quality_rules(spark, sf_dir):
@@ -15,6 +15,16 @@ def op2_quality_rules(spark, sf_dir):
     )
 
 
+def op4_secrets(spark, sf_dir):
+    from .secrets import scan_secrets
+
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex",
+        F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op9_licenses(spark, sf_dir):
     from .licenses import scan_licenses
 

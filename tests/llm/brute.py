@@ -44,7 +44,7 @@ PII = {
 SECRETS = {
     "assign": (
         r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
-        lambda m: len(m[2]) >= 8,
+        lambda m: len(m[2]) >= 8,  # ASCII letters only
     ),
     "access": (r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 16),
     "hex": (r"[0-9a-f]+", lambda m: len(m[0]) >= 32),
