@@ -7,6 +7,16 @@ from pyspark.sql import functions as F
 from .common import span_text, table
 
 
+def op1_pii(spark, sf_dir):
+    from .pii import find_pii
+
+    found = find_pii(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone",
+        F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op2_quality_rules(spark, sf_dir):
     from .quality_rules import quality_rules
 
