@@ -35,6 +35,12 @@ def op4_secrets(spark, sf_dir):
     )
 
 
+def op8_decontaminate(spark, sf_dir):
+    from .decontaminate import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_licenses(spark, sf_dir):
     from .licenses import scan_licenses
 
