@@ -25,6 +25,12 @@ def op2_quality_rules(spark, sf_dir):
     )
 
 
+def op3_near_dedup(spark, sf_dir):
+    from .near_dedup import find_near_duplicates
+
+    return find_near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark, sf_dir):
     from .secrets import scan_secrets
 
