@@ -41,6 +41,25 @@ def op4_secrets(spark, sf_dir):
     )
 
 
+def model_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op5_pieces(spark, sf_dir):
+    from .pieces import decode, encode
+
+    ids = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model_path())
+    return decode(ids, model_path()).select(
+        "doc_id",
+        F.size("piece_ids").cast("long").alias("n_pieces"),
+        F.xxhash64("piece_ids").alias("ids_hash"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
+    )
+
+
 def op8_decontaminate(spark, sf_dir):
     from .decontaminate import decontaminate
 
