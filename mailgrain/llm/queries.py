@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .common import span_text, table
+from .common import held_out, span_text, table
 
 
 def op1_pii(spark, sf_dir):
@@ -60,6 +60,27 @@ def op5_pieces(spark, sf_dir):
     )
 
 
+def op6_language(spark, sf_dir):
+    from .language import identify, learn, training_labels
+
+    docs = table(spark, sf_dir, "documents")
+    model = learn(docs.select("doc_id", "text"), training_labels(docs))
+    return identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"
+    )
+
+
+def op7_quality(spark, sf_dir):
+    from .quality import learn, rank, training_labels
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = learn(docs, training_labels(table(spark, sf_dir, "labels")))
+    return rank(docs, model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"), F.col("kept").alias("top_quantile"),
+    )
+
+
 def op8_decontaminate(spark, sf_dir):
     from .decontaminate import decontaminate
 
