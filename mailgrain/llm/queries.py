@@ -93,5 +93,11 @@ def op9_licenses(spark, sf_dir):
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op10_passages(spark, sf_dir):
+    from .passages import find_passages
+
+    return find_passages(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
