@@ -71,12 +71,19 @@ def decontaminate(
     max_broadcast_shingles: int = 2_000_000,
 ) -> DataFrame:
     """doc_id, item_id, n_shared, n_item, containment: a row for each document and item whose containment is reached."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
     full = scratch.write(item_shingles(benchmark, item_id, item_text), "items")
-    if full.limit(max_broadcast_shingles + 1).count() <= max_broadcast_shingles:
-        return _searched(docs, full, doc_id, text, containment, sketch)
-    return _joined(docs, full, doc_id, text, containment, sketch, scratch)
+    rows = _bounded(full, max_broadcast_shingles)
+    if rows is None:
+        return _joined(docs, full, doc_id, text, containment, sketch, scratch)
+    names = F.broadcast(full.select("item", "item_id").distinct())  # fewer rows than the shingles counted above
+    found = _searched(docs if rows else docs.limit(0), rows, doc_id, text, containment, sketch).join(names, "item")
+    return found.select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+
+
+def _bounded(full: DataFrame, most: int) -> list | None:
+    """The items' shingles if there are ``most`` at most."""
+    return full.collect() if full.limit(most + 1).count() <= most else None
 
 
 def _index(rows: list, sketch: int):
@@ -105,46 +112,47 @@ def _hits(h: np.ndarray, off: np.ndarray, keys: np.ndarray, owner: np.ndarray, n
     return np.unique(pair_key, return_counts=True)
 
 
-def _searched(docs: DataFrame, full: DataFrame, doc_id: str, text: str, containment: float, sketch: int) -> DataFrame:
+def _finder(index, containment: float):
+    """A function of texts that gives (text number, item's place, shared shingles) of the confirmed pairs."""
+    numbers, size, sketched, low, low_owner, keys, owner = index
+    quick = np.zeros(1 << 24, bool)  # a first test by the low bits: most hashes are in no item
+    quick[(low & np.uint64((1 << 24) - 1)).astype(np.int64)] = True
+
+    def find(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        h, off = shingle_hashes(*word_hashes(texts))
+        doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
+
+        def hits(rows: np.ndarray, keys: np.ndarray, owner: np.ndarray):
+            part = np.concatenate([[0], np.cumsum(np.bincount(doc[rows], minlength=len(off) - 1))])
+            return _hits(h[rows], part, keys, owner, len(size))
+
+        pair, got = hits(np.flatnonzero(quick[(h & np.uint64((1 << 24) - 1)).astype(np.int64)]), low, low_owner)
+        pair = pair[4 * got >= sketched[pair % len(size)]]
+        both, shared = hits(np.flatnonzero(np.isin(doc, np.unique(pair // len(size)))), keys, owner)
+        ok = np.isin(both, pair) & (shared >= containment * size[both % len(size)] - 1e-9)
+        return both[ok] // len(size), both[ok] % len(size), shared[ok]
+
+    return find
+
+
+def _searched(docs: DataFrame, rows: list, doc_id: str, text: str, containment: float, sketch: int) -> DataFrame:
+    """doc_id, item (its number), n_shared, n_item."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    item_kind = full.schema["item_id"].dataType.simpleString()
-    rows = full.collect()  # at most max_broadcast_shingles rows
-    empty = docs.select(F.col(doc_id).alias("doc_id")).limit(0)
-    columns = f"doc_id {kind}, item bigint, n_shared bigint, n_item bigint"
-    if not rows:
-        nothing = F.lit(None).cast("bigint")
-        return empty.select("doc_id", F.lit(None).cast(item_kind).alias("item_id"), nothing.alias("n_shared"), nothing.alias("n_item"), F.lit(None).cast("double").alias("containment"))
     index = docs.sparkSession.sparkContext.broadcast(_index(rows, sketch))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, size, sketched, low, low_owner, keys, owner = index.value
-        quick = np.zeros(1 << 24, bool)  # a first test by the low bits: most hashes are in no item
-        quick[(low & np.uint64((1 << 24) - 1)).astype(np.int64)] = True
+        numbers, size = index.value[:2]
+        find = _finder(index.value, containment)
         for whole in batches:
             for b in pieces(whole, "text"):
-                h, off = shingle_hashes(*word_hashes(b.column("text")))
-                doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
-                may = np.flatnonzero(quick[(h & np.uint64((1 << 24) - 1)).astype(np.int64)])
-                off_may = np.concatenate([[0], np.cumsum(np.bincount(doc[may], minlength=len(off) - 1))])
-                pair, got = _hits(h[may], off_may, low, low_owner, len(size))
-                pair = pair[4 * got >= sketched[pair % len(size)]]
-                texts = np.unique(pair // len(size))
-                if not len(texts):
-                    continue
-                some = np.isin(doc, texts)
-                off_some = np.concatenate([[0], np.cumsum(np.bincount(doc[some], minlength=len(off) - 1))])
-                both, shared = _hits(h[some], off_some, keys, owner, len(size))
-                ok = np.isin(both, pair) & (shared >= containment * size[both % len(size)] - 1e-9)
-                both, shared = both[ok], shared[ok]
-                at = both % len(size)
+                doc, at, shared = find(b.column("text"))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(pa.array(both // len(size))), pa.array(numbers[at]), pa.array(shared), pa.array(size[at])],
+                    [b.column("doc_id").take(pa.array(doc)), pa.array(numbers[at]), pa.array(shared), pa.array(size[at])],
                     ["doc_id", "item", "n_shared", "n_item"],
                 )
 
-    found = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, columns)
-    names = F.broadcast(full.select("item", "item_id").distinct())  # fewer rows than the shingles counted above
-    return found.join(names, "item").select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return texts.mapInArrow(run, f"doc_id {kind}, item bigint, n_shared bigint, n_item bigint")
 
 
 def _joined(docs, full, doc_id, text, containment, sketch, scratch) -> DataFrame:
@@ -178,9 +186,35 @@ def _joined(docs, full, doc_id, text, containment, sketch, scratch) -> DataFrame
     return pairs.select("doc_id", "item_id", "n_shared", F.col("n").alias("n_item"), (F.col("n_shared") / F.col("n")).alias("containment"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents, all columns, that hold no item. Rows are told apart by a key of their own, so null or repeated ids
-    neither drop nor keep others; contaminated keys are few and joined as Spark sees fit."""
-    rows = Scratch(docs.sparkSession).write(docs.withColumn("_row", F.monotonically_increasing_id()), "decontaminate_rows")
-    bad = decontaminate(rows, benchmark, doc_id="_row", **options).select(F.col("doc_id").alias("_row")).distinct()
-    return rows.join(bad, "_row", "left_anti").select(*docs.columns)
+def drop_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    containment: float = 0.8,
+    sketch: int = 24,
+    max_broadcast_shingles: int = 2_000_000,
+) -> DataFrame:
+    """The documents, all columns, that hold no item. With a broadcast benchmark this filters rows where they are; else
+    rows get keys of their own, so that null or repeated ids neither drop nor keep others."""
+    scratch = Scratch(docs.sparkSession)
+    full = scratch.write(item_shingles(benchmark, item_id, item_text), "items")
+    rows = _bounded(full, max_broadcast_shingles)
+    if rows is None:
+        keyed = scratch.write(docs.withColumn("_row", F.monotonically_increasing_id()), "decontaminate_rows")
+        bad = _joined(keyed, full, "_row", text, containment, sketch, scratch).select(F.col("doc_id").alias("_row")).distinct()
+        return keyed.join(bad, "_row", "left_anti").select(*docs.columns)
+    if not rows:
+        return docs
+    index = docs.sparkSession.sparkContext.broadcast(_index(rows, sketch))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = _finder(index.value, containment)
+        for whole in batches:
+            for b in pieces(whole, text):
+                clean = np.ones(b.num_rows, bool)
+                clean[find(b.column(text))[0]] = False
+                yield b.filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -261,9 +261,9 @@ def find_near_duplicates(
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One document of each component, all columns. Rows get keys of their own for this, so that null or repeated ids don't
-    matter; the key order follows the table's, and the first row of a component stays."""
-    rows = Scratch(docs.sparkSession).write(docs.withColumn("_row", F.monotonically_increasing_id()), "dedup_rows")
-    found = find_near_duplicates(rows, "_row", text, **options)
-    gone = found.filter("NOT kept").select(F.col("doc_id").alias("_row"))
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    """One row of each component, all columns: the one with the smallest id. Rows are written once with a key that puts null
+    ids last and tells repeated ids apart."""
+    key = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), F.monotonically_increasing_id().alias("row"))
+    rows = Scratch(docs.sparkSession).write(docs.withColumn("_key", key), "dedup_rows")
+    gone = find_near_duplicates(rows, "_key", text, **options).filter("NOT kept").select(F.col("doc_id.row").alias("_row"))
+    return rows.join(gone, rows["_key.row"] == gone["_row"], "left_anti").select(*docs.columns)

@@ -116,9 +116,9 @@ def conditions() -> list[tuple[int, int]]:
     return [(f, v) for f, n in enumerate(LEVELS) for v in range(1, n)]
 
 
-def measure(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, base spans of each kind, and candidates as array<struct<s,e,g,c>> with generator and feature cell."""
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+def measure(docs: DataFrame, text: str, carry: Column) -> DataFrame:
+    """carried, base spans of each kind, and candidates as array<struct<s,e,g,c>> with generator and feature cell."""
+    d = docs.select(carry.alias("carried"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     t = F.col("t")
     guard = {"email": t.contains("@"), "phone": t.contains("+"), "ipv6": t.contains(":")}
 
@@ -141,7 +141,7 @@ def measure(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         return F.transform(found(g, p), described)
 
     candidates = F.concat(*[proposed(i, g, p) for i, (g, p) in enumerate(GENERATORS.items())])
-    d = d.select("doc_id", *base, candidates.alias("candidates"))
+    d = d.select("carried", *base, candidates.alias("candidates"))
     known = F.concat(*KINDS)
     return d.withColumn(
         "candidates",
@@ -226,10 +226,11 @@ def score_of(cell_number: Column, model) -> Column:
     return out
 
 
-def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", precision: float = 0.9) -> DataFrame:
-    """doc_id, n_<kind>, base and spans (arrays of k, s, e, kind, by kind as listed and start)."""
-    m = Scratch(docs.sparkSession).write(measure(docs, doc_id, text), "pii")
-    model = fit(m, precision)
+def spans_with(docs: DataFrame, text: str, carry: Column, precision: float) -> DataFrame:
+    """carried, n_<kind>, base and spans. The candidates are written once, as the fit and the result need them; what is
+    carried goes with them, so nothing has to be joined back."""
+    m = Scratch(docs.sparkSession).write(measure(docs, text, carry), "pii")
+    model = fit(m.drop("carried"), precision)
     names = [*KINDS, *[f"{g}_like" for g in GENERATORS]]
 
     def named(a: Column, k) -> Column:
@@ -251,40 +252,53 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", precis
             lambda x: F.coalesce(~x["overlaps"] & (score_of(x["c"], model) >= F.get(cuts, x["g"])), F.lit(False)),
         )
     return m.select(
-        "doc_id",
+        "carried",
         *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
         base.alias("base"),
         F.array_sort(F.concat(base, named(extra, lambda x: x["g"] + len(KINDS)))).alias("spans"),
     )
 
 
-def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", precision: float = 0.9) -> DataFrame:
-    """The same columns, with each found span replaced by its kind in brackets and ``n_chars`` brought up to date.
-
-    Text and spans must meet in one row, also where ids are null or repeated, so each row gets a key before its text is
-    read twice: the documents are written once with it."""
-    spark = docs.sparkSession
-    rows = Scratch(spark).write(docs.withColumn("_row", F.monotonically_increasing_id()), "pii_rows")
-    found = find_pii(rows, "_row", text, precision).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_row"), "spans")
-    both = rows.join(found, "_row", "left")
-    ordered = F.array_sort(F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
-    t = F.col(text)
-    done = F.aggregate(
-        ordered,
-        F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("at")),
-        lambda a, x: F.when(
-            x["s"] >= a["at"],
-            F.struct(
-                F.concat(
-                    a["parts"],
-                    F.array(F.substring(t, a["at"] + 1, x["s"] - a["at"]), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))),
-                ).alias("parts"),
-                x["e"].alias("at"),
+def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", precision: float = 0.9) -> DataFrame:
+    """doc_id, n_<kind>, base and spans (arrays of k, s, e, kind, by kind as listed and start)."""
+    return spans_with(docs, text, F.col(doc_id), precision).withColumnRenamed("carried", "doc_id")
+
+
+def redact(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", precision: float = 0.9) -> DataFrame:
+    """The same rows and columns, with each found span replaced by its kind in brackets and ``n_chars`` brought up to date;
+    of overlapping spans the first one is named and the rest of the others goes with it. Rows without a span don't change."""
+    found = spans_with(docs, text, F.struct(*[F.col(f"`{c}`") for c in docs.columns]), precision)
+    place = F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind")))
+    t = F.col("carried").getField(text)
+
+    def cut(spans: Column) -> Column:
+        """The text between spans, and names for the spans. Where spans overlap, the largest end so far counts."""
+        ends = F.transform(spans, lambda x, i: F.coalesce(F.array_max(F.transform(F.slice(spans, F.greatest(i - 7, F.lit(1)), F.least(i, F.lit(8))), lambda y: y["e"])), F.lit(0)))
+        return let(
+            ends,
+            lambda before: F.concat(
+                F.array_join(
+                    F.transform(
+                        spans,
+                        lambda x, i: F.when(
+                            x["s"] >= F.get(before, i),
+                            F.concat(
+                                F.substring(t, F.get(before, i) + 1, x["s"] - F.get(before, i)), F.lit("["), F.upper(x["kind"]), F.lit("]")
+                            ),
+                        ).otherwise(F.lit("")),
+                    ),
+                    "",
+                ),
+                F.substring(t, F.array_max(F.transform(spans, lambda x: x["e"])) + 1, F.length(t)),
             ),
-        ).otherwise(F.struct(a["parts"].alias("parts"), F.greatest(a["at"], x["e"]).alias("at"))),
-        lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(t, a["at"] + 1, F.length(t))),
+        )
+
+    out = found.select(
+        *[F.col("carried").getField(c).alias(c) for c in docs.columns if c != text and c != n_chars],
+        F.when(F.size("spans") > 0, let(F.array_sort(place), cut)).otherwise(t).alias(text),
+        *([F.col("carried").getField(n_chars).alias("_n"), F.size("spans").alias("_spans")] if n_chars in docs.columns else []),
     )
-    out = both.withColumn(text, F.when(F.col("spans").isNotNull(), done).otherwise(t))
     if n_chars in docs.columns:
-        out = out.withColumn(n_chars, F.when(F.col("spans").isNotNull(), F.length(text).cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars)))
-    return out.select(*docs.columns)
+        changed = F.when(F.col("_spans") > 0, F.length(text).cast(docs.schema[n_chars].dataType)).otherwise(F.col("_n"))
+        out = out.withColumn(n_chars, changed)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

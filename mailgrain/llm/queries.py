@@ -99,5 +99,11 @@ def op10_passages(spark, sf_dir):
     return find_passages(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark, sf_dir):
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
 def queries():
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    return {k: f for k, f in globals().items() if (k.startswith("op") or k == "pipeline") and callable(f)}
