@@ -31,10 +31,23 @@ def pieces(batch: pa.RecordBatch, text: str, max_bytes: int = 32 << 20) -> Itera
         yield batch.slice(start)
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+
+
+def lower(texts: pa.Array) -> pa.Array:
+    """A-Z lower-cased; null becomes empty. By table over the bytes: Arrow's own kernel now and then returned other bytes."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    part = _LOWER[data[offsets[0] : offsets[-1]]]
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets - offsets[0]), pa.py_buffer(part))
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, text after text, and the offsets of the texts in them. A null text has no words."""
-    texts = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    lists = pc.ascii_split_whitespace(texts)
+    lists = pc.ascii_split_whitespace(lower(texts))
     flat = lists.flatten()
     coded = pc.dictionary_encode(flat)
     words = coded.dictionary.to_pylist()
