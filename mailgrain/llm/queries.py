@@ -107,3 +107,7 @@ def pipeline(spark, sf_dir):
 
 def queries():
     return {k: f for k, f in globals().items() if (k.startswith("op") or k == "pipeline") and callable(f)}
+
+
+def oracle_sql():
+    return {}
