@@ -36,15 +36,15 @@ def subject_parts(subject: Column) -> Column:
     head = F.regexp_extract(rest, r"^((?:\s*\[[^\]]*\])*)", 1)
     tags = F.transform(F.regexp_extract_all(head, F.lit(r"\[([^\]]*)\]"), F.lit(1)), lambda t: F.trim(t))
     words = F.flatten(F.transform(tags, lambda t: F.split(t, r"\s+")))
-    version = F.element_at(
-        F.filter(F.transform(words, lambda w: F.regexp_extract(w, r"^(?i)v([0-9]{1,6})$", 1)), lambda v: (v != "") & (v.cast("int") > 0)), -1
+    version = F.try_element_at(
+        F.filter(F.transform(words, lambda w: F.regexp_extract(w, r"^(?i)v([0-9]{1,6})$", 1)), lambda v: (v != "") & (v.cast("int") > 0)), F.lit(-1)
     )
-    place = F.element_at(
+    place = F.try_element_at(
         F.filter(
             F.transform(words, lambda w: F.struct(F.regexp_extract(w, r"^([0-9]{1,6})/([0-9]{1,6})$", 1).alias("i"), F.regexp_extract(w, r"^([0-9]{1,6})/([0-9]{1,6})$", 2).alias("n"))),
             lambda p: (p["n"] != "") & (p["n"].cast("int") > 0),
         ),
-        -1,
+        F.lit(-1),
     )
     named = F.array_distinct(
         F.flatten(F.transform(tags, lambda t: F.when(F.upper(t).contains("PATCH"), F.array(t, F.lit("PATCH"))).otherwise(F.array(t))))
@@ -52,7 +52,7 @@ def subject_parts(subject: Column) -> Column:
     return F.struct(
         F.trim(F.substring(rest, F.length(head) + 1, F.length(rest))).alias("normalized"),
         named.alias("tags"),
-        F.coalesce(F.try_element_at(F.array(version), F.lit(1)).cast("int"), F.lit(0)).alias("version"),
+        F.coalesce(version.cast("int"), F.lit(0)).alias("version"),
         place["i"].cast("int").alias("index"),
         place["n"].cast("int").alias("total"),
         F.coalesce(place["i"].cast("int") == 0, F.lit(False)).alias("cover"),
@@ -84,7 +84,7 @@ def scrubbed(prose: Column) -> Column:
 
 def trailer_lines(prose: Column) -> Column:
     """array<struct<name,value>> of distinct trailer-shaped lines, names lower-cased."""
-    lines = F.array_distinct(F.filter(F.transform(F.split(prose, "\n"), F.trim), lambda x: x.rlike(TRAILER_LINE)))
+    lines = F.array_distinct(F.filter(F.transform(F.split(prose, "\n"), lambda x: F.trim(x)), lambda x: x.rlike(TRAILER_LINE)))
     return F.transform(
         lines,
         lambda x: F.struct(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.predicates import top
 from ..schema import MESSAGES
@@ -27,7 +28,7 @@ def write_messages(m: DataFrame, path: str, run: str, mode: str = "append") -> N
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
     """The latest run's row of each (message_id, list)."""
-    m = spark.read.schema(MESSAGES.add("run", "string")).parquet(path)
+    m = spark.read.schema(T.StructType([*MESSAGES.fields, T.StructField("run", T.StringType())])).parquet(path)
     latest = W.partitionBy("message_id", "list").orderBy(F.desc("run"))
     return m.withColumn("_rn", F.row_number().over(latest)).filter("_rn = 1").drop("_rn")
 
