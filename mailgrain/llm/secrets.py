@@ -66,9 +66,8 @@ def randomness(token: Column) -> Column:
             var = (mu - 1) * (mu - 2) / (n - 1)
             run_score = F.when(var > 0, (runs - mu) / F.sqrt(var)).otherwise(F.lit(9.0))
             mean = F.aggregate(x, F.lit(0.0), lambda a, c: a + c) / n
-            centred = F.transform(x, lambda c: c - mean)
             serial = let(
-                centred,
+                let(mean, lambda m: F.transform(x, lambda c: c - m)),  # bound first: a lambda's body is evaluated per element
                 lambda d: F.try_divide(
                     F.aggregate(
                         F.zip_with(F.slice(d, F.lit(1), F.size(d) - 1), F.slice(d, F.lit(2), F.size(d) - 1), lambda a, b: a * b),
