@@ -291,6 +291,7 @@ def decode(docs: DataFrame, model_path: str, ids: str = "piece_ids", text: str =
         pool = np.frombuffer(b"".join(strings), np.uint8)
         begin = np.cumsum(size) - size
         blank = np.array([p.startswith(BLANK) for p in m["piece"]] + [False])
+        control = np.array([k == "control" for k in m["kind"]] + [False])
         column = b.column(ids)
         flat = np.asarray(column.flatten().fill_null(-1), np.int64)
         flat = np.where((flat >= 0) & (flat < len(m["piece"])), flat, len(m["piece"]))
@@ -298,7 +299,10 @@ def decode(docs: DataFrame, model_path: str, ids: str = "piece_ids", text: str =
         off = np.concatenate([[0], np.cumsum(lengths)])
         data = pool[ragged(begin[flat], size[flat])].tobytes()
         places = np.concatenate([[0], np.cumsum(size[flat])])[off]
-        drop = np.array([lengths[i] > 0 and blank[flat[off[i]]] for i in range(len(lengths))], bool)
+        # The first piece with a surface loses a leading blank; control pieces before it have none.
+        shown = np.append(np.flatnonzero(~control[flat]), len(flat))
+        first = shown[np.searchsorted(shown, off[:-1])]
+        drop = (first < off[1:]) & blank[np.append(flat, -1)[first]]
         null = column.is_null().to_pylist()
         out = [None if null[i] else data[places[i] + drop[i] : places[i + 1]].decode("utf-8", "mailgrain_byte") for i in range(len(lengths))]
         yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names[:-1]], pa.array(out, pa.string())], names)
