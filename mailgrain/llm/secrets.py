@@ -5,7 +5,7 @@ base32, lower-case alphanumeric or base64, and three tests measure how far it is
 alphabet: chi-squared of the character counts, runs above and below the alphabet's middle, and lag-one serial correlation.
 Their sum of squares is small for random tokens. Tokens of letters alone stand for ordinary language: their distribution,
 over all documents, gives each length class its null, against which tokens with a digit get p-values; Benjamini-Hochberg
-within the length class picks the cut. The null of a class pools the shorter classes too, which errs towards fewer finds.
+within the length class picks the cut, which never passes tokens whose tests reject uniformity at 0.001. The null of a class pools the shorter classes too, which errs towards fewer finds.
 
 Defined results: null or empty text has no spans; repeated rows are scanned one by one; an empty table gives an empty
 result; only the id and text columns are read. Spans of the method that overlap a base span are left out.
@@ -34,6 +34,8 @@ ALPHABETS = {
 }
 LENGTHS = (24, 32, 48)
 BIN, BINS = 0.5, 120
+# Fixed value: 0.999 quantile of chi-squared with three degrees of freedom; three tests of a uniform token sum to less.
+UNIFORM = 16.27
 
 
 def randomness(token: Column) -> Column:
@@ -138,6 +140,7 @@ def cuts(measured: DataFrame, rate: float) -> DataFrame:
     upto, whole = W.partitionBy("c").orderBy("b"), W.partitionBy("c")
     p = (F.sum("words").over(upto) + 1) / (F.sum("words").over(whole) + 1)
     h = both.select("c", "b", p.alias("p"), F.sum("keys").over(upto).alias("found"), F.sum("keys").over(whole).alias("m"))
+    h = h.filter(F.col("b") * BIN <= UNIFORM)
     return h.filter((F.col("found") > 0) & (F.col("p") * F.col("m") <= rate * F.col("found"))).groupBy("c").agg(F.max("b").alias("cut"))
 
 
