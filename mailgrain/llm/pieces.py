@@ -16,7 +16,7 @@ null. A blank piece of the text itself (U+2581) decodes to a space, as in the li
 from __future__ import annotations
 
 import codecs
-import uuid
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +27,8 @@ from pyspark.sql import types as T
 from .shingles import pieces as slices
 
 BLANK = "▁"
+#: Bytes of text, or pieces, that a worker handles at once; its arrays take some hundred times as much memory.
+SLICE = 1 << 20
 codecs.register_error("mailgrain_byte", lambda e: ("�", e.start + 1))
 
 
@@ -244,7 +246,7 @@ class Vocabulary:
         return lo
 
 
-_known: dict[str, Vocabulary] = {}  # a worker's vocabularies with their pairs, by broadcast
+_known: dict[str, Vocabulary] = {}  # a worker's last vocabulary with its pairs, by the content of its model
 
 
 def _with_column(docs: DataFrame, name: str, kind: T.DataType, make) -> DataFrame:
@@ -261,12 +263,13 @@ def _with_column(docs: DataFrame, name: str, kind: T.DataType, make) -> DataFram
 def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "piece_ids") -> DataFrame:
     """All columns, and the ids of the text's pieces as array<int>."""
     model = docs.sparkSession.sparkContext.broadcast(load(model_path))
-    number = uuid.uuid4().hex
+    number = hashlib.sha256(repr(sorted(model.value.items())).encode()).hexdigest()
 
     def make(whole: pa.RecordBatch, names: list[str]) -> Iterator[pa.RecordBatch]:
         if number not in _known:
+            _known.clear()
             _known[number] = Vocabulary(model.value)
-        for b in slices(whole, text, 8 << 20):
+        for b in slices(whole, text, SLICE):
             texts = b.column(text).to_pylist()
             flat, off = _known[number].encode([t or "" for t in texts])
             null = pa.array([t is None for t in texts])
@@ -280,7 +283,7 @@ def decode(docs: DataFrame, model_path: str, ids: str = "piece_ids", text: str =
     """All columns, and the text of the pieces."""
     model = docs.sparkSession.sparkContext.broadcast(load(model_path))
 
-    def make(b: pa.RecordBatch, names: list[str]) -> Iterator[pa.RecordBatch]:
+    def make(whole: pa.RecordBatch, names: list[str]) -> Iterator[pa.RecordBatch]:
         m = model.value
         strings = []
         for p, k in zip(m["piece"], m["kind"], strict=True):
@@ -292,19 +295,19 @@ def decode(docs: DataFrame, model_path: str, ids: str = "piece_ids", text: str =
         begin = np.cumsum(size) - size
         blank = np.array([p.startswith(BLANK) for p in m["piece"]] + [False])
         control = np.array([k == "control" for k in m["kind"]] + [False])
-        column = b.column(ids)
-        flat = np.asarray(column.flatten().fill_null(-1), np.int64)
-        flat = np.where((flat >= 0) & (flat < len(m["piece"])), flat, len(m["piece"]))
-        lengths = np.asarray(column.value_lengths().fill_null(0), np.int64)
-        off = np.concatenate([[0], np.cumsum(lengths)])
-        data = pool[ragged(begin[flat], size[flat])].tobytes()
-        places = np.concatenate([[0], np.cumsum(size[flat])])[off]
-        # The first piece with a surface loses a leading blank; control pieces before it have none.
-        shown = np.append(np.flatnonzero(~control[flat]), len(flat))
-        first = shown[np.searchsorted(shown, off[:-1])]
-        drop = (first < off[1:]) & blank[np.append(flat, -1)[first]]
-        null = column.is_null().to_pylist()
-        out = [None if null[i] else data[places[i] + drop[i] : places[i + 1]].decode("utf-8", "mailgrain_byte") for i in range(len(lengths))]
-        yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names[:-1]], pa.array(out, pa.string())], names)
+        for b in slices(whole, ids, SLICE):
+            column = b.column(ids)
+            flat = np.asarray(column.flatten().fill_null(-1), np.int64)
+            flat = np.where((flat >= 0) & (flat < len(m["piece"])), flat, len(m["piece"]))
+            off = np.concatenate([[0], np.cumsum(np.asarray(column.value_lengths().fill_null(0), np.int64))])
+            data = pool[ragged(begin[flat], size[flat])].tobytes()
+            places = np.concatenate([[0], np.cumsum(size[flat])])[off]
+            # The first piece with a surface loses a leading blank; control pieces before it have none.
+            shown = np.append(np.flatnonzero(~control[flat]), len(flat))
+            first = shown[np.searchsorted(shown, off[:-1])]
+            drop = (first < off[1:]) & blank[np.append(flat, -1)[first]]
+            null = column.is_null().to_pylist()
+            out = [None if null[i] else data[places[i] + drop[i] : places[i + 1]].decode("utf-8", "mailgrain_byte") for i in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names[:-1]], pa.array(out, pa.string())], names)
 
     return _with_column(docs, text, T.StringType(), make)

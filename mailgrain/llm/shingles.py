@@ -19,8 +19,11 @@ _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def pieces(batch: pa.RecordBatch, text: str, max_bytes: int = 32 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about ``max_bytes`` of text, so that many long texts don't add up; a longer one stands alone."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    """Slices of a batch with about ``max_bytes`` of text (or items of lists), so that many long texts don't add up; a longer
+    one stands alone."""
+    column = batch.column(text)
+    length = pc.list_value_length if pa.types.is_list(column.type) else pc.binary_length
+    sizes = pc.fill_null(length(column), 0).to_numpy(zero_copy_only=False)
     start = total = 0
     for i, n in enumerate(sizes):
         if total + n > max_bytes and i > start:
