@@ -75,7 +75,7 @@ def op7_quality(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = learn(docs, training_labels(table(spark, sf_dir, "labels")))
-    return rank(docs, model).select(
+    return rank(docs, model, carry=["doc_id"]).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"), F.col("kept").alias("top_quantile"),
     )

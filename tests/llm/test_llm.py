@@ -324,6 +324,36 @@ def test_quality(spark, docs):
     assert rank(docs.limit(0), model).collect() == []
 
 
+def test_quality_with_a_capped_label(spark):
+    """Scores and cut at the true share of the labels, also where one label has more texts than are learnt from; the cut is
+    taken over the scored documents."""
+    import random
+
+    import numpy as np
+
+    from mailgrain.llm.quality import at_share, in_order, learn, rank
+
+    rng = random.Random(3)
+
+    def text(label):
+        odd = rng.random() < (0.3 if label else 0.7)
+        return " ".join(rng.choice(["the", "plain", "words", "run"]) + ("!" if odd and rng.random() < 0.3 else "") for _ in range(40))
+
+    labels = [int(i % 7 > 0) for i in range(1400)]
+    d = spark.createDataFrame([(i, text(x)) for i, x in enumerate(labels)], "doc_id bigint, text string").cache()
+    known = spark.createDataFrame(list(enumerate(labels)), "doc_id bigint, label int")
+    for per_label in (150, 5000):
+        got = rank(d, learn(d, known, per_label=per_label), carry=["doc_id"]).collect()
+        mean, kept = np.mean([r["score"] for r in got]), np.mean([r["kept"] for r in got])
+        assert abs(mean - 6 / 7) < 0.04 and abs(kept - 6 / 7) < 0.01, (per_label, mean, kept)
+    half = rank(d.filter("doc_id % 7 = 0"), learn(d, known, per_label=150, quantile=0.5)).filter("kept").count()
+    assert abs(half - 100) <= 3
+    values = np.array([rng.gauss(0, 1) for _ in range(501)] + [0.0, -0.0, 1e300, -1e300])
+    numbers = spark.createDataFrame([(int(x),) for x in in_order(values)], "x bigint")
+    for share in (0, 0.143, 0.5, 1):
+        assert at_share(numbers, "x", share) == in_order(np.sort(values))[int(np.ceil(share * 504))]
+
+
 def test_passages(spark, docs):
     import random
 
