@@ -1,9 +1,9 @@
 """License scan with a positional rare-token index (native DataFrame operations only).
 
 Exact phrases give base labels. For the method, the license words of each file are ranked by inverse document frequency
-over the whole corpus; the rarest ``top_k`` kinds of them are looked up in the postings of the license templates, matches
-are counted by template and relative position, and a template whose count reaches ``min_votes`` at one relative position is
-accepted if all its mandatory key phrases stand in the file.
+over the whole corpus. Each template whose mandatory key phrases all stand in the file looks up its own rarest ``top_k``
+kinds of them, so notices of one file don't take words from each other; matches are counted by template and relative
+position, and a template whose count reaches ``min_votes`` at one relative position is accepted.
 
 Defined results: null or empty text has no words, no labels and score 0; repeated rows are scanned one by one; an empty
 table gives an empty result; only the id and text columns are read.
@@ -151,22 +151,35 @@ def scan_licenses(
         ]
     )
 
-    def rarest(hits: Column, table: Column) -> Column:
-        kinds = F.array_distinct(F.transform(hits, lambda h: h["m"]))
+    template_words = F.array(*[F.array(*map(F.lit, sorted(set(words.split()) & set(index_words())))) for _, words, _ in TEMPLATES])
+
+    def rarest(kinds: Column, table: Column) -> Column:
         ranked = F.sort_array(
             F.transform(kinds, lambda w: F.struct((-F.coalesce(F.try_element_at(table, w), F.lit(0.0))).alias("r"), w.alias("w")))
         )
         return F.transform(F.slice(ranked, 1, top_k), lambda x: x["w"])
 
-    def votes(hits: Column, chosen: Column) -> Column:
-        """Sorted (template, relative position), once for each agreeing hit."""
-        agreeing = F.transform(
-            F.filter(hits, lambda h: F.array_contains(chosen, h["m"])),
-            lambda h: F.transform(
-                F.try_element_at(posting_map, h["m"]), lambda x: F.struct(x["t"].alias("t"), (h["w"] - x["p"]).alias("d"))
-            ),
+    def votes(hits: Column, keys: Column, table: Column) -> Column:
+        """Sorted (template, relative position), once for each agreeing hit of a template's own rarest words."""
+
+        def of(t: Column, chosen: Column) -> Column:
+            agreeing = F.filter(hits, lambda h: F.array_contains(chosen, h["m"]))
+            places = lambda h: F.filter(F.try_element_at(posting_map, h["m"]), lambda x: x["t"] == t)
+            return F.flatten(
+                F.transform(agreeing, lambda h: F.transform(places(h), lambda x: F.struct(x["t"].alias("t"), (h["w"] - x["p"]).alias("d"))))
+            )
+
+        kinds = F.array_distinct(F.transform(hits, lambda h: h["m"]))
+        return F.sort_array(
+            F.flatten(
+                let(
+                    kinds,
+                    lambda k: F.transform(
+                        keys, lambda t: let(rarest(F.array_intersect(k, F.get(template_words, t)), table), lambda c: of(t, c))
+                    ),
+                )
+            )
         )
-        return F.sort_array(F.flatten(agreeing))
 
     def accepted(v: Column, keys: Column) -> Column:
         """(template, votes) of each run of equal pairs that is long enough, for templates with all their key phrases."""
@@ -197,7 +210,7 @@ def scan_licenses(
         "found",
         F.when(
             F.size("hits") > 0,
-            let(rarest(F.col("hits"), F.col("idf")), lambda c: let(votes(F.col("hits"), c), lambda v: accepted(v, F.col("keys")))),
+            let(votes(F.col("hits"), F.col("keys"), F.col("idf")), lambda v: accepted(v, F.col("keys"))),
         ).otherwise(F.array().cast("array<struct<t:int,n:int>>")),
     )
     base = F.transform("base", lambda b: F.element_at(phrase_label, b["m"]))

@@ -165,6 +165,17 @@ def test_license_templates(spark):
     assert got[5]["n_base"] == 500 and got[5]["score"] == 1.0 and got[4]["score"] == 0.0 and 0 < got[1]["score"] <= 1
 
 
+def test_license_of_each_notice(spark):
+    """A file with many notices has the label of each."""
+    from mailgrain.llm.licenses import TEMPLATES, scan_licenses
+
+    notices = [next(text for name, text, _ in TEMPLATES[::-1] if name == label) for label in ("mit", "bsd", "mpl-2", "lgpl", "gpl-3", "unlicense")]
+    rows = [(1, "\n\nPart.\n".join(notices)), (2, notices[1]), (3, "\n".join(text for _, text, _ in TEMPLATES))]
+    got = keyed(scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got[1]["labels"] == "bsd,gpl-3,lgpl,mit,mpl-2,unlicense" and got[2]["labels"] == "bsd"
+    assert set(got[3]["labels"].split(",")) == {label for label, _, _ in TEMPLATES}
+
+
 def near_copies():
     import random
 
