@@ -2,14 +2,20 @@
 
 Base spans: e-mail and IP addresses, payment cards and phone numbers, by pattern and validator. For the method, high-recall
 generators propose overlapping candidate spans; each is reduced to a few discrete format and context features; boosted
-two-level trees are fitted to how often candidates with the same features are validated base spans; a threshold per generator
-is calibrated to a wanted precision; candidates that pass and overlap no base span are added as ``<generator>_like``.
+two-level trees are fitted to how often candidates with the same features are valid; a threshold per generator is calibrated
+to a wanted precision; candidates that pass and overlap no base span are added as ``<generator>_like``.
+
+A candidate is valid if it is a validated base span or proves itself: an IPv6 address by its syntax (with a digit in it, if
+it is shortened by ``::``), an IBAN by its country's length and its check digits (modulo 97), a written-out e-mail address
+(``a at b dot com``, ``a [at] b.com``) by being one once normalised. One that proves itself is added whatever the trees
+say, and (e-mails apart) also where it overlaps base spans that don't cover it; `` at `` alone, with plain dots, proves nothing
+and is left to the trees.
 
 The trees see all documents: candidates are counted by feature cell in Spark, and only that table, at most ``n_cells()``
 rows however large the input, reaches the driver. The fitted trees go back as one native expression.
 
 Defined results: null or empty text has no spans; repeated rows are scanned one by one; an empty table, or one without a
-validated span, gives no added spans; only the id and text columns are read.
+valid candidate, gives no added spans; only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -30,12 +36,25 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+# IBAN lengths by country, as registered.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN = "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+_H, _V4 = "[0-9A-Fa-f]{1,4}", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
+IPV6_WHOLE = rf"(?:{_H}:){{7}}{_H}|(?:{_H}:){{6}}{_V4}"
+IPV6_SHORT = rf"(?:{_H}(?::{_H}){{0,6}})?::(?:(?:{_H}:){{0,5}}{_V4}|{_H}(?::{_H}){{0,6}})?"
+AT, DOT = r"\x20?[(\[](?:at|AT)[)\]]\x20?", r"\x20?[(\[](?:dot|DOT)[)\]]\x20?|\x20dot\x20"
 GENERATORS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?:@|\x20?[(\[](?:at|AT)[)\]]\x20?|\x20at\x20)[A-Za-z0-9-]{1,63}"
-    r"(?:(?:\.|\x20?[(\[](?:dot|DOT)[)\]]\x20?|\x20dot\x20)[A-Za-z0-9-]{1,63}){1,4}",
+    "email": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}+(?:@|{AT}|\x20at\x20)[A-Za-z0-9-]{{1,63}}"
+    rf"(?:(?:\.|{DOT})[A-Za-z0-9-]{{1,63}}){{1,4}}",
     "number": r"\+?[0-9(][0-9\x20().-]{5,30}[0-9]",
-    "ipv6": r"(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}",
-    "iban": r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}",
+    "ipv6": rf"(?<![0-9A-Za-z_])(?<!::)(?<!(?<![0-9A-Za-z_]){_H}:)(?:{IPV6_WHOLE}|{IPV6_SHORT}|(?:{_H}:){{3,7}}{_H})"
+    rf"(?![0-9A-Za-z_])(?!:(?::|{_H}(?![0-9A-Za-z_])))",
+    "iban": rf"(?<![A-Z0-9])(?:(?:{IBAN})(?![A-Za-z0-9])|[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{3,7}})",
 }
 NEAR = r"(?i)(?:mail|contact|write|phone|tel|call|fax|mobile|card|visa|account|iban|host|addr|server|ip|ssn|born)"
 #: Levels of each feature: generator, digits, plus sign, dot, space, dash or bracket, groups of digits, cue word before,
@@ -79,6 +98,33 @@ def valid(kind: str, m: Column) -> Column:
     )
 
 
+def proven(generator: str, m: Column) -> Column:
+    """True for a candidate that needs no base span to be valid."""
+    if generator == "email":
+        address = F.regexp_replace(F.regexp_replace(m, rf"{AT}|\x20at\x20", "@"), DOT, ".")
+        written_out = m.rlike(rf"{AT}|{DOT}") & address.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$")
+        return written_out
+    if generator == "ipv6":
+        part = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9][0-9]?)"
+        # Groups of 16 bits; a dotted end holds two, and ``::`` stands for one or more.
+        groups = F.size(F.filter(F.split(m, ":"), lambda x: x != "")) + m.contains(".").cast("int")
+        dotted = ~m.contains(".") | m.rlike(rf":{part}(?:\.{part}){{3}}$")
+        return dotted & (m.rlike(f"^(?:{IPV6_WHOLE})$") | (m.rlike(f"^(?:{IPV6_SHORT})$") & (groups <= 7) & m.rlike("[0-9]")))
+    if generator == "iban":
+        bare = F.translate(m, " ", "")
+        # Letters count as 10 to 35, so each takes two decimal places.
+        rest = F.aggregate(
+            F.filter(F.split(F.concat(F.substr(bare, F.lit(5)), F.substring(bare, 1, 4)), ""), lambda c: c != ""),
+            F.lit(0),
+            lambda a, c: let(
+                F.instr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), c) - 1,
+                lambda v: ((a * F.when(v > 9, 100).otherwise(10) + v) % 97).cast("int"),
+            ),
+        )
+        return bare.rlike("^(?:" + IBAN.replace(r"\x20?", "") + ")$") & (rest == 1)
+    return F.lit(False)
+
+
 def bucket(n: Column, least: tuple[int, ...]) -> Column:
     out = F.lit(0)
     for x in least:
@@ -117,7 +163,7 @@ def conditions() -> list[tuple[int, int]]:
 
 
 def measure(docs: DataFrame, text: str, carry: Column) -> DataFrame:
-    """carried, base spans of each kind, and candidates as array<struct<s,e,g,c>> with generator and feature cell."""
+    """carried, base spans of each kind, and candidates as array<struct<s,e,g,c,...>> with generator and feature cell."""
     d = docs.select(carry.alias("carried"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     t = F.col("t")
     guard = {"email": t.contains("@"), "phone": t.contains("+"), "ipv6": t.contains(":")}
@@ -136,7 +182,8 @@ def measure(docs: DataFrame, text: str, carry: Column) -> DataFrame:
         def described(x: Column) -> Column:
             before = F.substring(t, F.greatest(x["s"] - 23, F.lit(1)), F.least(x["s"], F.lit(24)))
             number = let(before, lambda b: cell(i, x["m"], b))
-            return F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(i).alias("g"), number.alias("c"))
+            sure = proven(g, x["m"]).alias("proven")
+            return F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(i).alias("g"), number.alias("c"), sure)
 
         return F.transform(found(g, p), described)
 
@@ -152,8 +199,10 @@ def measure(docs: DataFrame, text: str, carry: Column) -> DataFrame:
                 x["e"].alias("e"),
                 x["g"].alias("g"),
                 x["c"].alias("c"),
-                F.exists(known, lambda y: (y["s"] == x["s"]) & (y["e"] == x["e"])).alias("valid"),
+                x["proven"].alias("proven"),
+                (x["proven"] | F.exists(known, lambda y: (y["s"] == x["s"]) & (y["e"] == x["e"]))).alias("valid"),
                 F.exists(known, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])).alias("overlaps"),
+                F.exists(known, lambda y: (y["s"] <= x["s"]) & (x["e"] <= y["e"])).alias("covered"),
             ),
         ),
     )
@@ -244,12 +293,13 @@ def spans_with(docs: DataFrame, text: str, carry: Column, precision: float) -> D
         return F.transform(a, of)
 
     base = F.concat(*[named(F.col(kind), i) for i, kind in enumerate(KINDS)])
-    extra = F.filter("candidates", lambda x: F.lit(False))
+    sure = lambda x: x["proven"] & ~F.when(x["g"] == 0, x["overlaps"]).otherwise(x["covered"])
+    extra = F.filter("candidates", sure)
     if model:
         cuts = F.array(*[F.lit(model[2].get(g)).cast("double") for g in range(len(GENERATORS))])
         extra = F.filter(
             "candidates",
-            lambda x: F.coalesce(~x["overlaps"] & (score_of(x["c"], model) >= F.get(cuts, x["g"])), F.lit(False)),
+            lambda x: sure(x) | F.coalesce(~x["overlaps"] & (score_of(x["c"], model) >= F.get(cuts, x["g"])), F.lit(False)),
         )
     return m.select(
         "carried",

@@ -112,6 +112,33 @@ def test_pii_adds_like_spans(spark):
     assert out[99]["text"] == "in 1998 there were 12 of them" and out[99]["n_chars"] == 7
 
 
+def test_pii_without_a_base_pattern(spark):
+    """One planted case of each kind is found and redacted, in a corpus whose other candidates prove nothing."""
+    from mailgrain.llm.pii import find_pii, redact
+
+    planted = {
+        "whole 2001:0db8:85a3:0000:0000:8a2e:0370:7334, yes": "whole [IPV6_LIKE], yes",
+        "ping fe80::1 and ::ffff:192.0.2.1 now": "ping [IPV6_LIKE] and [IPV6_LIKE] now",
+        "pay DE89 3704 0044 0532 0130 00 TODAY": "pay [IBAN_LIKE] TODAY",
+        "pay GB82WEST12345698765432.": "pay [IBAN_LIKE].",
+        "pay NO93 8601 1117 947 or so": "pay [IBAN_LIKE] or so",
+        "write to bob at example dot com soon": "write to [EMAIL_LIKE] soon",
+        "write to bob [at] example.com soon": "write to [EMAIL_LIKE] soon",
+    }
+    plain = [
+        "at 12:34:56:78 it ran, mac 00:1b:44:11:3a:b7", "use std::ad::be and a :: b", "pay DE88 3704 0044 0532 0130 00 TODAY",
+        "1::2::3 and 1:2:3:4:5:6:7:8:9 and ::1.2.3.999", "ZZ12 ABCD 1234 5678 9012 3456",
+    ]
+    mails = [f"ask user{i}@example.org" for i in range(30)]
+    rows = [(i, t) for i, t in enumerate([*planted, *plain, *mails])]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = texts_of(redact(d))
+    assert [out[i] for i in range(len(planted))] == list(planted.values())
+    assert [out[len(planted) + i] for i in range(len(plain))] == plain
+    alone = find_pii(d.filter(f"doc_id < {len(planted)}")).collect()
+    assert all(r["spans"] for r in alone)
+
+
 def test_redact_overlaps_and_awkward_rows(docs):
     from mailgrain.llm.pii import redact
 
