@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors. Read from the session; a temporary one is set only where none is."""
+    """The folder shared by driver and executors, read from the session. Only a local session without one gets a temporary
+    folder: on a cluster, executors couldn't read it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="mailgrain-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
