@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import scratch_dir
+
 #: White space that separates words: space, tab, newline, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -16,35 +18,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors. Read from the session; a temporary one is set only where none is."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="mailgrain-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
 class Scratch:
-    """Tables written to the shared folder to cut lineage: a lost executor costs a reread, not a recomputation."""
+    """Tables written to the shared folder to cut lineage: a lost executor costs a reread, not a recomputation. All that is
+    left is removed at the end of the session at the latest (:func:`drop_since` does so earlier)."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{scratch_dir(spark)}/mailgrain-{uuid.uuid4().hex}"
-        self.paths: list[str] = []
+        self.paths: dict[str, str] = {}
+        if not _roots:
+            atexit.register(drop_since, spark, 0)
+        _roots.append(self.root)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{len(self.paths)}"
         df.write.parquet(path, compression="zstd")
-        self.paths.append(path)
+        self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table that nothing lazy still reads."""
-        for file in df.inputFiles()[:1]:
-            folder = file.rsplit("/", 1)[0]
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, name: str) -> None:
+        """Remove the last table of this name, which nothing lazy may read any more."""
+        remove(self.spark, self.paths[name])
+
+
+_roots: list[str] = []  # of this process's scratch folders, in order
+
+
+def scratch_mark() -> int:
+    return len(_roots)
+
+
+def drop_since(spark: SparkSession, mark: int) -> None:
+    """Remove all scratch folders made since a mark, once what was built on them has been written."""
+    for root in _roots[mark:]:
+        remove(spark, root)
+    del _roots[mark:]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001 - the session may be gone; what stays is only space
+        pass
 
 
 def small(df: DataFrame, max_rows: int) -> DataFrame:

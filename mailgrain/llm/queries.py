@@ -96,7 +96,7 @@ def op9_licenses(spark, sf_dir):
 def op10_passages(spark, sf_dir):
     from .passages import find_passages
 
-    return find_passages(table(spark, sf_dir, "documents"))
+    return find_passages(table(spark, sf_dir, "documents"), within=False)  # passages that repeat across documents
 
 
 def pipeline(spark, sf_dir):
