@@ -26,12 +26,14 @@ class Scratch:
         self.spark = spark
         self.root = f"{scratch_dir(spark)}/mailgrain-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
+        self.written = 0
         if not _roots:
             atexit.register(drop_since, spark, 0)
         _roots.append(self.root)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}-{len(self.paths)}"
+        path = f"{self.root}/{name}-{self.written}"
+        self.written += 1
         df.write.parquet(path, compression="zstd")
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
@@ -63,6 +65,13 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def small(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast ``df`` if a count shows that it has ``max_rows`` rows at most; else leave the join to shuffling and
     adaptive skew handling. The count stops one row beyond the bound."""
