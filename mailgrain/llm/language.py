@@ -6,18 +6,19 @@ family; inside it each pair of languages has an SVM, and the language with most
 The score multiplies calibrated chances of both steps.
 
 Training uses at most ``per_language`` texts of each language (and at most 200 languages); prediction reads every whole
-text. Defined results: null text, or text without a letter, is ``und`` with score 0; without training rows everything is
+text, long ones in parts that overlap by an n-gram. Defined results: null text, or text without a letter (Unicode's class L:
+``½``, ``²`` and ``Ⅷ`` are none), is ``und`` with score 0; without training rows everything is
 ``und``; ties go to the language first in the alphabet; repeated rows are predicted alike; an empty table gives an empty
 result.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,9 @@ FAMILIES = {
     "slavic": ["be", "bg", "cs", "hr", "mk", "pl", "ru", "sk", "sl", "sr", "uk"],
     "uralic": ["et", "fi", "hu"],
 }
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
+#: Bytes of texts that a worker holds at once, and of a text that are put into arrays at once.
+SLICE, PART = 4 << 20, 1 << 20
 
 
 def family_of(language: str) -> str:
@@ -41,16 +44,19 @@ def family_of(language: str) -> str:
 
 
 def features(text: str) -> np.ndarray:
-    b = np.frombuffer(f" {text.lower()} ".encode("utf-8", "replace"), np.uint8).astype(np.uint32)
-    out = np.zeros(1 << BITS, np.float32)
-    code = b
-    for n in range(2, 5):
-        if len(b) < n:
-            break
-        code = (code[:-1] << np.uint32(8)) | b[n - 1 :] if n < 5 else code
-        hashed = (code + np.uint32(n)) * np.uint32(2654435761)
-        out += np.bincount((hashed ^ (hashed >> np.uint32(15))) >> np.uint32(32 - BITS), minlength=1 << BITS)
-    out = np.sqrt(out)
+    whole = np.frombuffer(f" {text.lower()} ".encode("utf-8", "replace"), np.uint8)
+    out = np.zeros(1 << BITS, np.int64)
+    for start in range(0, len(whole), PART):
+        for n in range(2, 5):
+            b = whole[start : start + PART + n - 1].astype(np.uint32)
+            if len(b) < n:
+                break
+            code = b[: len(b) - n + 1]
+            for i in range(1, n):
+                code = (code << np.uint32(8)) | b[i : len(b) - n + 1 + i]
+            hashed = (code + np.uint32(n)) * np.uint32(2654435761)
+            out += np.bincount((hashed ^ (hashed >> np.uint32(15))) >> np.uint32(32 - BITS), minlength=1 << BITS)
+    out = np.sqrt(out.astype(np.float32))
     return out / max(float(np.linalg.norm(out)), 1e-9)
 
 
@@ -115,7 +121,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_language: int = 400) -> dict |
     the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in pieces(whole, "text", SLICE)):
             x = [features(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([v.astype(np.float16).tobytes() for v in x], pa.binary())], ["label", "x"])
 
@@ -136,7 +142,7 @@ def identify(docs: DataFrame, model: dict | None, text: str = "text") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in pieces(whole, text):
+            for b in pieces(whole, text, SLICE):
                 for part in (b.slice(i, 512) for i in range(0, b.num_rows, 512)):
                     texts = part.column(text).to_pylist()
                     rows = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if shared.value else []

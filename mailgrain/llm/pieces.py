@@ -6,7 +6,7 @@ concatenated and their suffixes sorted as far as the longest piece; every piece
 range of its occurrences; all occurrences are edges from start to end, sorted by where they end in their segment, then
 relaxed in that order. An edge extends the best path to its start if the two last pieces stand side by side when encoded
 alone. Byte-pair merging has exactly one such path to each place: a merge across the border of two pieces would happen in
-the pair alone as well, as it depends on nothing else. Which pairs hold is computed once a worker and kept.
+the pair alone as well, as it depends on nothing else. Which pairs hold is kept by a worker, for the last ``PAIRS`` at most.
 
 Defined results: null text has null pieces; empty text has none; characters outside the vocabulary become their UTF-8 byte
 pieces; ids that are no piece's decode as unknown; invalid byte pieces decode as U+FFFD each; a null list of ids decodes to
@@ -29,6 +29,8 @@ from .shingles import pieces as slices
 BLANK = "▁"
 #: Bytes of text, or pieces, that a worker handles at once; its arrays take some hundred times as much memory.
 SLICE = 1 << 20
+#: Pairs of pieces that a worker keeps at most.
+PAIRS = 1 << 20
 codecs.register_error("mailgrain_byte", lambda e: ("�", e.start + 1))
 
 
@@ -104,6 +106,8 @@ class Vocabulary:
         known = (at < len(self.pair_keys)) & (self.pair_keys[np.minimum(at, len(self.pair_keys) - 1)] == distinct) if len(self.pair_keys) else np.zeros(len(distinct), bool)
         new = distinct[~known]
         if len(new):
+            if len(self.pair_keys) + len(new) > PAIRS:  # start anew with what is asked now
+                self.pair_keys, self.pair_ok, new = self.pair_keys[:0], self.pair_ok[:0], distinct
             ok = np.array([self.keeps([self.by_id[i] for i in (k // self.size - 1, k % self.size) if i >= 0]) for k in new.tolist()], bool)
             keys = np.concatenate([self.pair_keys, new])
             order = np.argsort(keys, kind="stable")

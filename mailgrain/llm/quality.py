@@ -28,7 +28,7 @@ from .samples import labelled_sample
 from .shingles import pieces
 
 # Bytes of text put into features at once: they take some 30 times as much memory.
-SLICE = 4 << 20
+SLICE = 2 << 20
 # Byte classes.
 CLASSES = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -57,8 +57,8 @@ def features(texts: pa.Array) -> np.ndarray:
     code = np.full(256, len(CLASSES), np.uint8)
     for k, members in enumerate(CLASSES.values()):
         code[list(members)] = k
-    doc = np.repeat(np.arange(n), size)
-    counts = np.bincount(doc * (len(CLASSES) + 1) + code[data], minlength=n * (len(CLASSES) + 1)).reshape(n, -1)
+    ends = np.cumsum(size)
+    counts = np.array([np.bincount(code[data[e - k : e]], minlength=len(CLASSES) + 1) for k, e in zip(size, ends, strict=True)]).reshape(n, -1)
     words, kinds = _distinct(pc.ascii_split_whitespace(texts), n)
     lines, line_kinds = _distinct(pc.split_pattern(texts, "\n"), n)
     share = counts / np.maximum(1, size)[:, None]

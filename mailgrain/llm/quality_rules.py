@@ -2,8 +2,9 @@
 
 Per document: counts of words, word characters, symbols, repeated lines and repeated three-word windows, and the rules that
 they fail. Per host: the failure rate of each rule is shrunk towards the corpus by a beta prior whose two parameters are
-fitted to all hosts by the method of moments; a host whose shrunk rate of any rule reaches ``host_rate`` is rejected, and
-its verdict is joined back to its documents.
+fitted to all hosts by the method of moments, from the variance between hosts that is left once the binomial noise of
+hosts with few documents is taken off; a host whose shrunk rate of any rule reaches ``host_rate`` is rejected, and its verdict
+is joined back to its documents. The host of a URL is its domain; anything else is a host by its own name.
 
 Defined results: null or blank text has no words and fails ``short``; a null host is no host and rejects nothing; repeated
 rows are judged one by one; an empty table gives an empty result; columns other than the id, text and host are not read.
@@ -61,10 +62,16 @@ def repeat_words(words: Column) -> Column:
     ).otherwise(F.lit(0).cast("long"))
 
 
+def domain(source: Column) -> Column:
+    """The lower-cased domain of an http(s) URL, without user, port and ``www.``; other values as they are."""
+    found = F.lower(F.regexp_extract(source, r"^(?i)https?://(?:[^/?#@]*@)?(?:www\.)?([^/?#:]+)", 1))
+    return F.when(found != "", found).otherwise(source)
+
+
 def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """One row per document: id, host, counts, and one boolean for each of RULES."""
     t = F.coalesce(F.col(text), F.lit(""))
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), t.alias("t"))
+    d = docs.select(F.col(doc_id).alias("doc_id"), domain(F.col(host)).alias("host"), t.alias("t"))
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     d = d.select(
         "doc_id",
@@ -88,7 +95,8 @@ def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: s
 
 def host_verdicts(measured: DataFrame, host_rate: float = 0.5) -> DataFrame:
     """host, host_docs, one shrunk rate for each rule, host_kept. The prior's mean is the mean host rate m and its weight
-    follows from the variance v between hosts: a + b = m(1-m)/v - 1, held between 1 and 10^4."""
+    follows from the variance v between hosts: a + b = m(1-m)/v - 1, held between 1 and 10^4. The observed rates of hosts
+    vary by v + (m(1-m) - v) * mean(1/n), as n documents of a host alone make its rate vary; v is what solves this."""
     h = (
         measured.filter(F.col("host").isNotNull())
         .groupBy("host")
@@ -96,12 +104,14 @@ def host_verdicts(measured: DataFrame, host_rate: float = 0.5) -> DataFrame:
     )
     rates = {r: F.col(f"f_{r}") / F.col("host_docs") for r in RULES}
     prior = h.agg(
-        *[F.avg(x).alias(f"m_{r}") for r, x in rates.items()], *[F.var_pop(x).alias(f"v_{r}") for r, x in rates.items()]
-    )
+        *[F.avg(x).alias(f"m_{r}") for r, x in rates.items()], *[F.var_pop(x).alias(f"v_{r}") for r, x in rates.items()],
+        F.avg(1 / F.col("host_docs")).alias("noise"),
+    )
     h = h.join(F.broadcast(prior))  # one row
 
     def shrunk(r: str) -> Column:
-        m, v = F.col(f"m_{r}"), F.col(f"v_{r}")
+        m, noise = F.col(f"m_{r}"), F.col("noise")
+        v = F.when(noise < 1, (F.col(f"v_{r}") - m * (1 - m) * noise) / (1 - noise)).otherwise(F.lit(0.0))
         weight = F.least(F.lit(1e4), F.greatest(F.lit(1.0), F.when(v > 0, m * (1 - m) / v - 1).otherwise(F.lit(1e4))))
         return (F.col(f"f_{r}") + m * weight) / (F.col("host_docs") + weight)
 
