@@ -84,11 +84,17 @@ def let(value: Column, body) -> Column:
 
 
 def prefix_sums(lengths: Column) -> Column:
-    """Running sums before each element of an array<int>, in blocks of 128 so that long arrays stay cheap."""
+    """Running sums before each element of an array<int>; see :func:`before_each`."""
+    return before_each(lengths, lambda a, x: a + x)
+
+
+def before_each(values: Column, add) -> Column:
+    """What ``add`` makes of 0 and all elements before each of an array<int>: sums, or maxima. In blocks of 128, so that long
+    arrays stay cheap."""
     block = 128
 
     def total(part: Column) -> Column:
-        return F.aggregate(part, F.lit(0), lambda a, x: a + x)
+        return F.aggregate(part, F.lit(0), add)
 
     def blocks(a: Column) -> Column:
         return F.transform(
@@ -104,12 +110,14 @@ def prefix_sums(lengths: Column) -> Column:
             starts(blocks(a)),
             lambda before: F.transform(
                 a,
-                lambda _, i: F.get(before, F.floor(i / block).cast("int"))
-                + total(F.slice(a, (F.floor(i / block) * block + 1).cast("int"), (i % block).cast("int"))),
+                lambda _, i: add(
+                    F.get(before, F.floor(i / block).cast("int")),
+                    total(F.slice(a, (F.floor(i / block) * block + 1).cast("int"), (i % block).cast("int"))),
+                ),
             ),
         )
 
-    return F.when(F.size(lengths) > 0, let(lengths, sums)).otherwise(F.array().cast("array<int>"))
+    return F.when(F.size(values) > 0, let(values, sums)).otherwise(F.array().cast("array<int>"))
 
 
 def spans(text: Column, pattern: str, size=F.length) -> Column:

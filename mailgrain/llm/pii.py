@@ -2,8 +2,8 @@
 
 Base spans: e-mail and IP addresses, payment cards and phone numbers, by pattern and validator. For the method, high-recall
 generators propose overlapping candidate spans; each is reduced to a few discrete format and context features; boosted
-two-level trees are fitted to how often candidates with the same features are valid; a threshold per generator is calibrated
-to a wanted precision; candidates that pass and overlap no base span are added as ``<generator>_like``.
+two-level trees are fitted to how often candidates with the same features are valid, on four fifths of the documents by hash; a threshold per generator is calibrated
+to a wanted precision on the other fifth; candidates that pass and overlap no base span are added as ``<generator>_like``.
 
 A candidate is valid if it is a validated base span or proves itself: an IPv6 address by its syntax (with a digit in it, if
 it is shortened by ``::``), an IBAN by its country's length and its check digits (modulo 97), a written-out e-mail address
@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, let, no_spans, spans
+from .common import Scratch, before_each, let, no_spans, spans
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns, with possessive repeats and anchored starts so that long runs are read once.
@@ -58,8 +58,9 @@ GENERATORS = {
 }
 NEAR = r"(?i)(?:mail|contact|write|phone|tel|call|fax|mobile|card|visa|account|iban|host|addr|server|ip|ssn|born)"
 #: Levels of each feature: generator, digits, plus sign, dot, space, dash or bracket, groups of digits, cue word before,
-#: character before.
-LEVELS = (len(GENERATORS), 6, 2, 2, 2, 2, 5, 2, 3)
+#: character before, how an address is written out (plain, `` at ``, in brackets or with ``dot``).
+LEVELS = (len(GENERATORS), 6, 2, 2, 2, 2, 5, 2, 3, 3)
+FOLDS = 5
 
 
 def n_cells() -> int:
@@ -145,6 +146,7 @@ def cell(generator: int, m: Column, before: Column) -> Column:
         bucket(groups, (2, 3, 4, 5)),
         before.rlike(NEAR).cast("int"),
         F.when(before.rlike(r"[\x20\x09-\x0D]$|^$"), F.lit(0)).when(before.rlike("[A-Za-z0-9]$"), F.lit(1)).otherwise(F.lit(2)),
+        F.when(m.rlike(rf"{AT}|{DOT}"), F.lit(2)).when(m.contains(" at "), F.lit(1)).otherwise(F.lit(0)),
     ]
     out = F.lit(0)
     for x, n in zip(features, LEVELS, strict=True):
@@ -162,9 +164,9 @@ def conditions() -> list[tuple[int, int]]:
     return [(f, v) for f, n in enumerate(LEVELS) for v in range(1, n)]
 
 
-def measure(docs: DataFrame, text: str, carry: Column) -> DataFrame:
-    """carried, base spans of each kind, and candidates as array<struct<s,e,g,c,...>> with generator and feature cell."""
-    d = docs.select(carry.alias("carried"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+def measure(docs: DataFrame, text: str, carry: Column, fold: Column) -> DataFrame:
+    """carried, held (whether the row only calibrates), base spans of each kind, and candidates as array<struct<s,e,g,c,...>> with generator and feature cell."""
+    d = docs.select(carry.alias("carried"), (F.pmod(fold, F.lit(FOLDS)) == 0).alias("held"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     t = F.col("t")
     guard = {"email": t.contains("@"), "phone": t.contains("+"), "ipv6": t.contains(":")}
 
@@ -188,7 +190,7 @@ def measure(docs: DataFrame, text: str, carry: Column) -> DataFrame:
         return F.transform(found(g, p), described)
 
     candidates = F.concat(*[proposed(i, g, p) for i, (g, p) in enumerate(GENERATORS.items())])
-    d = d.select("carried", *base, candidates.alias("candidates"))
+    d = d.select("carried", "held", *base, candidates.alias("candidates"))
     known = F.concat(*KINDS)
     return d.withColumn(
         "candidates",
@@ -233,19 +235,21 @@ def boost(x: np.ndarray, good: np.ndarray, all_: np.ndarray, rounds: int = 40, r
 
 
 def fit(measured: DataFrame, precision: float) -> tuple[float, list, dict[int, float]] | None:
-    """Prior, trees, and the threshold of each generator: the lowest score at which the candidates that reach it, counted
-    with one failure added, are valid at the wanted precision. None if no candidate is valid."""
+    """Prior, trees, and the threshold of each generator: the lowest score at which the held-out candidates that reach it,
+    counted with one failure added, are valid at the wanted precision. None if no candidate to fit to is valid."""
     counts = (
-        measured.select(F.explode("candidates").alias("x"))
-        .groupBy("x.c")
+        measured.select("held", F.explode("candidates").alias("x"))
+        .groupBy("held", "x.c")
         .agg(F.sum(F.col("x.valid").cast("long")).alias("good"), F.count("*").alias("n"))
-        .collect()  # at most n_cells() rows
+        .collect()  # at most 2 * n_cells() rows
     )
-    if not counts or not sum(r["good"] for r in counts):
+    cells = np.array(sorted({r["c"] for r in counts}), np.int64)
+    table = {(r["held"], r["c"]): (r["good"], r["n"]) for r in counts}
+    fitted, held = (np.array([table.get((h, c), (0, 0)) for c in cells.tolist()], float).reshape(-1, 2) for h in (False, True))
+    if not fitted[:, 0].sum():
         return None
-    counts.sort(key=lambda r: r["c"])
-    cells, good, n = (np.array([r[k] for r in counts]) for k in ("c", "good", "n"))
-    prior, trees, score = boost(unpacked(cells), good.astype(float), n.astype(float))
+    prior, trees, score = boost(unpacked(cells), fitted[:, 0], fitted[:, 1])
+    good, n = held.T
     generator = np.unravel_index(cells, LEVELS)[0]
     cut = {}
     for g in range(len(GENERATORS)):
@@ -275,10 +279,10 @@ def score_of(cell_number: Column, model) -> Column:
     return out
 
 
-def spans_with(docs: DataFrame, text: str, carry: Column, precision: float) -> DataFrame:
+def spans_with(docs: DataFrame, text: str, carry: Column, fold: Column, precision: float) -> DataFrame:
     """carried, n_<kind>, base and spans. The candidates are written once, as the fit and the result need them; what is
     carried goes with them, so nothing has to be joined back."""
-    m = Scratch(docs.sparkSession).write(measure(docs, text, carry), "pii")
+    m = Scratch(docs.sparkSession).write(measure(docs, text, carry, fold), "pii")
     model = fit(m.drop("carried"), precision)
     names = [*KINDS, *[f"{g}_like" for g in GENERATORS]]
 
@@ -311,21 +315,21 @@ def spans_with(docs: DataFrame, text: str, carry: Column, precision: float) -> D
 
 def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", precision: float = 0.9) -> DataFrame:
     """doc_id, n_<kind>, base and spans (arrays of k, s, e, kind, by kind as listed and start)."""
-    return spans_with(docs, text, F.col(doc_id), precision).withColumnRenamed("carried", "doc_id")
+    return spans_with(docs, text, F.col(doc_id), F.xxhash64(doc_id), precision).withColumnRenamed("carried", "doc_id")
 
 
 def redact(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", precision: float = 0.9) -> DataFrame:
     """The same rows and columns, with each found span replaced by its kind in brackets and ``n_chars`` brought up to date;
     of overlapping spans the first one is named and the rest of the others goes with it. Rows without a span don't change."""
-    found = spans_with(docs, text, F.struct(*[F.col(f"`{c}`") for c in docs.columns]), precision)
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    found = spans_with(docs, text, F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(*hashed), precision)
     place = F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind")))
     t = F.col("carried").getField(text)
 
     def cut(spans: Column) -> Column:
-        """The text between spans, and names for the spans. Where spans overlap, the largest end so far counts."""
-        ends = F.transform(spans, lambda x, i: F.coalesce(F.array_max(F.transform(F.slice(spans, F.greatest(i - 7, F.lit(1)), F.least(i, F.lit(8))), lambda y: y["e"])), F.lit(0)))
+        """The text between spans, and names for the spans. Where spans overlap, the largest end of all before counts."""
         return let(
-            ends,
+            before_each(F.transform(spans, lambda x: x["e"]), lambda a, x: F.greatest(a, x)),
             lambda before: F.concat(
                 F.array_join(
                     F.transform(
@@ -343,12 +347,10 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", precis
             ),
         )
 
-    out = found.select(
-        *[F.col("carried").getField(c).alias(c) for c in docs.columns if c != text and c != n_chars],
-        F.when(F.size("spans") > 0, let(F.array_sort(place), cut)).otherwise(t).alias(text),
-        *([F.col("carried").getField(n_chars).alias("_n"), F.size("spans").alias("_spans")] if n_chars in docs.columns else []),
-    )
+    redacted = F.when(F.size("spans") > 0, let(F.array_sort(place), cut)).otherwise(t)
+    found = found.select("carried", (F.size("spans") > 0).alias("changed"), redacted.alias("redacted"))
+    size = lambda: F.length("redacted").cast(docs.schema[n_chars].dataType)
+    new = {text: F.col("redacted")}
     if n_chars in docs.columns:
-        changed = F.when(F.col("_spans") > 0, F.length(text).cast(docs.schema[n_chars].dataType)).otherwise(F.col("_n"))
-        out = out.withColumn(n_chars, changed)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        new[n_chars] = F.when(F.col("changed"), size()).otherwise(F.col("carried").getField(n_chars))
+    return found.select(*[new.get(c, F.col("carried").getField(c)).alias(c) for c in docs.columns])

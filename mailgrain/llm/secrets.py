@@ -1,11 +1,13 @@
 """Secret scan with a randomness test battery (native DataFrame operations only).
 
-Three patterns give base spans. For the method, every token of ``min_length`` or more key characters is put down as hex,
-base32, lower-case alphanumeric or base64, and three tests measure how far it is from uniformly drawn characters of that
-alphabet: chi-squared of the character counts, runs above and below the alphabet's middle, and lag-one serial correlation.
-Their sum of squares is small for random tokens. Tokens of letters alone stand for ordinary language: their distribution,
-over all documents, gives each length class its null, against which tokens with a digit get p-values; Benjamini-Hochberg
-within the length class picks the cut, which never passes tokens whose tests reject uniformity at 0.001. The null of a class pools the shorter classes too, which errs towards fewer finds.
+Three patterns give base spans. For the method, every token of ``min_length`` or more key characters, letters alone included,
+is put down as hex, base32, lower-case alphanumeric or base64, and three tests measure how far it is from uniformly drawn
+characters of that alphabet: chi-squared of the character counts, runs above and below the alphabet's middle, and lag-one
+serial correlation. A token whose three tests together reject uniformity at 0.001 is none. Of the others, each has the chance
+that ordinary language of its length, whose characters repeat as often as ``REPEATS`` says, gives a chi-squared as small:
+the lower tail of the noncentral chi-squared distribution, by its normal approximation and a bound of the normal tail. So
+p-values depend on a token's own length and alphabet, not on what else the corpus holds. Benjamini-Hochberg over all tokens of
+a length class, uniform or not, picks the cut.
 
 Defined results: null or empty text has no spans; repeated rows are scanned one by one; an empty table gives an empty
 result; only the id and text columns are read. Spans of the method that overlap a base span are left out.
@@ -13,6 +15,8 @@ result; only the id and text columns are read. Spans of the method that overlap
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,13 +37,17 @@ ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
 LENGTHS = (24, 32, 48)
-BIN, BINS = 0.5, 120
+#: Bins of -log10 of the p-values.
+BIN, BINS = 0.25, 80
+# Fixed value: the chance that two characters of ordinary text agree, in the languages of Europe about 0.065 to 0.08.
+REPEATS = 0.065
 # Fixed value: 0.999 quantile of chi-squared with three degrees of freedom; three tests of a uniform token sum to less.
 UNIFORM = 16.27
 
 
 def randomness(token: Column) -> Column:
-    """Sum of squares of the three test scores; about 3 for random tokens, larger for language."""
+    """stat: sum of squares of the three test scores, about 3 for random tokens, larger for language. bin: of -log10 of the
+    chance that language gives a chi-squared as small."""
     bare = F.translate(F.rtrim(token, F.lit("=")), "-_", "+/")
 
     def for_alphabet(text: Column, alphabet: str) -> Column:
@@ -56,7 +64,11 @@ def randomness(token: Column) -> Column:
                 ).otherwise(F.struct(c.alias("last"), F.lit(1.0).alias("run"), (a["sq"] + 1).alias("sq"))),
                 lambda a: a["sq"],
             )
-            chi = (runs_of * k / n - n - (k - 1)) / (2.0 * (k - 1)) ** 0.5
+            raw = runs_of * k / n - n
+            chi = (raw - (k - 1)) / (2.0 * (k - 1)) ** 0.5
+            beyond = n * (k * REPEATS - 1)
+            z = (raw - (k - 1) - beyond) / F.sqrt(2.0 * (k - 1) + 4 * beyond)
+            log_p = F.when(z < 0, (z * z / 2 + math.log(2)) / math.log(10)).otherwise(F.lit(0.0))
             high = F.aggregate(x, F.lit(0.0), lambda a, c: a + (c >= k // 2).cast("double"))
             steps = F.zip_with(
                 F.slice(x, F.lit(1), F.size(x) - 1),
@@ -79,14 +91,16 @@ def randomness(token: Column) -> Column:
                     F.aggregate(d, F.lit(0.0), lambda a, c: a + c * c),
                 ),
             )
-            return (
+            stat = (
                 F.pow(F.greatest(chi, F.lit(0.0)), F.lit(2))
                 + F.pow(run_score, F.lit(2))
                 + F.coalesce(serial * serial, F.lit(1.0)) * n
             )
+            return F.struct(stat.alias("stat"), F.least(F.lit(BINS), F.floor(log_p / BIN)).cast("int").alias("bin"))
 
+        none = F.struct(F.lit(99.0).alias("stat"), F.lit(0).alias("bin"))
         places = F.transform(F.split(text, ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
-        return let(F.filter(places, lambda p: p >= 0), lambda x: F.when(F.size(x) > 1, score(x)).otherwise(F.lit(99.0)))
+        return let(F.filter(places, lambda p: p >= 0), lambda x: F.when(F.size(x) > 1, score(x)).otherwise(none))
 
     return (
         F.when(bare.rlike("^[0-9a-fA-F]*$"), for_alphabet(F.lower(bare), ALPHABETS["hex"]))
@@ -104,7 +118,7 @@ def length_class(n: Column) -> Column:
 
 
 def measure(docs: DataFrame, doc_id: str, text: str, min_length: int) -> DataFrame:
-    """doc_id, base spans by kind, and tokens with length class, score bin and whether they are letters alone."""
+    """doc_id, base spans by kind, and tokens with length class, bin and whether uniformity holds."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     none = no_spans()
     assign = F.when(F.col("t").contains("=") | F.col("t").contains(":"), spans(F.col("t"), ASSIGN)).otherwise(none)
@@ -116,32 +130,24 @@ def measure(docs: DataFrame, doc_id: str, text: str, min_length: int) -> DataFra
     place = lambda a: F.transform(a, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
     tokens = F.transform(
         spans(F.col("t"), rf"[A-Za-z0-9+/_=-]{{{min_length},}}+"),
-        lambda x: F.struct(
-            x["s"].alias("s"),
-            x["e"].alias("e"),
-            length_class(x["e"] - x["s"]).alias("c"),
-            F.least(F.lit(BINS), F.floor(randomness(x["m"]) / BIN)).cast("int").alias("b"),
-            (~x["m"].rlike("[0-9]")).alias("word"),
+        lambda x: let(
+            randomness(x["m"]),
+            lambda r: F.struct(
+                x["s"].alias("s"), x["e"].alias("e"), length_class(x["e"] - x["s"]).alias("c"), r["bin"].alias("b"), (r["stat"] <= UNIFORM).alias("uniform")
+            ),
         ),
     )
     return d.select("doc_id", *[place(x).alias(k) for k, x in found.items()], tokens.alias("tokens"))
 
 
 def cuts(measured: DataFrame, rate: float) -> DataFrame:
-    """c, cut: the largest score bin of each length class whose Benjamini-Hochberg bound holds. Works on a histogram of at
-    most classes x bins rows, gathered from all documents."""
-    seen = (
-        measured.select(F.explode("tokens").alias("x"))
-        .groupBy(F.col("x.c").alias("c"), F.col("x.b").alias("b"))
-        .agg(F.sum(F.col("x.word").cast("long")).alias("words"), F.sum((~F.col("x.word")).cast("long")).alias("keys"))
-    )
-    words = seen.select(F.explode(F.sequence(F.col("c"), F.lit(len(LENGTHS)))).alias("c"), "b", "words", F.lit(0).alias("keys"))
-    both = words.union(seen.select("c", "b", F.lit(0), "keys")).groupBy("c", "b").agg(F.sum("words").alias("words"), F.sum("keys").alias("keys"))
-    upto, whole = W.partitionBy("c").orderBy("b"), W.partitionBy("c")
-    p = (F.sum("words").over(upto) + 1) / (F.sum("words").over(whole) + 1)
-    h = both.select("c", "b", p.alias("p"), F.sum("keys").over(upto).alias("found"), F.sum("keys").over(whole).alias("m"))
-    h = h.filter(F.col("b") * BIN <= UNIFORM)
-    return h.filter((F.col("found") > 0) & (F.col("p") * F.col("m") <= rate * F.col("found"))).groupBy("c").agg(F.max("b").alias("cut"))
+    """c, cut: the least bin of each length class whose Benjamini-Hochberg bound holds, by the largest p-value of each bin.
+    Works on a histogram of at most classes x bins rows, gathered from all documents."""
+    seen = measured.select(F.explode("tokens").alias("x")).groupBy(F.col("x.c").alias("c"), F.col("x.b").alias("b")).agg(F.count("*").alias("n"))
+    upto, whole = W.partitionBy("c").orderBy(F.desc("b")), W.partitionBy("c")
+    h = seen.select("c", "b", F.sum("n").over(upto).alias("found"), F.sum("n").over(whole).alias("m"))
+    p = F.pow(F.lit(10.0), -BIN * F.col("b"))
+    return h.filter(p * F.col("m") <= rate * F.col("found")).groupBy("c").agg(F.min("b").alias("cut"))
 
 
 def scan_secrets(
@@ -160,8 +166,8 @@ def scan_secrets(
     d = m.join(F.broadcast(cut)).withColumn("base", F.array_sort(F.concat(*[named(F.col(k), k) for k in KINDS])))  # one row
     extra = F.filter(
         "tokens",
-        lambda x: ~x["word"]
-        & F.coalesce(x["b"] <= F.try_element_at(F.col("cut"), x["c"]), F.lit(False))
+        lambda x: x["uniform"]
+        & F.coalesce(x["b"] >= F.try_element_at(F.col("cut"), x["c"]), F.lit(False))
         & ~F.exists("base", lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])),
     )
     return d.select(
