@@ -1,9 +1,11 @@
 """License scan with a positional rare-token index (native DataFrame operations only).
 
-Exact phrases give base labels. For the method, the license words of each file are ranked by inverse document frequency
-over the whole corpus. Each template whose mandatory key phrases all stand in the file looks up its own rarest ``top_k``
-kinds of them, so notices of one file don't take words from each other; matches are counted by template and relative
-position, and a template whose count reaches ``min_votes`` at one relative position is accepted.
+Exact phrases give base labels. For the method, all documents are counted first: how many hold each word of the templates. Of
+each template the words that stand in some document are ranked by inverse document frequency; the rarer half, and all that at
+most ``RARE`` of all documents hold, are its index words. Every file's words are looked up in the index; a template that has two of its index words in a file or more takes the
+``top_k`` of them with the highest inverse document frequency, intersects their places in the file with its postings, and is
+a candidate where ``min_votes`` of them agree on one relative position. Last, a candidate's mandatory key phrases are
+verified. Each template has votes of its own, so the notices of one file don't take words from each other.
 
 Defined results: null or empty text has no words, no labels and score 0; repeated rows are scanned one by one; an empty
 table gives an empty result; only the id and text columns are read.
@@ -11,78 +13,154 @@ table gives an empty result; only the id and text columns are read.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, let, spans
+from .common import let, spans
 
 # Phrases and labels of the base scan.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-# Label, notice in normalised words, mandatory key phrases.
+# Label, licence text or notice, mandatory key phrases in normalised words.
 TEMPLATES = [
-    ("mit", "released under the mit license", ["mit license"]),
+    ("mit", "Released under the MIT License.", ["mit license"]),
     (
         "mit",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
-        "documentation files the software to deal in the software without restriction",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+        rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+        persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice
+        and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS
+        PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT
+        HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+        ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
         ["permission is hereby granted free of charge", "without restriction"],
     ),
-    ("apache-2", "licensed under the apache license version 2 0 the license", ["apache license version 2"]),
+    (
+        "isc",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+        granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS
+        PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES
+        OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+        CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
+        CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
+        SOFTWARE.""",
+        ["with or without fee is hereby granted"],
+    ),
+    (
+        "apache-2",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with
+        the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by
+        applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+        WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
+        governing permissions and limitations under the License.""",
+        ["apache license version 2"],
+    ),
+    ("gpl-3", "This work is licensed under the GNU General Public License, version 3.", ["gnu general public license", "version 3"]),
     (
         "gpl-3",
-        "this work is licensed under the gnu general public license version 3",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
+        License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
+        version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+        implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more
+        details.""",
         ["gnu general public license", "version 3"],
     ),
     (
         "gpl-2",
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general "
-        "public license version 2",
+        """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public
+        License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later
+        version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+        implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more
+        details.""",
         ["gnu general public license", "version 2"],
     ),
     (
         "lgpl",
-        "under the terms of the gnu lesser general public license as published by the free software foundation",
+        """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General
+        Public License as published by the Free Software Foundation. This library is distributed in the hope that it will be
+        useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR
+        PURPOSE. See the GNU Lesser General Public License for more details.""",
         ["gnu lesser general public license"],
     ),
+    (
+        "agpl-3",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General
+        Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any
+        later version.""",
+        ["gnu affero general public license"],
+    ),
     (
         "bsd",
-        "redistribution and use in source and binary forms with or without modification are permitted provided that "
-        "the following conditions are met",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met: Redistributions of source code must retain the above copyright notice, this list of
+        conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this
+        list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+        distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+        promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY
+        THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO,
+        THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
         ["redistribution and use in source and binary forms"],
     ),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
-    ("cc-by-nc", "licensed under cc by nc 4 0", ["cc by nc"]),
+    (
+        "mpl-2",
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+        distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+        ["mozilla public license"],
+    ),
+    (
+        "zlib",
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+        liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for
+        any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+        restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original
+        software. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original
+        software. This notice may not be removed or altered from any source distribution.""",
+        ["the origin of this software must not be misrepresented"],
+    ),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0", ["cc by nc"]),
     (
         "cc-by-nc",
-        "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
         ["creative commons attribution noncommercial"],
     ),
     (
         "cc-by-sa",
-        "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
         ["creative commons attribution sharealike"],
     ),
-    ("cc0", "to the extent possible under law the author has dedicated all copyright cc0 public domain", ["cc0"]),
+    (
+        "cc0",
+        """To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to
+        this software to the public domain worldwide. This software is distributed without any warranty. You should have
+        received a copy of the CC0 Public Domain Dedication along with this software.""",
+        ["cc0"],
+    ),
     (
         "unlicense",
-        "this is free and unencumbered software released into the public domain",
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,
+        use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
+        commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors
+        of this software dedicate any and all copyright interest in the software to the public domain.""",
         ["unencumbered software"],
     ),
-]
+]
+
+#: Words that at most this share of all documents hold are index words of their templates.
+RARE = 0.05
 
-# Template words that are too common in prose to be looked up.
-COMMON_WORDS = (
-    "a all and any are as by can charge deal following for form forms free has in into is it met of or possible person "
-    "program published that the this to under use version without with work you v 0 2 3 4 code law extent author"
-).split()
 
+def words_of(text: str) -> list[str]:
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
 
-def index_words() -> list[str]:
-    return sorted({w for _, text, _ in TEMPLATES for w in text.split()} - set(COMMON_WORDS))
+
+def vocabulary() -> list[str]:
+    return sorted({w for _, text, _ in TEMPLATES for w in words_of(text)})
 
 
 def normalised(text: Column) -> Column:
@@ -104,128 +182,108 @@ def word_spans(joined: Column, phrases: list[str]) -> Column:
     )
 
 
-def measure(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n_words, base (places of phrases), hits (places of index words, only where a key phrase stands), keys
-    (numbers of the templates whose key phrases all stand in the text)."""
-    d = docs.select(F.col(doc_id).alias("doc_id"), normalised(F.coalesce(F.col(text), F.lit(""))).alias("j"))
+def literals(words: list[str]) -> Column:
+    return F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
 
-    def has(phrase: str) -> Column:
-        return F.col("j").contains(f" {phrase} ")
 
-    none = F.array().cast("array<struct<w:bigint,m:string>>")
-    # Phrase by phrase: none can overlap itself, but it could another.
-    base = F.concat(*[F.when(has(p), word_spans(F.col("j"), [p])).otherwise(none) for p in PHRASES])
-    keys = F.array_compact(
-        F.array(*[F.when(reduce(and_, map(has, ks)), F.lit(i)) for i, (_, _, ks) in enumerate(TEMPLATES)])
-    )
-    d = d.select("doc_id", "j", (n_spaces(F.col("j")) - 1).cast("long").alias("n_words"), base.alias("base"), keys.alias("keys"))
-    hits = F.when(F.size("keys") > 0, word_spans(F.col("j"), index_words())).otherwise(none)
-    present = F.array(*[F.when(has(w), F.lit(w)) for w in index_words()])
-    return d.select("doc_id", "n_words", "base", "keys", hits.alias("hits"), F.array_compact(present).alias("present"))
+def document_frequency(docs: DataFrame, text: str) -> tuple[int, dict[str, int]]:
+    """The number of documents, and for each word of the templates how many hold it: as many rows as the templates have words."""
+    found = docs.select(F.array_intersect(F.split(normalised(F.coalesce(F.col(text), F.lit(""))), " "), literals(vocabulary())).alias("w"))
+    counts = found.select(F.explode(F.array_append("w", F.lit(""))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()
+    df = {r["w"]: r["n"] for r in counts}
+    return df.pop("", 0), df
 
 
-def word_idf(measured: DataFrame) -> DataFrame:
-    """word, idf over all documents: at most as many rows as the templates have words."""
-    n = measured.agg(F.count("*").alias("n"))
-    df = measured.select(F.explode("present").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    return df.join(F.broadcast(n)).select("word", F.log((F.col("n") + 1) / (F.col("df") + 1)).alias("idf"))
+def index_words(n: int, df: dict[str, int]) -> list[list[str]]:
+    """The index words of each template, by falling inverse document frequency."""
+    out = []
+    for _, text, _ in TEMPLATES:
+        ranked = sorted(set(words_of(text)) & set(df), key=lambda w: (df[w], w))
+        out.append([w for i, w in enumerate(ranked) if 2 * i <= len(ranked) or df[w] <= RARE * n])
+    return out
 
 
-def scan_licenses(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", top_k: int = 8, min_votes: int = 2
-) -> DataFrame:
+def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", top_k: int = 8, min_votes: int = 2) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score. score is 1 where a base phrase stands,
     else the largest share of an accepted template's looked-up words that agree on one relative position."""
-    m = Scratch(docs.sparkSession).write(measure(docs, doc_id, text), "licenses")
-    idf = word_idf(m).agg(F.map_from_entries(F.collect_list(F.struct("word", "idf"))).alias("idf"))  # bounded by templates
-    postings: dict[str, list[tuple[int, int]]] = {}
-    for i, (_, words, _) in enumerate(TEMPLATES):
-        for p, w in enumerate(words.split()):
-            postings.setdefault(w, []).append((i, p))
-    sizes = [max(1, len(set(words.split()) & set(index_words()))) for _, words, _ in TEMPLATES]
-    posting_map = F.create_map(
-        *[
-            x
-            for w in index_words()
-            for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).cast("long").alias("p")) for t, p in postings[w]]))
-        ]
-    )
+    index = index_words(*document_frequency(docs, text))
+    every = sorted({w for words in index for w in words})
+    postings: dict[str, list[tuple[int, int]]] = {w: [] for w in every}
+    for t, (_, whole, _) in enumerate(TEMPLATES):
+        for p, w in enumerate(words_of(whole)):
+            if w in index[t]:
+                postings[w].append((t, p))
+    place = lambda t, p: F.struct(F.lit(t).alias("t"), F.lit(p).cast("long").alias("p"))
+    posting_map = F.create_map(*[x for w in every or [""] for x in (F.lit(w), F.array(*[place(t, p) for t, p in postings.get(w, [(0, 0)])]))])
+    template_words = F.array(*[literals(words) for words in index])
+    j = F.col("j")
 
-    template_words = F.array(*[F.array(*map(F.lit, sorted(set(words.split()) & set(index_words())))) for _, words, _ in TEMPLATES])
-
-    def rarest(kinds: Column, table: Column) -> Column:
-        ranked = F.sort_array(
-            F.transform(kinds, lambda w: F.struct((-F.coalesce(F.try_element_at(table, w), F.lit(0.0))).alias("r"), w.alias("w")))
-        )
-        return F.transform(F.slice(ranked, 1, top_k), lambda x: x["w"])
+    def has(phrase: str) -> Column:
+        return j.contains(f" {phrase} ")
 
-    def votes(hits: Column, keys: Column, table: Column) -> Column:
+    def votes(hits: Column, present: Column) -> Column:
         """Sorted (template, relative position), once for each agreeing hit of a template's own rarest words."""
 
+        def own(t: Column) -> Column:
+            """Of a template, in the order of its index words: the rarest first."""
+            return F.slice(F.array_intersect(F.get(template_words, t), present), 1, top_k)
+
         def of(t: Column, chosen: Column) -> Column:
             agreeing = F.filter(hits, lambda h: F.array_contains(chosen, h["m"]))
-            places = lambda h: F.filter(F.try_element_at(posting_map, h["m"]), lambda x: x["t"] == t)
-            return F.flatten(
-                F.transform(agreeing, lambda h: F.transform(places(h), lambda x: F.struct(x["t"].alias("t"), (h["w"] - x["p"]).alias("d"))))
-            )
-
-        kinds = F.array_distinct(F.transform(hits, lambda h: h["m"]))
-        return F.sort_array(
-            F.flatten(
-                let(
-                    kinds,
-                    lambda k: F.transform(
-                        keys, lambda t: let(rarest(F.array_intersect(k, F.get(template_words, t)), table), lambda c: of(t, c))
-                    ),
-                )
-            )
-        )
+            at = lambda h: F.filter(F.element_at(posting_map, h["m"]), lambda x: x["t"] == t)
+            return F.flatten(F.transform(agreeing, lambda h: F.transform(at(h), lambda x: F.struct(x["t"].alias("t"), (h["w"] - x["p"]).alias("d")))))
+
+        possible = F.filter(F.transform(F.lit(list(range(len(TEMPLATES)))), lambda t: F.struct(t.alias("t"), own(t).alias("c"))), lambda x: F.size(x["c"]) >= min_votes)
+        return F.sort_array(F.flatten(F.transform(possible, lambda x: of(x["t"], x["c"]))))
 
-    def accepted(v: Column, keys: Column) -> Column:
+    def verified(t: Column) -> Column:
+        out = F.lit(False)
+        for i, (_, _, phrases) in reversed(list(enumerate(TEMPLATES))):
+            out = F.when(t == i, reduce(and_, map(has, phrases))).otherwise(out)
+        return out
+
+    def accepted(v: Column) -> Column:
         """(template, votes) of each run of equal pairs that is long enough, for templates with all their key phrases."""
         starts = F.filter(
             F.transform(v, lambda x, i: F.struct(x["t"].alias("t"), x["d"].alias("d"), i.alias("i"))),
-            lambda x: F.coalesce(
-                (F.get(v, x["i"] - 1)["t"] != x["t"]) | (F.get(v, x["i"] - 1)["d"] != x["d"]), F.lit(True)
-            ),
+            lambda x: F.coalesce((F.get(v, x["i"] - 1)["t"] != x["t"]) | (F.get(v, x["i"] - 1)["d"] != x["d"]), F.lit(True)),
         )
         runs = let(
             starts,
-            lambda s: F.transform(
-                s,
-                lambda x, k: F.struct(
-                    x["t"].alias("t"), (F.coalesce(F.get(s, k + 1)["i"], F.size(v)) - x["i"]).alias("n")
-                ),
-            ),
+            lambda s: F.transform(s, lambda x, k: F.struct(x["t"].alias("t"), (F.coalesce(F.get(s, k + 1)["i"], F.size(v)) - x["i"]).alias("n"))),
         )
-        return F.filter(
-            runs,
-            lambda x: F.array_contains(keys, x["t"])
-            & (x["n"] >= F.least(F.lit(min_votes), F.get(F.array(*map(F.lit, sizes)), x["t"]))),
+        # A run has one vote for each word of its own: a template's word stands at one relative position once.
+        return F.filter(runs, lambda x: (x["n"] >= min_votes) & verified(x["t"]))
+
+    none = F.array().cast("array<struct<w:bigint,m:string>>")
+    base = F.concat(*[F.when(has(p), word_spans(j, [p])).otherwise(none) for p in PHRASES])  # none can overlap itself, but it could another
+    d = docs.select(F.col(doc_id).alias("doc_id"), normalised(F.coalesce(F.col(text), F.lit(""))).alias("j"))
+
+    def found(words: Column) -> Column:
+        def hits(present: Column) -> Column:
+            numbered = F.transform(words, lambda w, i: F.struct((i - 1).cast("long").alias("w"), w.alias("m")))
+            return F.filter(numbered, lambda x: F.array_contains(present, x["m"]))
+
+        return let(
+            F.array_intersect(words, literals(every)),
+            lambda present: F.when(F.size(present) >= min_votes, let(hits(present), lambda h: let(votes(h, present), accepted))),
         )
 
-    labels = F.array(*[F.lit(label) for label, _, _ in TEMPLATES])
+    d = d.select("doc_id", (n_spaces(j) - 1).cast("long").alias("n_words"), base.alias("base"), let(F.split(j, " "), found).alias("found"))
+    label = F.array(*[F.lit(name) for name, _, _ in TEMPLATES])
+    most = F.array(*[F.lit(min(top_k, len(words))) for words in index])
     phrase_label = F.create_map(*[F.lit(x) for kv in PHRASES.items() for x in kv])
-    out = m.join(F.broadcast(idf)).withColumn(
-        "found",
-        F.when(
-            F.size("hits") > 0,
-            let(votes(F.col("hits"), F.col("keys"), F.col("idf")), lambda v: accepted(v, F.col("keys"))),
-        ).otherwise(F.array().cast("array<struct<t:int,n:int>>")),
-    )
-    base = F.transform("base", lambda b: F.element_at(phrase_label, b["m"]))
-    own = F.transform("found", lambda x: F.get(labels, x["t"]))
+    named = F.transform("base", lambda b: F.element_at(phrase_label, b["m"]))
+    own = F.coalesce(F.transform("found", lambda x: F.get(label, x["t"])), F.array().cast("array<string>"))
     places = F.transform("base", lambda b: b["w"])
-    share = F.array_max(
-        F.transform("found", lambda x: F.least(F.lit(1.0), x["n"] / F.least(F.lit(top_k), F.get(F.array(*map(F.lit, sizes)), x["t"]))))
-    )
-    return out.select(
+    share = F.array_max(F.transform("found", lambda x: F.least(F.lit(1.0), x["n"] / F.get(most, x["t"]))))
+    return d.select(
         "doc_id",
         "n_words",
         F.size("base").cast("long").alias("n_base"),
         F.array_min(places).alias("first_word"),
         F.array_max(places).alias("last_word"),
-        F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_distinct(F.concat(base, own))), ",").alias("labels"),
+        F.array_join(F.array_sort(F.array_distinct(named)), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_distinct(F.concat(named, own))), ",").alias("labels"),
         F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.coalesce(share, F.lit(0.0))).alias("score"),
     )
