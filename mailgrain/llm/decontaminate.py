@@ -9,8 +9,10 @@ sketch there up to sampling error; a document that holds ``1 of 4`` sketch hashe
 c = 0.8 a true pair is missed with a chance below 10^-9. Candidates are then verified exactly: the document's full shingle
 set against the item's.
 
-Item sketches and full item sets are broadcast up to ``max_broadcast_shingles``; beyond that, sampled document hashes are
-joined to the sketches by shuffling, and so are the sets of the candidates.
+Item sketches and full item sets are broadcast up to ``max_broadcast_shingles``. Beyond that, sketches are matched by a
+shuffle: of a document's hashes only those go into it whose bit is set in a bitmap of all sketch hashes (16 MB, whatever the
+number of items), dealt over ``SALTS`` salts so that a hash which very many documents hold is split; only the candidates'
+full sets are then matched, by document and hash.
 
 Defined results: null or blank texts and items match nothing; an item of fewer words than a shingle is one shingle of all
 its words; repeated items are reported under each of their ids; repeated documents are each reported; an empty benchmark
@@ -26,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, small, unused
 from .shingles import distinct_in_texts, pieces, shingle_hashes, word_hashes
 
 TOP = float(2**64)
+BITMAP_BITS, SALTS = 27, 16
 SCHEMA = "item bigint, n bigint, h bigint, low boolean"
 
 
@@ -68,27 +71,27 @@ def decontaminate(
     item_text: str = "text",
     containment: float = 0.8,
     sketch: int = 24,
-    max_broadcast_shingles: int = 2_000_000,
+    max_broadcast_shingles: int = 500_000,
 ) -> DataFrame:
     """doc_id, item_id, n_shared, n_item, containment: a row for each document and item whose containment is reached."""
     scratch = Scratch(docs.sparkSession)
     full = scratch.write(item_shingles(benchmark, item_id, item_text), "items")
     rows = _bounded(full, max_broadcast_shingles)
     if rows is None:
-        return _joined(docs, full, doc_id, text, containment, sketch, scratch)
+        return _joined(docs, full, doc_id, text, containment, sketch, scratch).select("doc_id", "item_id", "n_shared", "n_item", "containment")
     names = F.broadcast(full.select("item", "item_id").distinct())  # fewer rows than the shingles counted above
-    found = _searched(docs if rows else docs.limit(0), rows, doc_id, text, containment, sketch).join(names, "item")
+    found = _searched(docs if len(rows) else docs.limit(0), rows, doc_id, text, containment, sketch).join(names, "item")
     return found.select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
-def _bounded(full: DataFrame, most: int) -> list | None:
-    """The items' shingles if there are ``most`` at most."""
-    return full.collect() if full.limit(most + 1).count() <= most else None
+def _bounded(full: DataFrame, most: int) -> pa.Table | None:
+    """The items' shingles if there are ``most`` at most: 24 bytes each."""
+    return full.select("item", "n", "h").toArrow() if full.limit(most + 1).count() <= most else None
 
 
-def _index(rows: list, sketch: int):
+def _index(rows: pa.Table, sketch: int):
     """Arrays of the item side: items' sizes, sketch hashes with their items, all hashes with their items."""
-    item, n, h = (np.array([r[k] for r in rows], np.int64) for k in ("item", "n", "h"))
+    item, n, h = (rows[k].to_numpy() for k in ("item", "n", "h"))
     numbers, first, at = np.unique(item, return_index=True, return_inverse=True)
     h = h.view(np.uint64)
     order = np.argsort(h, kind="stable")
@@ -135,7 +138,7 @@ def _finder(index, containment: float):
     return find
 
 
-def _searched(docs: DataFrame, rows: list, doc_id: str, text: str, containment: float, sketch: int) -> DataFrame:
+def _searched(docs: DataFrame, rows: pa.Table, doc_id: str, text: str, containment: float, sketch: int) -> DataFrame:
     """doc_id, item (its number), n_shared, n_item."""
     kind = docs.schema[doc_id].dataType.simpleString()
     index = docs.sparkSession.sparkContext.broadcast(_index(rows, sketch))
@@ -155,35 +158,62 @@ def _searched(docs: DataFrame, rows: list, doc_id: str, text: str, containment:
     return texts.mapInArrow(run, f"doc_id {kind}, item bigint, n_shared bigint, n_item bigint")
 
 
-def _joined(docs, full, doc_id, text, containment, sketch, scratch) -> DataFrame:
-    """For benchmarks too large to broadcast. Document hashes meet the items' by shuffle; counts of the sketch hashes choose
-    the candidates, and counts of all hashes verify them."""
-    kind = docs.schema[doc_id].dataType.simpleString()
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    """Bits of the low BITMAP_BITS of all hashes: 2^12 rows of 4 kB at most, whatever the number of hashes."""
+    place = F.col("h").bitwiseAND(F.lit(2**BITMAP_BITS - 1)) + 1
+    parts = hashes.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
+    rows = parts.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+    out = np.zeros(2**BITMAP_BITS // 8, np.uint8)
+    for r in rows:
+        out[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
+
+
+def _hashes(docs: DataFrame, kind: str, bitmap: np.ndarray | None = None) -> DataFrame:
+    """row, doc_id, h: distinct shingles of each text, or those of them that are in the bitmap."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in pieces(whole, "text"):
                 h, off = distinct_in_texts(*shingle_hashes(*word_hashes(b.column("text"))))
-                rows = pa.array(np.repeat(np.arange(len(off) - 1), np.diff(off)))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("row").take(rows), b.column("doc_id").take(rows), pa.array(h.view(np.int64))], ["row", "doc_id", "h"]
-                )
+                rows = np.repeat(np.arange(len(off) - 1), np.diff(off))
+                if shared.value is not None:
+                    place = (h & np.uint64(2**BITMAP_BITS - 1)).astype(np.int64)
+                    known = (shared.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+                    h, rows = h[known], rows[known]
+                take = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([b.column("row").take(take), b.column("doc_id").take(take), pa.array(h.view(np.int64))], ["row", "doc_id", "h"])
+
+    return docs.mapInArrow(run, f"row bigint, doc_id {kind}, h bigint")
+
 
+def _joined(docs, full, doc_id, text, containment, sketch, scratch) -> DataFrame:
+    """For benchmarks too large to broadcast: counts of the sketch hashes choose the candidates, full sets verify them."""
+    kind = docs.schema[doc_id].dataType.simpleString()
     level = F.greatest(F.lit(0.0), F.floor(F.log2(F.col("n") / sketch)) - 1)
     unsigned = F.when(F.col("h") < 0, F.col("h").cast("double") + TOP).otherwise(F.col("h").cast("double"))
     marked = full.withColumn("low", unsigned < F.pow(F.lit(0.5), level) * TOP)
     kept = marked.groupBy("item").agg(F.sum(F.col("low").cast("long")).alias("kept"))
     marked = marked.join(kept, "item").withColumn("low", F.col("low") | (F.col("kept") < sketch // 2))
     marked = marked.withColumn("kept", F.when(F.col("kept") < sketch // 2, F.col("n")).otherwise(F.col("kept")))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    seen = rows.mapInArrow(run, f"row bigint, doc_id {kind}, h bigint")
-    pairs = (
-        seen.join(marked.select("h", "item", "item_id", "n", "low", "kept"), "h")
-        .groupBy("row", "doc_id", "item", "item_id", "n", "kept")
-        .agg(F.count("*").alias("n_shared"), F.sum(F.col("low").cast("long")).alias("got"))
-        .filter((4 * F.col("got") >= F.col("kept")) & (F.col("n_shared") >= containment * F.col("n") - 1e-9))
-    )
-    return pairs.select("doc_id", "item_id", "n_shared", F.col("n").alias("n_item"), (F.col("n_shared") / F.col("n")).alias("containment"))
+    low = scratch.write(marked.filter("low").select("h", "item", "kept"), "sketches")
+
+    keyed = docs.select(F.xxhash64(doc_id, text).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    salted = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    seen = _hashes(keyed, kind, _bitmap(low)).distinct().withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    pairs = seen.join(salted, ["h", "salt"]).groupBy("row", "item", "kept").agg(F.count("*").alias("got")).filter(4 * F.col("got") >= F.col("kept"))
+    pairs = scratch.write(pairs.select("row", "item"), "candidates")
+    wanted = pairs.join(full.select("item", "item_id", "n", "h"), "item")
+    some = keyed.join(small(pairs.select("row").distinct(), 500_000), "row", "left_semi")
+    shared = _hashes(some, kind).distinct().join(wanted, ["row", "h"])
+    found = shared.groupBy("row", "doc_id", "item", "item_id", "n").agg(F.count("*").alias("n_shared"))
+    found = found.filter(F.col("n_shared") >= containment * F.col("n") - 1e-9)
+    # Equal rows were matched once; each of them is reported.
+    copies = keyed.join(small(found.select("row").distinct(), 500_000), "row", "left_semi").select("row")
+    found = found.join(copies.groupBy("row").agg(F.count("*").alias("copies")), "row")
+    found = found.withColumn("_", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+    return found.select("row", "doc_id", "item_id", "n_shared", F.col("n").alias("n_item"), (F.col("n_shared") / F.col("n")).alias("containment"))
 
 
 def drop_contaminated(
@@ -194,7 +224,7 @@ def drop_contaminated(
     item_text: str = "text",
     containment: float = 0.8,
     sketch: int = 24,
-    max_broadcast_shingles: int = 2_000_000,
+    max_broadcast_shingles: int = 500_000,
 ) -> DataFrame:
     """The documents, all columns, that hold no item. With a broadcast benchmark this filters rows where they are; else
     rows get keys of their own, so that null or repeated ids neither drop nor keep others."""
@@ -202,10 +232,11 @@ def drop_contaminated(
     full = scratch.write(item_shingles(benchmark, item_id, item_text), "items")
     rows = _bounded(full, max_broadcast_shingles)
     if rows is None:
-        keyed = scratch.write(docs.withColumn("_row", F.monotonically_increasing_id()), "decontaminate_rows")
-        bad = _joined(keyed, full, "_row", text, containment, sketch, scratch).select(F.col("doc_id").alias("_row")).distinct()
-        return keyed.join(bad, "_row", "left_anti").select(*docs.columns)
-    if not rows:
+        row = unused(docs, "row")
+        keyed = scratch.write(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate_rows")
+        bad = _joined(keyed, full, row, text, containment, sketch, scratch).select(F.col("doc_id").alias(row)).distinct()
+        return keyed.join(bad, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    if not len(rows):
         return docs
     index = docs.sparkSession.sparkContext.broadcast(_index(rows, sketch))
 
