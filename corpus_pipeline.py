@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailgrain.llm.common import Scratch, table
+from mailgrain.llm.common import Scratch, drop_since, scratch_mark, table
 from mailgrain.llm.decontaminate import drop_contaminated
 from mailgrain.llm.language import identify, learn, training_labels
 from mailgrain.llm.near_dedup import deduplicate
@@ -25,8 +25,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that with the smallest id, of each group of near duplicates."""
-    return deduplicate(docs)
+    """Keeps one document, that with the smallest id, of each group of near duplicates: of the word shingles that either has,
+    0.8 are in both."""
+    return deduplicate(docs, similarity=80)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,5 +64,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        mark = scratch_mark()
         docs = scratch.write(stage(spark, docs, sf_dir), name)
+        drop_since(spark, mark)  # the stage's own intermediate tables
     return STAGES[-1][1](spark, docs, sf_dir)
