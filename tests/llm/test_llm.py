@@ -482,7 +482,7 @@ def test_pipeline(spark):
         if name == "language":
             assert all(not any(c.isalpha() for c in before[d]) for d in set(before) - set(after))
         if name == "near_dedup":
-            assert set(after) == {d for d, (_, c) in brute.components(before).items() if d == c}
+            assert set(after) == {d for d, (_, c) in brute.components(before, 80).items() if d == c}
         if name == "decontaminate":
             items = [brute.shingles(r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
             assert set(before) - set(after) == {d for d, t in before.items() for s0 in [brute.shingles(t)] if any(s and len(s0 & s) >= 0.8 * len(s) for s in items)}
@@ -492,3 +492,281 @@ def test_pipeline(spark):
         kept = out
     rows = C.run(spark, sf).collect()
     assert {r["doc_id"] for r in rows} == set(texts_of(kept)) and all(r["n_pieces"] == len(r["piece_ids"]) for r in rows)
+
+
+def words_of(text):
+    return brute.WORD.findall((text or "").translate(brute.LOWER))
+
+
+@pytest.mark.parametrize("piece", [24, 33, 41, 49])
+def test_passage_whose_parts_stand_elsewhere(spark, piece):
+    """Two documents share 90 words; 34 others, with smaller and larger ids, hold pieces of them."""
+    import random
+
+    from mailgrain.llm.passages import find_passages
+
+    rng = random.Random(piece)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    passage = fresh(90)
+    rows = {500: fresh(40) + passage + fresh(20), 600: fresh(10) + passage + fresh(60)}
+    for i in range(17):
+        for k in (i, 1000 + i):
+            at = rng.randrange(0, 90 - piece)
+            rows[k] = fresh(30) + passage[at : at + piece] + fresh(30)
+    d = spark.createDataFrame([(k, " ".join(w)) for k, w in rows.items()], "doc_id bigint, text string")
+    got = {tuple(r)[:6] for r in find_passages(d, within=False).collect()}
+    assert got == {(500, 40, 90, 600, 10, 90), (600, 10, 90, 500, 40, 90)}
+
+
+def test_passage_of_very_many(spark):
+    """A line of a third of all documents, its places cut over many partitions; clean documents are left alone."""
+    import random
+
+    from mailgrain.llm.passages import find_passages
+
+    rng = random.Random(4)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    line = fresh(60)
+    rows = [(i, " ".join(fresh(rng.randrange(30)) + (line if i % 3 == 0 else []) + fresh(20))) for i in range(900)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        got = find_passages(d, within=False).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {r["doc_id"] for r in got} == {i for i in range(900) if i % 3 == 0}
+    near = {}
+    for r in got:
+        near.setdefault(r["doc_id"], set()).add(r["ref_doc_id"])
+    seen, todo = set(), [0]
+    while todo:
+        x = todo.pop()
+        if x not in seen:
+            seen.add(x)
+            todo += near[x]
+    assert len(seen) == 300 and sum(map(len, near.values())) < 300 * 40  # all hang together, without all pairs
+
+
+def test_passages_recall(spark):
+    """Exact passages against brute force on the larger table: every document, and all words but for a few."""
+    from mailgrain.llm.passages import find_passages
+
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    words, places = {i: words_of(t) for i, t in texts_of(d).items()}, {}
+    for i, w in words.items():
+        for k in range(len(w) - 49):
+            places.setdefault(tuple(w[k : k + 50]), []).append((i, k))
+    want = {}
+    for v in places.values():
+        if len({i for i, _ in v}) > 1:
+            for i, k in v:
+                want.setdefault(i, set()).update(range(k, k + 50))
+    got = {}
+    for r in find_passages(d, within=False).collect():
+        got.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["start_word"] + r["n_words"]))
+    missed = sum(len(x - got.get(i, set())) for i, x in want.items())
+    assert set(want) <= set(got) and missed <= 0.001 * sum(map(len, want.values()))
+
+
+def test_redact_leaves_nothing_of_a_span(spark):
+    """Nested and overlapping spans, more of them than any window: what is outside all spans stays, and nothing else."""
+    import random
+
+    from mailgrain.llm.pii import find_pii, redact
+
+    rng = random.Random(8)
+    nested = "write " + ".".join(["1.1.1.%d-john%d" % (i % 2, i) for i in range(14)]).replace("n.1", "n-1") + "@x.org now"
+    texts = ["write 1.1.1.0-john0-" + "-".join(f"1.1.1.{i}-john{i}" for i in range(1, 14)) + "@x.org now", nested]
+    for _ in range(40):
+        atoms = ["10.0.0.%d" % rng.randrange(300), "4111 1111 1111 1111", "+1 555 123 4567", "bob@x.org", "-", ".", " ", "word", "DE89 3704 0044 0532 0130 00", "fe80::1"]
+        texts.append("".join(rng.choices(atoms, k=40)))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    spans = {r["doc_id"]: sorted((x["s"], x["e"]) for x in r["spans"]) for r in find_pii(d).collect()}
+    for i, t in texts_of(redact(d)).items():
+        import re
+
+        covered = {k for s, e in spans[i] for k in range(s, e)}
+        assert re.sub(r"\[[A-Z0-9_]+\]", "", t) == "".join(c for k, c in enumerate(texts[i]) if k not in covered), texts[i]
+    assert texts_of(redact(d))[0] == "write [EMAIL] now"
+
+
+def test_large_group_of_near_copies(spark):
+    """Groups far above the sizes at which representatives are used, with members that only other members are linked with."""
+    import random
+
+    from mailgrain.llm.near_dedup import find_near_duplicates
+
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(200)]
+    rows, chain = {}, list(base)
+    for i in range(220):
+        w = list(base)
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+        rows[i] = " ".join(w)
+    for i in range(220, 260):  # a chain away from the others: each is near its neighbours alone
+        for _ in range(2):
+            chain[rng.randrange(200)] = f"y{rng.randrange(10**6)}"
+        rows[i] = " ".join(chain)
+    d = spark.createDataFrame(list(rows.items()), "doc_id bigint, text string")
+    want = brute.components(rows)
+    assert len({c for _, c in want.values()}) < 20
+    for options in ({"region": 16, "group_docs": 16}, {"region": 40, "group_docs": 64, "max_broadcast_rows": 0}):
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in find_near_duplicates(d, **options).collect()} == want
+
+
+def test_forest_recall():
+    """The share of pairs at the threshold that the forest's regions bring together, at first and at full depth."""
+    import numpy as np
+
+    from mailgrain.llm import near_dedup as N
+
+    rng, by = np.random.default_rng(5), N.multipliers()
+    for similarity, first in ((0.85, N.FIRST), (0.8, N.FIRST - 1)):
+        met, deep, trials = 0, 0, 400
+        for _ in range(trials):
+            n, both = 400, int(round(400 * 2 * similarity / (1 + similarity)))
+            pool = rng.integers(0, 2**63, 2 * n - both).astype(np.uint64)
+            a, b = (N.signature(x, by) for x in (pool[:n], pool[n - both :]))
+            same = a == b
+            trees = [t for t in range(N.TREES) if same[t * N.FIRST : t * N.FIRST + first].all()]
+            met += bool(trees)
+            deep += any(same[N.branch_slots(t, k)[: N.DEPTH - first]].all() for t in trees for k in range(N.BRANCHES))
+        assert met == trials and deep >= 0.99 * trials, (similarity, met, deep)
+
+
+def test_clashing_columns(spark):
+    from mailgrain.llm.decontaminate import drop_contaminated
+    from mailgrain.llm.near_dedup import deduplicate
+    from mailgrain.llm.pii import redact
+
+    names = ["key", "row", "key_", "row_", "_n", "_spans", "_key", "_row", "c", "h", "part", "role", "carried", "changed", "redacted", "spans", "candidates", "t"]
+    rows = [(i, t, 5, *[f"{n}{i}" for n in names]) for i, t in enumerate([BASE, BASE, "ask bob@x.org", None])]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint, " + ", ".join(f"{n} string" for n in names))
+    bench = spark.createDataFrame([(1, BASE)], "item_id bigint, text string")
+    kept = [tuple(r) for r in rows]
+    assert sorted(tuple(r) for r in deduplicate(d).collect()) == [kept[0], *kept[2:]]
+    for most in (500_000, 0):
+        assert sorted(tuple(r) for r in drop_contaminated(d, bench, max_broadcast_shingles=most).collect()) == kept[2:]
+    assert sorted(tuple(r) for r in redact(d).collect()) == [*kept[:2], (2, "ask [EMAIL]", 11, *kept[2][3:]), kept[3]]
+
+
+def test_shrunk_rates(spark):
+    """The beta prior against plain Python."""
+    from mailgrain.llm.quality_rules import RULES, host_verdicts, measure
+
+    good = " ".join(f"w{i}" for i in range(60))
+    sizes = {"https://www.A.org/x": (1, 4), "a.org": (2, 3), "b": (9, 11), "c": (0, 30), "d": (5, 5), "e": (1, 1), "f": (3, 50)}
+    rows = [(h, "bad" if i < bad else good) for h, (bad, n) in sizes.items() for i in range(n)]
+    d = spark.createDataFrame([(i, t, h) for i, (h, t) in enumerate(rows)], "doc_id bigint, text string, source string")
+    got = {r["host"]: r for r in host_verdicts(measure(d)).collect()}
+    hosts = {"a.org": (3, 7), **{h: v for h, v in sizes.items() if len(h) == 1}}
+    rates = [f / n for f, n in hosts.values()]
+    m, noise = sum(rates) / len(rates), sum(1 / n for _, n in hosts.values()) / len(rates)
+    seen = sum((r - m) ** 2 for r in rates) / len(rates)
+    v = (seen - m * (1 - m) * noise) / (1 - noise)
+    weight = min(1e4, max(1.0, m * (1 - m) / v - 1)) if v > 0 else 1e4
+    assert set(got) == set(hosts) and v > 0
+    for h, (f, n) in hosts.items():
+        assert abs(got[h][f"rate_{RULES[0]}"] - (f + m * weight) / (n + weight)) < 1e-9
+
+
+def test_license_labels_against_brute_force(spark, small):
+    """The method's labels: document frequencies, index words, votes at one relative position, key phrases, in plain Python."""
+    from collections import Counter
+
+    from mailgrain.llm import licenses as L
+
+    notices = [t for _, t, _ in L.TEMPLATES]
+    cut = [" ".join(t.split()[: len(t.split()) // 2]) for t in notices] + [" ".join(t.split()[3:]) for t in notices]
+    texts = {**texts_of(small), **{5000 + i: "Intro here. " + t + " The end." for i, t in enumerate(notices + cut)}}
+    d = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    words = {i: brute.license_words(t) for i, t in texts.items()}
+    df = Counter(w for v in words.values() for w in set(v))
+    index = []
+    for t in notices:
+        ranked = sorted({w for w in L.words_of(t) if df[w]}, key=lambda w: (df[w], w))
+        index.append([w for k, w in enumerate(ranked) if 2 * k <= len(ranked) or df[w] <= L.RARE * len(texts)])
+    want = {}
+    for i, v in words.items():
+        joined, labels = f" {' '.join(v)} ", set(filter(None, brute.licenses(texts[i])[4].split(",")))
+        for (label, t, phrases), own in zip(L.TEMPLATES, index):
+            chosen = [w for w in own if w in set(v)][:8]
+            at = Counter(a - b for a, x in enumerate(v) if x in chosen for b, y in enumerate(L.words_of(t)) if x == y)
+            if len(chosen) >= 2 and at and max(at.values()) >= 2 and all(f" {p} " in joined for p in phrases):
+                labels.add(label)
+        want[i] = ",".join(sorted(labels))
+    got = {r["doc_id"]: r["labels"] for r in L.scan_licenses(d).collect()}
+    assert got == want and all(L.TEMPLATES[k][0] in want[5000 + k].split(",") for k in range(len(notices)))
+
+
+def test_letters_are_unicode_letters(spark):
+    from mailgrain.llm.language import features, identify, learn
+
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(["the plain words of it", "los gatos de la casa"] * 10)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, ["en", "es"][i % 2]) for i in range(20)], "doc_id bigint, label string")
+    odd = spark.createDataFrame([(0, "½ 10"), (1, "²³"), (2, "Ⅷ"), (3, "_ 12 !"), (4, "é")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in identify(odd, learn(d, labels)).collect()}
+    assert [got[i] == "und" for i in range(5)] == [True, True, True, True, False]
+    import mailgrain.llm.language as LG
+
+    text, whole = "añb çde " * 5000, LG.PART
+    at_once = features(text)
+    try:
+        LG.PART = 1000
+        assert abs(features(text) - at_once).max() < 1e-6
+    finally:
+        LG.PART = whole
+
+
+def test_sample_of_a_hot_label(spark):
+    """The same rows as by ranking all of a label."""
+    from mailgrain.llm.samples import labelled_sample
+
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    labels = docs.select("doc_id", F.when(F.col("doc_id") < 2900, "hot").otherwise("rare").alias("label"))
+    got = {(r["text"], r["label"]) for r in labelled_sample(docs, labels, 50).collect()}
+    ranked = labels.withColumn("h", F.xxhash64("doc_id")).orderBy("h").collect()
+    want = {(str(r["doc_id"]), label) for label in ("hot", "rare") for r in [x for x in ranked if x["label"] == label][:50]}
+    assert got == want
+
+
+def test_driver_queries(spark):
+    """The columns that the contracts name, of each query over the smallest documents."""
+    import binascii
+
+    sf = "/root/testdata/sf0.001"
+    texts = texts_of(spark.read.parquet(f"{sf}/documents.parquet"))
+    got = {name: q(spark, sf).collect() for name, q in Q.queries().items() if name != "pipeline"}
+    for name in ("op1_pii", "op2_quality_rules", "op3_near_dedup", "op4_secrets", "op5_pieces", "op6_language", "op7_quality", "op9_licenses"):
+        assert sorted(r["doc_id"] for r in got[name]) == sorted(texts), name
+    for name, kinds in (("op1_pii", brute.PII), ("op4_secrets", brute.SECRETS)):
+        for r in got[name]:
+            found = brute.find(kinds, texts[r["doc_id"]])
+            order = list(kinds)
+            if name == "op4_secrets":
+                found.sort(key=lambda x: (x[1], order.index(x[0])))
+            assert r["base_sha256"] == brute.digest(found) and [r[f"n_{k}"] for k in order] == [sum(x[0] == k for x in found) for k in order]
+            assert set(f"{k}:{s}:{e}" for k, s, e in found) <= set(r["spans"].split(","))
+    held = {d: binascii.crc32(str(d).encode()) % 5 == 0 for d in texts}
+    assert all(r["held_out"] == held[r["doc_id"]] for n in ("op6_language", "op7_quality") for r in got[n])
+    assert all(r["predicted"] == int(r["score"] >= 0.3) and 0 <= r["score"] <= 1 for r in got["op7_quality"])
+    for r in got["op2_quality_rules"]:
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == brute.quality(texts[r["doc_id"]])
+        assert not (r["base_failed"] and r["kept"])
+    assert all(r["round_trip"] for r in got["op5_pieces"])
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got["op3_near_dedup"])
+    ids = {r["doc_id"] for r in got["op8_decontaminate"]} | {r["doc_id"] for r in got["op10_passages"]}
+    assert ids <= set(texts) and got["op8_decontaminate"] and got["op10_passages"]
+
+
+def test_pipeline_on_awkward_rows(spark, docs, tmp_path):
+    import corpus_pipeline as C
+
+    for name, d in (("rows", docs.filter("doc_id is not null").select("doc_id", "text", "lang", "source", "n_chars")), ("empty", docs.limit(0).select("doc_id", "text", "lang", "source", "n_chars"))):
+        sf = str(tmp_path / name)
+        d.write.parquet(f"{sf}/documents.parquet")
+        items(spark, docs).write.parquet(f"{sf}/benchmark.parquet")
+        got = C.run(spark, sf).collect()
+        assert (name == "rows") == bool(got)
