@@ -320,10 +320,10 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", precis
 
 def redact(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", precision: float = 0.9, doc_id: str = "doc_id") -> DataFrame:
     """The same rows and columns, with each found span replaced by its kind in brackets and ``n_chars`` brought up to date;
-    of overlapping spans the first one is named and the rest of the others goes with it. Rows without a span don't change."""
+    of overlapping spans the first one, of several the longest, is named and the rest of the others goes with it. Rows without a span don't change."""
     fold = F.xxhash64(doc_id if doc_id in docs.columns else text)
     found = spans_with(docs, text, F.struct(*[F.col(f"`{c}`") for c in docs.columns]), fold, precision)
-    place = F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind")))
+    place = F.transform("spans", lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("last"), x["e"].alias("e"), x["kind"].alias("kind")))
     t = F.col("carried").getField(text)
 
     def cut(spans: Column) -> Column:
