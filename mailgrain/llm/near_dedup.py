@@ -6,9 +6,9 @@
    ``region`` classes or fewer, neighbours in the sorted order are compared by the share of all their minhash values that
    agree; what reaches ``sketch_similarity`` joins into candidate groups.
 3. A larger region is first compared with ``REPRESENTATIVES`` of its own: classes near one of them are in one candidate group,
-   so no pair among them is left to find. Only if some are near none, the region goes on, split by one more value in each of
-   ``BRANCHES`` orders, again and again: depth adapts to each region. At full depth, what no representative is near to is
-   compared with the whole region in blocks.
+   so no pair among them is left to find. What no representative is near to is compared with the whole region in blocks, if
+   that is ``region`` classes or fewer. Else the region goes on, split by one more value in each of ``BRANCHES`` orders, again
+   and again: depth adapts to each region. At full depth all that is left is compared in blocks.
 4. Candidate groups are compared on full sets in the same way: all pairs of a small group; a large one with representatives
    first, then what they aren't linked with against the whole group, in blocks. A group of n near copies so takes n
    comparisons, and n * |rest| only for texts that no representative is linked with. A task reports a spanning forest.
@@ -246,7 +246,7 @@ def in_rest(rows: DataFrame, group: str, parts: str, by: str, left: str, left_pa
 def candidate_links(classes: DataFrame, region: int, first: int, sketch_similarity: float, scratch: Scratch) -> DataFrame:
     """a, b: links that join the candidate groups."""
     least, found = least_agreeing(sketch_similarity), None
-    rows = classes.filter("n > 0").select("c", "slots", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    rows = classes.filter("n > 0").select("c", "slots", "low", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     rows = rows.withColumn("branch", F.lit(0))
     at = F.create_map(*[F.lit(x) for t in range(TREES) for b in range(BRANCHES) for x in (t * BRANCHES + b, branch_slots(t, b))])
 
@@ -255,40 +255,55 @@ def candidate_links(classes: DataFrame, region: int, first: int, sketch_similari
 
     def collect(links: DataFrame) -> None:
         nonlocal found
-        links = links.select("a", "b").distinct()
+        links = links.select("a", "b")
         found = links if found is None else found.unionByName(links)
 
+    def compared(rows: DataFrame, rest: bool) -> DataFrame:
+        full = rows.select("key", "c", "role", "region", "low").repartition("key").sortWithinPartitions("key")
+        return full.mapInArrow(near_representatives(least, rest), FOUND)
+
     for depth in range(first, DEPTH + 1):
         own = F.element_at(at, F.col("tree") * BRANCHES + F.col("branch"))
-        prefix = [F.substring("slots", F.col("tree") * 4 * FIRST + 1, F.lit(4 * first)), *[value(F.get(own, F.lit(i))) for i in range(depth - first)]]
-        keyed = rows.select("c", "tree", "branch", F.xxhash64("tree", "branch", *prefix).alias("region"))
+        order = F.substring("slots", F.col("tree") * 4 * FIRST + 1, F.lit(4 * FIRST))
+        prefix = [F.substring(order, F.lit(1), F.lit(4 * first)), *[value(F.get(own, F.lit(i))) for i in range(depth - first)]]
+        keyed = rows.select("c", "tree", "branch", "low", order.alias("order"), F.xxhash64("tree", "branch", *prefix).alias("region"))
         sizes = keyed.groupBy("region").agg(F.count("*").alias("size")).filter("size > 1")
         held = scratch.write(keyed.join(sizes, "region"), f"regions{depth}")
-        order = F.substring("slots", F.col("tree") * 4 * FIRST + 1, F.lit(4 * FIRST))
-        few = held.filter(F.col("size") <= region).join(classes.select("c", "slots", "low"), "c").withColumn("order", order)
-        few = few.withColumnRenamed("region", "key").repartition("key").sortWithinPartitions("key", "order").select("key", "c", "low")
-        collect(few.mapInArrow(near_in_regions(least), "a bigint, b bigint"))
-        many = held.filter(F.col("size") > region)
+        few = held.filter(F.col("size") <= region).withColumnRenamed("region", "key").select("key", "c", "low", "order")
+        collect(few.repartition("key").sortWithinPartitions("key", "order").drop("order").mapInArrow(near_in_regions(least), "a bigint, b bigint"))
+        many = held.filter(F.col("size") > region).withColumn("parts", F.ceil(F.col("size") / region))
         if many.isEmpty():
-            return found.distinct()
-        many = many.withColumn("parts", F.ceil(F.col("size") / region))
-
-        def compared(dealt: DataFrame, rest: bool) -> DataFrame:
-            full = dealt.join(classes.select("c", "low"), "c").repartition("key").sortWithinPartitions("key")
-            return full.select("key", "c", "role", "region", "low").mapInArrow(near_representatives(least, rest), FOUND)
-
-        got = scratch.write(compared(in_parts(many, "region", "parts", "c", "size"), False).distinct(), f"represented{depth}")
+            break
+        got = scratch.write(compared(in_parts(many, "region", "parts", "c", "size"), False), f"represented{depth}")
         collect(got.filter("a IS NOT NULL"))
-        left = got.filter("left IS NOT NULL").select(F.col("left").alias("c"), "region")
-        open_ = left.groupBy("region").agg(F.ceil(F.count("*") / region).alias("left_parts"))
-        rows = many.join(open_, "region").join(classes.select("c", "slots"), "c")
-        if left.isEmpty():
-            return found.distinct()
+        left = got.filter("left IS NOT NULL").select(F.col("left").alias("c"), "region").distinct()
+        counts = left.groupBy("region").agg(F.count("*").alias("n_left"))
+        most = counts.agg(F.max("n_left")).first()[0]
+        if not most:
+            break
+        if depth == DEPTH:
+            blocks, deeper = F.ceil(F.col("n_left") / region), None
+        else:
+            blocks, deeper = F.lit(1).cast("bigint"), counts.filter(F.col("n_left") > region).select("region") if most > region else None
+            counts = counts.filter(F.col("n_left") <= region)
+        # A class that is left meets each part of its region; so do the parts' members, once for each block of what is left.
+        region_parts = many.select("region", "parts").distinct().join(counts, "region").withColumn("blocks", blocks)
+        left = left.join(region_parts, "region").join(classes.select("c", "low"), "c").withColumns({"role": F.lit(1), "block": part("c", "blocks")})
+        left = left.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+        members = many.withColumns({"role": F.lit(0), "part": part("c", "parts")})
+        if depth < DEPTH or most <= region:
+            members = members.withColumn("block", F.lit(0).cast("bigint"))
+        else:
+            members = members.join(region_parts.select("region", "blocks"), "region")
+            members = members.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+        names = ["key", "c", "role", "region", "low"]
+        both = members.unionByName(left, allowMissingColumns=True).withColumn("key", F.xxhash64("region", "part", "block")).select(*names)
+        collect(compared(both, True).filter("a IS NOT NULL"))
+        if deeper is None:
+            break
+        rows = many.select("c", "tree", "branch", "region", "low").join(deeper, "region").join(classes.select("c", "slots"), "c")
         if depth == first:
             rows = rows.withColumn("branch", F.explode(F.sequence(F.lit(0), F.lit(BRANCHES - 1))))
-    rest = many.join(open_, "region").join(left.withColumn("is_left", F.lit(True)), ["region", "c"], "left")
-    rest = rest.withColumn("is_left", F.coalesce("is_left", F.lit(False)))
-    collect(compared(in_rest(rest, "region", "parts", "c", "is_left", "left_parts"), True).filter("a IS NOT NULL"))
     return found.distinct()
 
 
