@@ -18,7 +18,7 @@ K = 5
 _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def pieces(batch: pa.RecordBatch, text: str, max_bytes: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, text: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``max_bytes`` of text (or items of lists), so that many long texts don't add up; a longer
     one stands alone."""
     column = batch.column(text)
