@@ -141,9 +141,10 @@ def glob_regex(glob: str) -> str:
 
 
 def quarter_label(ns: Column, bucket: str) -> Column:
-    ts = F.timestamp_micros(F.floor(ns / 1000).cast("bigint"))
+    """In UTC, whatever the session's zone."""
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(ns / (86400 * 10**9)).cast("int"))
     if bucket == "year":
-        return F.date_format(ts, "yyyy")
+        return F.when(ns.isNotNull(), F.format_string("%04d", F.year(day)))
     if bucket == "month":
-        return F.date_format(ts, "yyyy-MM")
-    return F.concat(F.date_format(ts, "yyyy"), F.lit("Q"), F.quarter(ts))
+        return F.when(ns.isNotNull(), F.format_string("%04d-%02d", F.year(day), F.month(day)))
+    return F.when(ns.isNotNull(), F.format_string("%04dQ%d", F.year(day), F.quarter(day)))

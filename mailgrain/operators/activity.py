@@ -41,17 +41,30 @@ def file_timeline(m: DataFrame, path: str, bucket: str = "quarter", since_ns=Non
     )
 
 
+def timeline_events(m: DataFrame, path: str, order: str = "desc", limit: int = 100, since_ns=None, until_ns=None, list_name=None) -> DataFrame:
+    """The messages of a file's timeline by date, undated ones last in both orders; the histogram is taken over all of them,
+    whatever the limit."""
+    if order not in ("asc", "desc"):
+        raise ValueError("order must be asc or desc")
+    by = F.desc_nulls_last("date_unix_ns") if order == "desc" else F.asc_nulls_last("date_unix_ns")
+    return file_activity(m, path, None, since_ns, until_ns, list_name).orderBy(by, "message_id", "list").limit(limit)
+
+
 def churn(m: DataFrame, since_ns=None, until_ns=None, list_name=None, prefix: str | None = None, limit: int = 20) -> DataFrame:
-    """The most patched files: path, patches, authors, first_ns, last_ns, some_authors (five, alphabetical)."""
+    """The most patched files: path, patches, authors, first_ns, last_ns, some_authors (five, alphabetical). Paths are
+    exploded once into counts by path and author; both results come from these. A message has one author, so patches add up."""
     rows = windowed(m, since_ns, until_ns, list_name).select("message_id", "from_addr", "date_unix_ns", F.explode("touched_files").alias("path"))
     rows = rows.filter(F.col("path").startswith(prefix)) if prefix else rows
-    found = rows.groupBy("path").agg(
-        F.countDistinct("message_id").alias("patches"), F.countDistinct("from_addr").alias("authors"),
-        F.min("date_unix_ns").alias("first_ns"), F.max("date_unix_ns").alias("last_ns"),
+    pairs = rows.groupBy("path", "from_addr").agg(
+        F.countDistinct("message_id").alias("n"), F.min("date_unix_ns").alias("first_ns"), F.max("date_unix_ns").alias("last_ns")
+    )
+    found = pairs.groupBy("path").agg(
+        F.sum("n").alias("patches"), F.count("from_addr").alias("authors"), F.min("first_ns").alias("first_ns"), F.max("last_ns").alias("last_ns")
     ).orderBy(F.desc("patches"), F.desc("authors"), "path").limit(limit)
-    names = rows.join(F.broadcast(found.select("path")), "path").select("path", "from_addr").distinct()
+    top_paths = found.select("path") if limit > 10_000 else F.broadcast(found.select("path"))
     w = W.partitionBy("path").orderBy("from_addr")
-    few = names.withColumn("n", F.row_number().over(w)).filter("n <= 5").groupBy("path").agg(F.array_join(F.array_sort(F.collect_list("from_addr")), ",").alias("some_authors"))
+    names = pairs.filter("from_addr IS NOT NULL").join(top_paths, "path").withColumn("n", F.row_number().over(w)).filter("n <= 5")
+    few = names.groupBy("path").agg(F.array_join(F.array_sort(F.collect_list("from_addr")), ",").alias("some_authors"))
     return found.join(few, "path", "left").orderBy(F.desc("patches"), F.desc("authors"), "path")
 
 

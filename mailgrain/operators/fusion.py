@@ -55,13 +55,27 @@ def fuse(tiers: list[DataFrame], key: str = "message_id") -> DataFrame:
 
 
 def search(m: DataFrame, text: str, now_ns: int, limit: int = 25, after: tuple | None = None, depth: int = 1000) -> DataFrame:
-    """message_id, score, tiers. Of the metadata keys one decides the metadata tier: mid, fixes, file or function, author,
+    """message_id, score, tiers. Tiers are cut at ``depth``, which is doubled until the page is certain: what is cut off
+    scores less than the page's last row, or nothing is cut off. Of the metadata keys one decides the metadata tier: mid, fixes, file or function, author,
     list or dates. List, author and dates filter all tiers before ranking, so no good hit is cut off by a worse one."""
     q = parse_query(text)
     since, until = window(q.get("since"), q.get("until"), now_ns)
     rows = windowed(m, since, until, q.get("list"))
     if "f" in q:
         rows = rows.filter(contains_ci(F.col("from_addr"), q["f"]))
+    while True:
+        tiers = _tiers(m, rows, q, since, until, depth)
+        cut = [t.count() >= depth for t in tiers]
+        page = keyset_page(fuse(tiers), limit, after, "score", "message_id")
+        if not any(cut):
+            return page
+        last = page.select(F.min("score"), F.count("*")).first()
+        if last[1] == limit and last[0] > round(sum(cut) / (RRF_K + depth + 1), 9):
+            return page
+        depth *= 2
+
+
+def _tiers(m: DataFrame, rows: DataFrame, q: dict, since: int | None, until: int | None, depth: int) -> list[DataFrame]:
     tiers = []
     if "mid" in q:
         tiers.append(ranked(eq(rows, "message_id", q["mid"], limit=None), "metadata", newest(), limit=depth))
@@ -80,7 +94,7 @@ def search(m: DataFrame, text: str, now_ns: int, limit: int = 25, after: tuple |
         tiers.append(ranked(allowed, "prose", [F.desc("score"), F.asc("message_id")], limit=depth))
     if not tiers:
         raise ValueError("empty query")
-    return keyset_page(fuse(tiers), limit, after, "score", "message_id")
+    return tiers
 
 
 def sign_cursor(secret: bytes, query: str, score, message_id: str) -> str:

@@ -15,7 +15,7 @@ from ..functions.bounds import checked_needle, checked_pattern
 from ..functions.text import email_of, items
 from ..schema import OTHER_TRAILERS, PEOPLE
 
-SCALARS = ("message_id", "list", "shard", "commit_oid", "from_addr", "from_name", "subject_raw", "subject_normalized", "in_reply_to", "tid", "body_sha256")
+SCALARS = ("message_id", "list", "shard", "commit_oid", "from_addr", "from_name", "subject_raw", "subject_normalized", "in_reply_to", "body_sha256")
 LISTS = ("touched_files", "touched_functions", "references", "subject_tags", *OTHER_TRAILERS)
 FIELDS = (*SCALARS, *LISTS, *PEOPLE)
 
@@ -106,6 +106,28 @@ def header_search(involvement: DataFrame, m: DataFrame, kind: str, value: str, m
     return joined_top(hit if kind == "any" else hit.filter(F.col("kind") == kind), m, limit)
 
 
+#: Kind of involvement to the column that holds it.
+INVOLVED = {"from": "from_addr", "to": "to_addrs", "cc": "cc_addrs"}
+
+
+def involved(m: DataFrame, kind: str, value: str, mode: str = "contains", since_ns=None, list_name=None, limit: int | None = 100) -> DataFrame:
+    """As :func:`header_search`, straight from the messages: only the columns of the kind that is asked for are read, and an
+    author's address is tested where it can be pushed to the scan."""
+    low = F.lit(value.lower())
+    test = (lambda x: F.startswith(x, low)) if mode == "prefix" else (lambda x: F.contains(x, low))
+
+    def has(kind: str) -> Column:
+        if kind == "from":
+            return F.coalesce(test(F.col("from_addr")), F.lit(False))
+        return F.exists(items(INVOLVED.get(kind, kind)), lambda x: F.coalesce(test(email_of(x)), F.lit(False)))
+
+    kinds = [k for k in ("from", "to", "cc", *PEOPLE) if INVOLVED.get(k, k) in m.columns] if kind == "any" else [kind]
+    hit = has(kinds[0])
+    for k in kinds[1:]:
+        hit = hit | has(k)
+    return top(windowed(m, since_ns, None, list_name).filter(hit), limit)
+
+
 def expand_citation(m: DataFrame, token: str, limit: int | None = 25) -> DataFrame:
     """A message id, 7 to 40 hex digits of a fixed commit, or a CVE number."""
     token = token.strip().strip("<>")

@@ -15,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.bounds import checked_needle, no_phrases
 from ..functions.text import words
+from ..lineage import checkpointed
 
 K1, B = 1.2, 0.75
 
@@ -34,6 +35,7 @@ def bm25(docs: DataFrame, query: str, key: str = "message_id", fields: tuple[str
     d = docs.select(*cols, *[words(F.col(f)).alias(f"w{i}") for i, f in enumerate(fields)])
     counts = [_count(i, t).alias(f"tf_{i}_{j}") for i in range(len(fields)) for j, t in enumerate(terms)]
     d = d.select(key, "_in", *[F.size(f"w{i}").alias(f"len_{i}") for i in range(len(fields))], *counts)
+    d = checkpointed(d)  # a few numbers a text: the texts are read once
     stats = d.agg(
         F.count("*").alias("n"),
         *[F.avg(f"len_{i}").alias(f"avg_{i}") for i in range(len(fields))],
@@ -96,9 +98,27 @@ def candidates(grams: DataFrame, needle: str, key: str = "message_id", edits: in
     return hit.filter(F.col("n") >= least).select(key)
 
 
-def indexed_substring(docs: DataFrame, grams: DataFrame, needle: str, key: str = "message_id", text: str = "patch") -> DataFrame:
-    """The same rows as :func:`substring`, reading only candidates' texts."""
+class TooManyCandidates(ValueError):
+    """A needle that leaves more candidates than a caller wants to read: it must be narrowed."""
+
+
+def guarded(found: DataFrame, most: int | None) -> DataFrame:
+    """An error if there are more than ``most`` rows; counting stops one beyond."""
+    if most is not None and found.limit(most + 1).count() > most:
+        raise TooManyCandidates(f"more than {most} candidates; narrow the needle or the list")
+    return found
+
+
+def indexed_fuzzy(docs: DataFrame, grams: DataFrame, needle: str, edits: int = 1, key: str = "message_id", text: str = "patch", max_candidates: int | None = 100_000) -> DataFrame:
+    """The same rows as :func:`fuzzy_substring`, reading only texts with all but ``3 * edits`` of the needle's trigrams."""
+    found = candidates(grams, checked_needle(needle), key, edits)
+    return fuzzy_substring(docs if found is None else docs.join(guarded(found, max_candidates), key, "left_semi"), needle, edits, key, text)
+
+
+def indexed_substring(docs: DataFrame, grams: DataFrame, needle: str, key: str = "message_id", text: str = "patch", max_candidates: int | None = None) -> DataFrame:
+    """The same rows as :func:`substring`, reading only candidates' texts; with ``max_candidates``, an error beyond them."""
     found = candidates(grams, checked_needle(needle), key)
+    found = found if found is None else guarded(found, max_candidates)
     return substring(docs if found is None else docs.join(found, key, "left_semi"), needle, text)
 
 
@@ -153,7 +173,7 @@ def path_mentions(docs: DataFrame, vocabulary: DataFrame, key: str = "message_id
     return docs.select(key, token.alias(path)).join(vocabulary.select(path).distinct(), path).select(key, path)
 
 
-def contains_any(docs: DataFrame, needles: DataFrame, key: str, text: str, needle_key: str, needle: str, max_chars: int = 20_000_000) -> DataFrame:
+def contains_any(docs: DataFrame, needles: DataFrame, key: str, text: str, needle_key: str, needle: str, max_chars: int = 1_000_000) -> DataFrame:
     """key, needle_key of texts that contain a needle, wherever it starts. Needles of ``max_chars`` characters in all at most are
     broadcast as one automaton, which reads each text once; more are joined (:func:`contains_any_joined`)."""
     if (needles.agg(F.sum(F.length(needle))).first()[0] or 0) > max_chars:
@@ -209,6 +229,18 @@ def kwic(docs: DataFrame, needle: str, key: str = "message_id", text: str = "pro
     )
 
 
+def version_diff(m: DataFrame, a: str, b: str, mode: str = "patch") -> DataFrame:
+    """One row: a, b, diff of two messages' patches, prose or whole bodies (mode raw). No row if one isn't there."""
+    column = {"patch": "patch", "prose": "prose", "raw": "body"}.get(mode)
+    if column is None:
+        raise ValueError("mode must be patch, prose or raw")
+    if a == b:
+        raise ValueError("two different messages are needed")
+    one = lambda mid, name: m.filter(F.col("message_id") == mid).orderBy(F.desc_nulls_last("date_unix_ns"), "list").limit(1).select(F.lit(mid).alias(name), F.col(column).alias(f"{name}_text"))
+    both = one(a, "a").crossJoin(one(b, "b"))  # one row each
+    return unified_diff(both, "a_text", "b_text").select("a", "b", "diff")
+
+
 def unified_diff(pairs: DataFrame, a: str = "a", b: str = "b", name: str = "diff") -> DataFrame:
     """All columns and a unified diff (three lines of context) of two text columns; empty where they are equal."""
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields], f"`{name}` string"])

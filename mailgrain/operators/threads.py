@@ -66,10 +66,34 @@ def thread_of(m: DataFrame, tid: DataFrame, message_id: str, limit: int = 1000)
 def propagate(m: DataFrame, tid: DataFrame) -> DataFrame:
     """message_id of each cover letter, with the sorted files and functions of all its thread."""
     rows = m.join(tid, "message_id")
-    union = rows.groupBy("tid").agg(
-        *[F.array_sort(F.array_distinct(F.flatten(F.collect_list(items(c))))).alias(a) for c, a in (("touched_files", "propagated_files"), ("touched_functions", "propagated_functions"))]
-    )
-    return rows.filter("is_cover_letter").select("message_id", "tid").join(union, "tid")
+
+    def union(column: str, name: str) -> DataFrame:
+        """Distinct values first, so a thread is collected once, without repeats."""
+        each = rows.select("tid", F.explode(column).alias("x")).distinct()
+        return each.groupBy("tid").agg(F.array_sort(F.collect_list("x")).alias(name))
+
+    covers = rows.filter("is_cover_letter").select("message_id", "tid")
+    for column, name in (("touched_files", "propagated_files"), ("touched_functions", "propagated_functions")):
+        covers = covers.join(union(column, name), "tid", "left").withColumn(name, items(name))
+    return covers.select("message_id", "tid", "propagated_files", "propagated_functions")
+
+
+def conversation(m: DataFrame, message_id: str, limit: int = 1000) -> DataFrame:
+    """The newest ``limit`` messages that hang together with one through replies *and* references, in either direction,
+    oldest first: breadth first, a round for each step away, over ids alone."""
+    ids = F.array_distinct(F.concat(F.array("in_reply_to"), items("references")))
+    edge = m.select("message_id", F.explode(F.filter(ids, lambda x: F.coalesce(x != "", F.lit(False)))).alias("other"))
+    edge = checkpointed(edge.union(edge.select("other", "message_id")).distinct())
+    seen = m.sparkSession.createDataFrame([(message_id.strip().strip("<>"),)], "message_id string")
+    frontier = seen
+    while True:
+        new = edge.join(frontier, "message_id", "left_semi").select(F.col("other").alias("message_id")).distinct()
+        frontier = checkpointed(new.join(seen, "message_id", "left_anti"))
+        if frontier.isEmpty():
+            break
+        seen = checkpointed(seen.union(frontier))
+    newest = m.join(seen, "message_id", "left_semi").orderBy(F.desc_nulls_last("date_unix_ns"), "message_id", "list").limit(limit)
+    return newest.orderBy(F.asc_nulls_first("date_unix_ns"), "message_id", "list")
 
 
 def series(m: DataFrame, message_id: str) -> DataFrame:
@@ -81,9 +105,12 @@ def series(m: DataFrame, message_id: str) -> DataFrame:
 
 def newer_version(m: DataFrame) -> DataFrame:
     """message_id, superseded_by: the first message of the highest version of the same series, if above its own."""
-    w = W.partitionBy("list", "subject_normalized", "from_addr")
-    best = F.max(F.struct(F.col("series_version"), (-F.coalesce("date_unix_ns", F.lit(0))).alias("d"), F.col("message_id"))).over(w)
-    return m.select("message_id", "series_version", best.alias("b")).filter("b.series_version > series_version").select("message_id", F.col("b.message_id").alias("superseded_by"))
+    key = ["list", "subject_normalized", "from_addr"]
+    first = F.struct(F.col("series_version"), (-F.coalesce("date_unix_ns", F.lit(0))).alias("d"), F.col("message_id"))
+    best = m.groupBy(*key).agg(F.max(first).alias("b"), F.min("series_version").alias("least")).filter("b.series_version > least")
+    on = [m[k].eqNullSafe(best[k]) for k in key]
+    newer = m.join(best, on).filter(F.col("b.series_version") > m["series_version"])
+    return newer.select(m["message_id"], F.col("b.message_id").alias("superseded_by"))
 
 
 def replies(m: DataFrame, message_id: str) -> DataFrame:

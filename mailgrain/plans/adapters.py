@@ -75,3 +75,47 @@ def conversation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+
+
+def micros(c: str) -> Column:
+    """Microseconds of a timestamp without zone."""
+    return (nanos(c) / 1000).cast("bigint")
+
+
+def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as raw archive mail: CRLF, a patch, trailers, some replies, some implausible dates."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    day = F.when(k % 9 == 0, F.lit("01 Jan 1970")).otherwise(F.concat(F.lpad((k % 28 + 1).cast("string"), 2, "0"), F.lit(" Apr 2026")))
+    reply = F.when(k % 5 == 0, F.concat(F.lit("In-Reply-To: <o"), k - 1, F.lit("@x>\n"), F.lit("References: <a@x> <o"), k - 1, F.lit("@x>\n"))).otherwise("")
+    file = F.concat(F.lit("p/"), k % 11, F.lit(".c"))
+    text = F.concat(
+        F.lit("From: Cust "), c, F.lit(" <C"), c, F.lit("@Example.com>\nTo: L@x.org, B <b@x.org>\nSubject: Re: [PATCH v"), k % 3 + 1, F.lit(" "), k % 4, F.lit("/3] part: order "), k,
+        F.lit("\nDate: Tue, "), day, F.lit(" 12:00:00 +0000\nMessage-ID: <o"), k, F.lit("@x>\n"), reply, F.lit("\nHello "), k, F.lit("\n> quoted\n\nFixes: "), F.sha1(k.cast("string")),
+        F.lit(' ("x")\nReviewed-by: S <s'), k % 7, F.lit("@Example.com>\nX-Odd: Q <q"), k % 3, F.lit("@x.org>\nLink: https://bugs.example.com/bug?extid="), F.substring(F.sha1(k.cast("string")), 1, 20),
+        F.lit("\nLink: https://arch.example.org/all/o"), k, F.lit("@x/\n---\ndiff --git a/"), file, F.lit(" b/"), file, F.lit("\n--- a/"), file, F.lit("\n+++ b/"), file,
+        F.lit("\n@@ -1,2 +1,3 @@ int f_"), k % 13, F.lit("(void)\n a\n+b\n+d\n-c\n"),
+    )
+    raw = F.encode(F.regexp_replace(text, "\n", "\r\n"), "UTF-8")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("list"), F.lit("0").alias("shard"), F.concat(F.lit("c"), k).alias("commit_oid"), nanos("o_orderdate").alias("commit_date_ns"), raw.alias("raw"))
+
+
+def talk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with tags, prose and references, in threads of two: order k replies to k - 1 where 5 divides it."""
+    k = F.regexp_extract("message_id", "[0-9]+", 0).cast("bigint")
+    prose = F.when(k % 35 == 0, "Hi.\nNAK: no.").when(k % 10 == 0, "nit: name it.\n> doesn't count\n  Shouldn't this be static?\nNIT: name it.").otherwise(F.concat(F.lit("Order "), k))
+    return messages(spark, sf_dir).withColumns(
+        {
+            "subject_tags": F.when(k % 6 == 1, F.array(F.lit("RFC PATCH"), F.lit("PATCH"))),
+            "prose": prose,
+            "patch": F.when(k % 4 != 0, F.concat(F.lit("diff --git a/p b/p\n+int f_"), k % 97, F.lit("(void);"))),
+            "references": F.lit(None).cast("array<string>"),
+            "touched_functions": F.array(F.concat(F.lit("f_"), k % 97)),
+            "from_name": F.lit(None).cast("string"),
+            "series_total": F.lit(3),
+        }
+    )
+
+
+TALK_SQL = """, talk AS (SELECT *, CASE WHEN k % 35 = 0 THEN 'Hi.\nNAK: no.' WHEN k % 10 = 0 THEN 'nit: name it.\n> doesn''t count\n  Shouldn''t this be static?\nNIT: name it.' ELSE 'Order ' || k END AS prose FROM msgs),
+tid AS (SELECT a.k, a.message_id, coalesce(b.message_id, a.message_id) AS tid FROM msgs a LEFT JOIN msgs b ON a.k % 5 = 0 AND b.k = a.k - 1)
+"""

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.bounds import checked_pattern, time_bound
+from ..functions.bounds import time_bound
 from ..operators import activity as A
 from ..operators import classify as C
 from ..operators import derive as D
@@ -20,7 +20,7 @@ from ..operators import vector as V
 from ..sources import maintainers as MT
 from ..sources import store
 from ..streaming import windows
-from .adapters import MESSAGES_SQL, conversation_edges, headers, messages, table, texts
+from .adapters import MESSAGES_SQL, conversation_edges, headers, messages, micros, table, texts
 
 NOW = time_bound("2001-08-02", 0)
 Y1997, Y1998 = time_bound("1997-01-01", 0), time_bound("1998-01-01", 0)
@@ -43,6 +43,10 @@ def on_messages(sql: str):
     return query(MESSAGES_SQL + sql)
 
 
+def _as_messages(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("subject_raw", F.col("text"))
+
+
 # -- predicates ---------------------------------------------------------------------------------------------------------
 
 
@@ -69,12 +73,12 @@ def count_summary(spark, sf_dir):
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(text), 'license')")
 def substr_text_ci(spark, sf_dir):
-    return texts(spark, sf_dir).filter(P.contains_ci(F.col("text"), "License")).select("doc_id")
+    return P.substr_subject(_as_messages(texts(spark, sf_dir)), "License", limit=None).select("doc_id")
 
 
 @query(r"SELECT doc_id FROM documents WHERE regexp_matches(text, '[A-Z]{3,}!!\s[A-Z]+')")
 def regex_validated(spark, sf_dir):
-    return texts(spark, sf_dir).filter(F.col("text").rlike(checked_pattern(r"[A-Z]{3,}!!\s[A-Z]+"))).select("doc_id")
+    return P.regex(_as_messages(texts(spark, sf_dir)), "subject", r"[A-Z]{3,}!!\s[A-Z]+", limit=None).select("doc_id")
 
 
 @on_messages("SELECT message_id, list FROM msgs WHERE len(list_filter(reviewers, lambda x: contains(x, 's11@'))) > 0")
@@ -97,13 +101,13 @@ def involvement_kinds(spark, sf_dir):
   UNION ALL SELECT message_id, date_unix_ns, unnest(reviewers) FROM msgs) WHERE contains(email, '17@') ORDER BY date_unix_ns DESC, message_id LIMIT 100""")
 def involvement_any(spark, sf_dir):
     m = messages(spark, sf_dir)
-    return P.header_search(D.involvement(m), headers(spark, sf_dir), "any", "17@").select("message_id", "date_unix_ns")
+    return P.involved(m, "any", "17@").select("message_id", "date_unix_ns")
 
 
 @on_messages("SELECT message_id, date_unix_ns FROM msgs WHERE starts_with(from_addr, 'c14') ORDER BY date_unix_ns DESC, message_id LIMIT 100")
 def header_prefix(spark, sf_dir):
     m = headers(spark, sf_dir)
-    return P.header_search(D.involvement(m), m, "from", "C14", "prefix").select("message_id", "date_unix_ns")
+    return P.involved(m, "from", "C14", "prefix").select("message_id", "date_unix_ns")
 
 
 @on_messages("SELECT message_id, date_unix_ns FROM msgs WHERE date_unix_ns < 900000000000000000 OR (date_unix_ns = 900000000000000000 AND message_id > 'o1') ORDER BY date_unix_ns DESC, message_id LIMIT 40")
@@ -142,7 +146,6 @@ def file_activity(spark, sf_dir):
 @on_messages("""SELECT strftime(make_timestamp(date_unix_ns // 1000), '%Y') || 'Q' || quarter(make_timestamp(date_unix_ns // 1000)) AS bucket,
   count(*) AS messages, count(DISTINCT from_addr) AS authors FROM msgs WHERE list_contains(touched_files, 'part/155') GROUP BY 1""")
 def file_timeline(spark, sf_dir):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return A.file_timeline(messages(spark, sf_dir), "part/155")
 
 
@@ -330,12 +333,16 @@ def classify_ladder(spark, sf_dir):
     return texts(spark, sf_dir).select("doc_id", F.coalesce(label, F.lit("other")).alias("label"))
 
 
-@query(r"""SELECT message_id, CASE WHEN regexp_matches(s, '(?i)\b(clean ?up|refactor\w*|simplif\w*|remove|drop)\b') THEN 'cleanup' WHEN regexp_matches(s, '(?i)\b(add|introduce|implement|support|enable)\b') THEN 'feature' ELSE 'other' END AS label
-  FROM (SELECT 'o' || o_orderkey || '@x' AS message_id, CASE o_orderkey % 3 WHEN 0 THEN 'Drop ' WHEN 1 THEN 'Add ' ELSE 'Touch ' END || o_orderkey AS s FROM orders)""")
+@query(r"""SELECT 'o' || k || '@x' AS message_id, CASE k % 9 WHEN 0 THEN 'revert' WHEN 1 THEN 'security' WHEN 2 THEN 'bugfix' WHEN 3 THEN 'backport' WHEN 4 THEN 'doc' WHEN 5 THEN 'test' WHEN 6 THEN 'cleanup' WHEN 7 THEN 'feature' ELSE 'unknown' END AS label
+  FROM (SELECT o_orderkey AS k FROM orders)""")
 def classify_rules(spark, sf_dir):
     k = F.col("o_orderkey")
-    verb = F.when(k % 3 == 0, "Drop ").when(k % 3 == 1, "Add ").otherwise("Touch ")
-    m = table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), k, F.lit("@x")).alias("message_id"), F.concat(verb, k).alias("subject_normalized"))
+    subject = F.concat(F.element_at(F.array(*map(F.lit, ["Revert ", "fix CVE-2024-10001 ", "x ", "x ", "docs: ", "selftests: ", "mm: cleanup ", "x ", "x "])), (k % 9 + 1).cast("int")), k)
+    some = lambda n, v: F.when(k % 9 == n, F.array(F.lit(v)))
+    m = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("o"), k, F.lit("@x")).alias("message_id"), subject.alias("subject_raw"), subject.alias("subject_normalized"), some(7, "RFC").alias("subject_tags"),
+        F.when(k % 9 < 3, F.array(F.lit("f"))).alias("fixes"), F.when((k % 9 == 3) | (k % 9 == 2), F.array(F.lit("stable@x"))).alias("cc_stable"), F.lit(None).cast("string").alias("patch"),
+    )
     return C.classify(m).select("message_id", "label")
 
 
@@ -385,15 +392,13 @@ def manifest_changes(spark, sf_dir):
 
 @query("""SELECT epoch_us(date_trunc('hour', ts)) AS start_us, event_type, count(*) AS events, round(sum(value), 2) AS total FROM events GROUP BY 1, 2""")
 def tumbling_counts(spark, sf_dir):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     w = windows.tumbling_counts(table(spark, sf_dir, "events"))
-    return w.select(F.unix_micros("window_start").alias("start_us"), "event_type", "events", F.round("total", 2).alias("total"))
+    return w.select(micros("window_start").alias("start_us"), "event_type", "events", F.round("total", 2).alias("total"))
 
 
 @query("""WITH e AS (SELECT user_id, epoch_us(ts) AS t, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events),
 s AS (SELECT user_id, t, sum(CASE WHEN p IS NULL OR t - p >= 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t) AS g FROM e)
 SELECT user_id, min(t) AS start_us, max(t) + 1800000000 AS end_us, count(*) AS events FROM s GROUP BY user_id, g""")
 def sessions(spark, sf_dir):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     s = windows.sessions(table(spark, sf_dir, "events"))
-    return s.select("user_id", F.unix_micros("session_start").alias("start_us"), F.unix_micros("session_end").alias("end_us"), "events")
+    return s.select("user_id", micros("session_start").alias("start_us"), micros("session_end").alias("end_us"), "events")

@@ -41,6 +41,7 @@ MESSAGES = T.StructType(
         T.StructField("body_length", _L),
         T.StructField("body_sha256", _S),
         T.StructField("schema_version", _I),
+        T.StructField("body", _S),
         T.StructField("prose", _S),
         T.StructField("patch", _S),
     ]

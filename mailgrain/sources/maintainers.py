@@ -46,7 +46,12 @@ def people(spark: SparkSession, sections: list[dict]) -> DataFrame:
 
 def owners(paths: DataFrame, rules_: DataFrame) -> DataFrame:
     """path, name, depth: sections with a matching F or N rule and no matching X rule; depth is the deepest matching rule's.
-    Every path is tested against every pattern (they are regular expressions); the rule table is a file's and is broadcast."""
-    hit = paths.select("path").distinct().join(F.broadcast(rules_), F.expr("path rlike pattern"))
+    A rule is joined by its leading literal folder to the paths below that folder, and its pattern tested on those alone; only
+    rules that begin with a wildcard, or are free patterns, meet every path."""
+    literal = F.regexp_replace(F.regexp_extract("pattern", r"^\^((?:[A-Za-z0-9_/]|\\[^A-Za-z0-9])*/)", 1), r"\\(.)", "$1")
+    by_folder = rules_.withColumn("_folder", F.when(F.col("rule") == "N", F.lit("")).otherwise(literal))
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/"))))
+    hit = paths.select("path").distinct().withColumn("_folder", F.explode(above)).join(by_folder, "_folder").filter(F.expr("path rlike pattern"))
     found = hit.groupBy("path", "name").agg(F.max("depth").alias("depth"), F.max((F.col("rule") == "X").cast("int")).alias("out"))
     return found.filter("out = 0").select("path", "name", "depth")

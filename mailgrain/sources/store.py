@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.derive import freshest, involvement, path_vocabulary, touched, trailer_refs
 from ..operators.predicates import top
+from ..operators.search import trigram_table
 from ..schema import MESSAGES
 
 
-def write_messages(m: DataFrame, path: str, run: str, mode: str = "append") -> None:
-    """One run's rows, tagged with it. Rows of a list lie together, newest first, so date bounds skip row groups; message ids
-    get a Bloom filter for point lookups."""
+SEQUENCE = "run"
+
+
+def write_messages(m: DataFrame, path: str, run: int | None, mode: str = "append") -> None:
+    """One run's rows, tagged with its number (rows keep theirs if it is None). Dealt out by ranges of list and date, so a
+    list with very many rows is written by many tasks, and date bounds skip files and row groups; message ids get a Bloom
+    filter for point lookups."""
     (
-        m.withColumn("run", F.lit(run))
-        .repartition("list")
+        (m if run is None else m.withColumn(SEQUENCE, F.lit(run).cast("bigint")))
+        .repartitionByRange("list", F.desc("date_unix_ns"))
         .sortWithinPartitions("list", F.desc("date_unix_ns"))
         .write.mode(mode)
         .option("compression", "zstd")
@@ -27,15 +33,64 @@ def write_messages(m: DataFrame, path: str, run: str, mode: str = "append") -> N
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
-    """The latest run's row of each (message_id, list)."""
-    m = spark.read.schema(T.StructType([*MESSAGES.fields, T.StructField("run", T.StringType())])).parquet(path)
-    latest = W.partitionBy("message_id", "list").orderBy(F.desc("run"))
-    return m.withColumn("_rn", F.row_number().over(latest)).filter("_rn = 1").drop("_rn")
+    """The row of the greatest run of each (message_id, list), with its run. The latest runs are found on the three key
+    columns alone and joined back, so filters on other columns reach the scan and bodies go through no window. A run that was
+    written twice counts once."""
+    m = spark.read.schema(T.StructType([*MESSAGES.fields, T.StructField(SEQUENCE, T.LongType())])).parquet(path)
+    latest = m.groupBy("message_id", "list").agg(F.max(SEQUENCE).alias(SEQUENCE), F.count("*").alias("rows"))
+    found = m.join(latest, ["message_id", "list", SEQUENCE])
+    once = found.filter("rows = 1").drop("rows")
+    again = found.filter("rows > 1").drop("rows").dropDuplicates(["message_id", "list"])
+    return once.unionByName(again).select(*[f.name for f in MESSAGES.fields], SEQUENCE)
 
 
 def compact(spark: SparkSession, path: str, to: str) -> None:
-    """Rewrite with one row per key, into another folder; the caller swaps the paths."""
-    write_messages(read_messages(spark, path).drop("run"), to, run="compacted", mode="overwrite")
+    """Rewrite with one row per key, which keeps its run, into another folder; the caller swaps the paths."""
+    write_messages(read_messages(spark, path), to, run=None, mode="overwrite")
+
+
+def visit(m: DataFrame, visitor, columns: list[str] | None = None) -> int:
+    """Calls ``visitor`` with each Arrow batch, in the tasks that hold it, and returns the number of rows."""
+
+    def run(batches):
+        for b in batches:
+            visitor(b)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    return (m.select(*columns) if columns else m).mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0] or 0
+
+
+def fetch_body(m: DataFrame, message_id: str) -> DataFrame:
+    """message_id, body, body_sha256 of the freshest copy, as it was parsed."""
+    return fetch_message(m, message_id).select("message_id", "body", "body_sha256")
+
+
+def hydrate(m: DataFrame, ids: DataFrame) -> DataFrame:
+    """Messages of a table of ids (message_id and more), the freshest copy of each; an id that isn't there has nulls."""
+    found = freshest(m.join(ids.select("message_id").distinct(), "message_id", "left_semi"))
+    return ids.join(found, "message_id", "left")
+
+
+SIDE_TABLES = {
+    "touched_file": (lambda m: touched(m), "path"),
+    "touched_function": (lambda m: touched(m, "touched_functions", "function"), "function"),
+    "involvement": (lambda m: involvement(m), "email"),
+    "trailer_ref": (lambda m: trailer_refs(m), "ref_value"),
+    "path_vocabulary": (lambda m: path_vocabulary(m), "path"),
+    "trigram": (lambda m: trigram_table(m), "gram"),
+}
+
+
+def write_side_tables(m: DataFrame, path: str, names: tuple[str, ...] = tuple(SIDE_TABLES)) -> None:
+    """The derived tables, each dealt out and sorted by its key, so a lookup reads few row groups. Written anew from the
+    messages as they are read now: rows of replaced messages leave nothing behind."""
+    for name in names:
+        make, key = SIDE_TABLES[name]
+        make(m).repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(f"{path}/{name}", compression="zstd")
+
+
+def side_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/{name}")
 
 
 def fetch_message(m: DataFrame, message_id: str) -> DataFrame:

@@ -20,7 +20,7 @@ def ingest(spark: SparkSession, raw_path: str, table_path: str, state_path: str,
         rows = parse_messages(batch, now_ns)
         if batch.isEmpty():
             return
-        write_messages(rows, table_path, run=f"{number:012d}")
+        write_messages(rows, table_path, run=number)
         generation = batch.sparkSession.createDataFrame([(number, now_ns)], "generation bigint, as_of_ns bigint")
         generation.write.mode("append").parquet(f"{state_path}/generations")
 

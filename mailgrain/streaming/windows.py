@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _watermarked(events: DataFrame, ts: str, late: str) -> DataFrame:
+    """Streams need a time with a zone for their watermark; tables keep theirs, so no session's zone changes a result."""
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if events.isStreaming else events
+
+
 def tumbling_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes", ts: str = "ts") -> DataFrame:
     """window_start, event_type, events, total. In a stream, rows later than ``late`` behind the newest drop out."""
-    e = events.withColumn(ts, F.col(ts).cast("timestamp"))
-    e = e.withWatermark(ts, late) if events.isStreaming else e
+    e = _watermarked(events, ts, late)
     return e.groupBy(F.window(ts, width).alias("w"), "event_type").agg(F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("total")).select(
         F.col("w.start").alias("window_start"), "event_type", "events", "total"
     )
@@ -17,8 +21,7 @@ def tumbling_counts(events: DataFrame, width: str = "1 hour", late: str = "10 mi
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes", ts: str = "ts", user: str = "user_id") -> DataFrame:
     """user_id, session_start, session_end, events. A session ends ``gap`` after its last event."""
-    e = events.withColumn(ts, F.col(ts).cast("timestamp"))
-    e = e.withWatermark(ts, late) if events.isStreaming else e
+    e = _watermarked(events, ts, late)
     return e.groupBy(user, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("events")).select(
         user, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "events"
     )
