@@ -79,7 +79,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def micros(c: str) -> Column:
     """Microseconds of a timestamp without zone."""
-    return (nanos(c) / 1000).cast("bigint")
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', cast({c} as timestamp_ntz))")
 
 
 def mails(spark: SparkSession, sf_dir: str) -> DataFrame:

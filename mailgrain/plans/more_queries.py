@@ -28,7 +28,7 @@ from .queries import NOW, query
 
 APRIL = 1777593600 * 10**9  # 2026-05-01
 MAIL_SQL = """WITH m AS (SELECT o_orderkey AS k, o_custkey AS c, 'o' || o_orderkey || '@x' AS message_id, o_orderpriority AS list, epoch_us(o_orderdate) * 1000 AS commit_ns,
-  CASE WHEN o_orderkey % 9 = 0 THEN epoch_us(o_orderdate) * 1000 ELSE (1774958400 + (o_orderkey % 28 + 1) * 86400 + 43200 - 0) * 1000000000 END AS date_unix_ns FROM orders) """
+  CASE WHEN o_orderkey % 9 = 0 THEN epoch_us(o_orderdate) * 1000 ELSE (1775001600 + (o_orderkey % 28) * 86400 + 43200) * 1000000000 END AS date_unix_ns FROM orders) """
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,9 +168,9 @@ def manifest_parsed(spark, sf_dir):
     return store.manifest_rows(spark, {f"p{r[0]}": {"fingerprint": str(r[1]), "modified": 1} for r in rows}).select("path", "fingerprint")
 
 
-@query("SELECT 'o' || o_orderkey || '@x' AS message_id, substr('Order ' || o_orderstatus || ' of customer ' || o_custkey || '\nOrder ' || o_orderkey, 1, 30) AS text FROM orders WHERE o_orderkey % 10 <> 0")
+@query("SELECT 'o' || o_orderkey || '@x' AS message_id, substr('Order ' || o_orderstatus || ' of customer ' || o_custkey || '\nOrder ' || o_orderkey, 1, 30) AS text FROM orders WHERE o_orderkey % 5 <> 0")
 def embedding_texts(spark, sf_dir):
-    m = talk(spark, sf_dir).filter(F.regexp_extract("message_id", "[0-9]+", 0).cast("bigint") % 10 != 0)
+    m = talk(spark, sf_dir).filter(F.regexp_extract("message_id", "[0-9]+", 0).cast("bigint") % 5 != 0)
     return store.embedding_text(m.filter("prose IS NOT NULL"), 30)
 
 
@@ -264,7 +264,7 @@ SERIES_SQL = ", best AS (SELECT list, subject_normalized, from_addr, max(series_
 
 
 @on_talk(SERIES_SQL + f""", x AS (SELECT tid.tid, m.*, t.prose AS says, EXISTS (SELECT 1 FROM msgs c WHERE c.k % 8 = 0 AND c.subject_normalized = m.subject_normalized AND c.from_addr = m.from_addr AND abs(c.date_unix_ns - m.date_unix_ns) <= 7776000000000000) AS merged,
-    m.series_version < best.top AS newer FROM tid JOIN msgs m USING (message_id) JOIN talk t USING (message_id) JOIN best USING (list, subject_normalized, from_addr)),
+    m.series_version < best.top AS newer FROM tid JOIN msgs m ON m.message_id = tid.message_id JOIN talk t ON t.message_id = m.message_id JOIN best ON best.list = m.list AND best.subject_normalized = m.subject_normalized AND best.from_addr = m.from_addr),
   a AS (SELECT tid, bool_or(merged) AS merged, bool_or(newer) AS newer, max(date_unix_ns) AS last, count(*) AS messages, max(from_addr) FILTER (message_id = tid) AS author FROM x GROUP BY tid),
   n AS (SELECT x.tid, bool_or(x.message_id <> x.tid AND x.from_addr <> a.author AND contains(says, 'NAK:')) AS nacked FROM x JOIN a USING (tid) GROUP BY 1)
   SELECT a.tid, CASE WHEN merged THEN 'merged' WHEN CAST(regexp_extract(a.tid, '[0-9]+') AS BIGINT) % 6 = 1 THEN 'rfc' WHEN newer THEN 'superseded' WHEN nacked THEN 'nacked' WHEN last >= {NOW} - 180 * 86400000000000 THEN 'under_review' ELSE 'abandoned' END AS state, messages FROM a JOIN n USING (tid)""")
