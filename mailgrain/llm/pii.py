@@ -52,9 +52,9 @@ GENERATORS = {
     "email": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}+(?:@|{AT}|\x20at\x20)[A-Za-z0-9-]{{1,63}}"
     rf"(?:(?:\.|{DOT})[A-Za-z0-9-]{{1,63}}){{1,4}}",
     "number": r"\+?[0-9(][0-9\x20().-]{5,30}[0-9]",
-    "ipv6": rf"(?<![0-9A-Za-z_])(?<!::)(?<!(?<![0-9A-Za-z_]){_H}:)(?:{IPV6_WHOLE}|{IPV6_SHORT}|(?:{_H}:){{3,7}}{_H})"
+    "ipv6": rf"(?=[0-9A-Fa-f]{{0,4}}:)(?<![0-9A-Za-z_])(?<!::)(?<!(?<![0-9A-Za-z_]){_H}:)(?:{IPV6_WHOLE}|{IPV6_SHORT}|(?:{_H}:){{3,7}}{_H})"
     rf"(?![0-9A-Za-z_])(?!:(?::|{_H}(?![0-9A-Za-z_])))",
-    "iban": rf"(?<![A-Z0-9])(?:(?:{IBAN})(?![A-Za-z0-9])|[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{3,7}})",
+    "iban": rf"(?=[A-Z]{{2}}[0-9]{{2}})(?<![A-Z0-9])(?:(?:{IBAN})(?![A-Za-z0-9])|[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{3,7}})",
 }
 NEAR = r"(?i)(?:mail|contact|write|phone|tel|call|fax|mobile|card|visa|account|iban|host|addr|server|ip|ssn|born)"
 #: Levels of each feature: generator, digits, plus sign, dot, space, dash or bracket, groups of digits, cue word before,
@@ -178,7 +178,8 @@ def measure(docs: DataFrame, text: str, carry: Column, fold: Column) -> DataFram
         return F.transform(ok, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias(k)
 
     base = [validated(k, p) for k, p in BASE.items()]
-    guard = {"ipv6": t.contains(":")}
+    at = r"@|\x20at\x20|[(\[](?:at|AT)[)\]]"  # without one of these no address is written or written out
+    guard = {"ipv6": t.contains(":"), "email": t.rlike(at), "iban": t.rlike("[A-Z]{2}[0-9]{2}")}
 
     def proposed(i: int, g: str, p: str) -> Column:
         def described(x: Column) -> Column:
