@@ -245,8 +245,8 @@ def in_rest(rows: DataFrame, group: str, parts: str, by: str, left: str, left_pa
 
 def candidate_links(classes: DataFrame, region: int, first: int, sketch_similarity: float, scratch: Scratch) -> DataFrame:
     """a, b: links that join the candidate groups."""
-    least, found = least_agreeing(sketch_similarity), None
-    rows = classes.filter("n > 0").select("c", "slots", "low", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    least, found, tables = least_agreeing(sketch_similarity), None, []
+    rows = classes.filter("n > 0").select("c", "slots", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     rows = rows.withColumn("branch", F.lit(0))
     at = F.create_map(*[F.lit(x) for t in range(TREES) for b in range(BRANCHES) for x in (t * BRANCHES + b, branch_slots(t, b))])
 
@@ -266,15 +266,19 @@ def candidate_links(classes: DataFrame, region: int, first: int, sketch_similari
         own = F.element_at(at, F.col("tree") * BRANCHES + F.col("branch"))
         order = F.substring("slots", F.col("tree") * 4 * FIRST + 1, F.lit(4 * FIRST))
         prefix = [F.substring(order, F.lit(1), F.lit(4 * first)), *[value(F.get(own, F.lit(i))) for i in range(depth - first)]]
-        keyed = rows.select("c", "tree", "branch", "low", order.alias("order"), F.xxhash64("tree", "branch", *prefix).alias("region"))
+        keyed = rows.select("c", "tree", "branch", order.alias("order"), F.xxhash64("tree", "branch", *prefix).alias("region"))
         sizes = keyed.groupBy("region").agg(F.count("*").alias("size")).filter("size > 1")
-        held = scratch.write(keyed.join(sizes, "region"), f"regions{depth}")
+        # Sketches join what is left of the rows: most share no region.
+        held = keyed.join(sizes, "region").join(classes.select("c", "low"), "c")
+        held = scratch.write(held, f"regions{depth}")
+        tables.append(f"regions{depth}")
         few = held.filter(F.col("size") <= region).withColumnRenamed("region", "key").select("key", "c", "low", "order")
         collect(few.repartition("key").sortWithinPartitions("key", "order").drop("order").mapInArrow(near_in_regions(least), "a bigint, b bigint"))
         many = held.filter(F.col("size") > region).withColumn("parts", F.ceil(F.col("size") / region))
         if many.isEmpty():
             break
         got = scratch.write(compared(in_parts(many, "region", "parts", "c", "size"), False), f"represented{depth}")
+        tables.append(f"represented{depth}")
         collect(got.filter("a IS NOT NULL"))
         left = got.filter("left IS NOT NULL").select(F.col("left").alias("c"), "region").distinct()
         counts = left.groupBy("region").agg(F.count("*").alias("n_left"))
@@ -301,10 +305,13 @@ def candidate_links(classes: DataFrame, region: int, first: int, sketch_similari
         collect(compared(both, True).filter("a IS NOT NULL"))
         if deeper is None:
             break
-        rows = many.select("c", "tree", "branch", "region", "low").join(deeper, "region").join(classes.select("c", "slots"), "c")
+        rows = many.select("c", "tree", "branch", "region").join(deeper, "region").join(classes.select("c", "slots"), "c")
         if depth == first:
             rows = rows.withColumn("branch", F.explode(F.sequence(F.lit(0), F.lit(BRANCHES - 1))))
-    return found.distinct()
+    found = scratch.write(found.distinct(), "candidates")
+    for name in tables:
+        scratch.drop(name)
+    return found
 
 
 def linked_sets(similarity: int, sets: list[np.ndarray], i: int, others: np.ndarray) -> np.ndarray:
