@@ -49,7 +49,8 @@ def with_fallback(m: DataFrame, tid: DataFrame, strict_compat: bool = False) ->
     rows = m.join(tid, "message_id").filter(F.col("message_id") == F.col("tid"))
     w = W.partitionBy("list", "subject_normalized", "from_addr").orderBy("date_unix_ns").rangeBetween(-30 * DAY_NS, 0)
     keyed = rows.filter("subject_normalized IS NOT NULL AND date_unix_ns IS NOT NULL")
-    joined = keyed.select("tid", F.first("message_id").over(w).alias("older")).groupBy("tid").agg(F.min("older").alias("older"))
+    earliest = F.min(F.struct("date_unix_ns", "message_id")).over(w)  # of equal dates the smallest id
+    joined = keyed.select("tid", earliest["message_id"].alias("older")).groupBy("tid").agg(F.min("older").alias("older"))
     out = tid.join(joined, "tid", "left")
     moves = F.col("older").isNotNull() & (F.lit(not strict_compat) | (F.col("message_id") == F.col("tid")))
     return out.select("message_id", F.when(moves, F.col("older")).otherwise(F.col("tid")).alias("tid"))
