@@ -19,7 +19,7 @@ from mailgrain.operators import views
 from mailgrain.schema import COMMITS, MESSAGES, RAW
 from mailgrain.sources import maintainers as MT
 from mailgrain.sources import store
-from mailgrain.sources.mail import parse_messages
+from mailgrain.sources.mail import decode_message, parse_messages
 
 NS = 10**9
 NOW = int(dt.datetime(2026, 5, 1, tzinfo=dt.timezone.utc).timestamp()) * NS
@@ -446,6 +446,35 @@ def test_summary_rules(spark):
         assert {r["message_id"]: r["summary"] for r in C.summarize(d, k).collect()} == {"a": " ".join(s for _, s in picked)}
 
 
+def test_headers_in_any_zone(monkeypatch):
+    """A time without a zone is in UTC wherever the task runs; folded, encoded and raw 8-bit subjects are read."""
+    import time
+
+    monkeypatch.setenv("TZ", "Asia/Tokyo")
+    time.tzset()
+    try:
+        noon = int(dt.datetime(2026, 4, 14, 12, tzinfo=dt.timezone.utc).timestamp()) * NS
+        for zone in ("-0000", "+0000", ""):
+            assert decode_message(mail("z@x", "s", "b", date=f"Tue, 14 Apr 2026 12:00:00 {zone}".strip()))["header_date_ns"] == noon
+        assert decode_message(mail("z@x", "s", "b", date="Tue, 14 Apr 2026 12:00:00 +0200"))["header_date_ns"] == noon - 7200 * NS
+    finally:
+        monkeypatch.undo()
+        time.tzset()
+    assert decode_message(mail("z@x", "one\r\n  two", "b"))["subject_raw"] == "one two"
+    assert decode_message(mail("z@x", "=?utf-8?q?caf=C3=A9?= x", "b"))["subject_raw"] == "café x"
+    assert decode_message(mail("z@x", "café x", "b"))["subject_raw"].endswith(" x")
+    assert decode_message(mail("", "s", "b")) is None
+
+
+def test_subject_fallback_ties(spark):
+    """Of two older roots with one date the smallest id counts, in whatever order they come."""
+    rows = [("b", "l", "s", "f", 5), ("a", "l", "s", "f", 5), ("c", "l", "s", "f", 6), ("d", "l", "t", "f", 6)]
+    for order in (rows, rows[::-1]):
+        m = spark.createDataFrame(order, "message_id string, list string, subject_normalized string, from_addr string, date_unix_ns bigint")
+        got = G.with_fallback(m, m.select("message_id", F.col("message_id").alias("tid"))).collect()
+        assert {r["message_id"]: r["tid"] for r in got} == {"a": "a", "b": "a", "c": "a", "d": "d"}
+
+
 def test_paths_with_blanks(spark):
     body = "X\n---\ndiff --git a/doc/my file.txt b/doc/my file.txt\n--- a/doc/my file.txt\n+++ b/doc/my file.txt\n@@ -1 +1 @@ x\n-a\n+b\ndiff --git a/old.c b/new.c\n"
     assert by_id(parsed(spark, [mail("p@x", "[PATCH] p", body)]))["p@x"]["touched_files"] == ["doc/my file.txt", "old.c", "new.c"]
