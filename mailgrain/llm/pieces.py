@@ -6,7 +6,8 @@ concatenated and their suffixes sorted as far as the longest piece; every piece
 range of its occurrences; all occurrences are edges from start to end, sorted by where they end in their segment, then
 relaxed in that order. An edge extends the best path to its start if the two last pieces stand side by side when encoded
 alone. Byte-pair merging has exactly one such path to each place: a merge across the border of two pieces would happen in
-the pair alone as well, as it depends on nothing else. Which pairs hold is kept by a worker, for the last ``PAIRS`` at most.
+the pair alone as well, as it depends on nothing else. A worker keeps which pairs hold in a table of fixed size, where a new
+pair takes the place of an older one with the same hash.
 
 Defined results: null text has null pieces; empty text has none; characters outside the vocabulary become their UTF-8 byte
 pieces; ids that are no piece's decode as unknown; invalid byte pieces decode as U+FFFD each; a null list of ids decodes to
@@ -29,8 +30,8 @@ from .shingles import pieces as slices
 BLANK = "▁"
 #: Bytes of text, or pieces, that a worker handles at once; its arrays take some hundred times as much memory.
 SLICE = 1 << 20
-#: Pairs of pieces that a worker keeps at most.
-PAIRS = 1 << 20
+#: A worker's table of pairs has two to the power of this many places.
+PAIR_BITS = 21
 codecs.register_error("mailgrain_byte", lambda e: ("�", e.start + 1))
 
 
@@ -60,7 +61,8 @@ class Vocabulary:
     def __init__(self, model: dict):
         self.size = len(model["piece"])
         self.id = {p: i for i, (p, k) in enumerate(zip(model["piece"], model["kind"], strict=True)) if not k}
-        self.rank = {p: (-model["score"][i], p) for p, i in self.id.items()}
+        self.rank = {p: -model["score"][i] for p, i in self.id.items()}  # equal for many pieces
+        self.traces: dict[str, list[tuple[float, str, str]]] = {}
         self.byte = {int(p[1:-1], 16): i for i, p in enumerate(model["piece"]) if model["kind"][i] == "byte"}
         longer = [p for p in self.id if len(p) > 1]
         self.joins = np.zeros(0x110000, bool)
@@ -76,44 +78,61 @@ class Vocabulary:
         for i, p in enumerate(self.text):
             self.chars[i, : len(p)] = [ord(c) for c in p]
         self.by_id = dict(zip(self.id.values(), self.id, strict=True))
-        self.pair_keys, self.pair_ok = np.zeros(0, np.int64), np.zeros(0, bool)
-
-    def keeps(self, parts: list[str]) -> bool:
-        """Whether merging the characters of ``parts`` gives exactly these parts."""
-        symbols, owner = [], []
-        for k, p in enumerate(parts):
-            symbols += p
-            owner += [k] * len(p)
-        while True:
-            best = None
-            for i in range(len(symbols) - 1):
-                r = self.rank.get(symbols[i] + symbols[i + 1])
-                if r is not None and (best is None or r[0] < best[0]):
-                    best = (r[0], i)
-            if best is None:
-                return symbols == parts
-            i = best[1]
-            if owner[i] != owner[i + 1]:
+        self.pairs = np.full(1 << PAIR_BITS, -1, np.int64)  # twice the pair's number, plus one if it holds
+
+    def trace(self, piece: str) -> list[tuple[float, str, str]]:
+        """How the piece's characters merge when alone: before each merge its rank, the first and the last symbol; at the end
+        infinity. Empty if they don't become the piece. Kept for each piece."""
+        if piece not in self.traces:
+            symbols, states = list(piece), []
+            while True:
+                ranks = [self.rank.get(x + y, np.inf) for x, y in zip(symbols, symbols[1:])]
+                best = min(ranks, default=np.inf)
+                states.append((best, symbols[0], symbols[-1]))
+                if best == np.inf:
+                    break
+                at = ranks.index(best)
+                symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+            self.traces[piece] = states if len(symbols) == 1 else []
+        return self.traces[piece]
+
+    def keeps(self, left: str | None, right: str) -> bool:
+        """Whether merging the characters of both pieces gives exactly these pieces: each merges as if alone, unless at some
+        point the pair across the border comes first. Of equal ranks the leftmost comes first."""
+        b = self.trace(right)
+        if left is None or not b:
+            return bool(b)
+        a = self.trace(left)
+        i = j = 0
+        while a:
+            (next_a, _, last), (next_b, first, _) = a[i], b[j]
+            cross = self.rank.get(last + first, np.inf)
+            if cross < next_a and cross <= next_b:
                 return False
-            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
-            del owner[i]
+            if next_a == next_b == np.inf:
+                return True
+            if next_a <= next_b:
+                i += 1
+            else:
+                j += 1
+        return False
 
     def fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """For pairs of ids, whether they stay side by side; a left of -1 is a segment's start."""
         key = (left.astype(np.int64) + 1) * self.size + right
-        distinct, inverse = np.unique(key, return_inverse=True)
-        at = np.searchsorted(self.pair_keys, distinct)
-        known = (at < len(self.pair_keys)) & (self.pair_keys[np.minimum(at, len(self.pair_keys) - 1)] == distinct) if len(self.pair_keys) else np.zeros(len(distinct), bool)
-        new = distinct[~known]
-        if len(new):
-            if len(self.pair_keys) + len(new) > PAIRS:  # start anew with what is asked now
-                self.pair_keys, self.pair_ok, new = self.pair_keys[:0], self.pair_ok[:0], distinct
-            ok = np.array([self.keeps([self.by_id[i] for i in (k // self.size - 1, k % self.size) if i >= 0]) for k in new.tolist()], bool)
-            keys = np.concatenate([self.pair_keys, new])
-            order = np.argsort(keys, kind="stable")
-            self.pair_keys, self.pair_ok = keys[order], np.concatenate([self.pair_ok, ok])[order]
-            at = np.searchsorted(self.pair_keys, distinct)
-        return self.pair_ok[at][inverse]
+        known = self.pairs[self.place(key)]
+        new = known >> 1 != key
+        ok = known & 1 == 1
+        if new.any():
+            distinct, inverse = np.unique(key[new], return_inverse=True)
+            found = np.array([self.keeps(self.by_id.get(k // self.size - 1), self.by_id[k % self.size]) for k in distinct.tolist()], bool)
+            self.pairs[self.place(distinct)] = 2 * distinct + found
+            ok[new] = found[inverse]
+        return ok
+
+    @staticmethod
+    def place(key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
 
     # -- segments ------------------------------------------------------------------------------------------------------
 
@@ -174,44 +193,55 @@ class Vocabulary:
     def match(self, text: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(text):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        begin = np.cumsum(count) - count
-        start = np.repeat(begin, count)
-        left = np.repeat(begin + count, count) - np.arange(len(text))
-        # The suffixes' first characters as numbers, some to a word; 0 is past the end of a segment.
+        # A 0 stands after each segment, so no piece, which holds none, is found across a border.
+        begin = np.cumsum(count + 1) - count - 1
+        start = np.repeat(begin.astype(np.int32), count + 1)  # a text has fewer than 2^31 characters
+        size = len(start)
         alphabet = np.unique(text)
         bits = int(len(alphabet)).bit_length()
         code = np.zeros(int(alphabet[-1]) + 2, np.uint64)
         code[alphabet] = np.arange(1, len(alphabet) + 1)
-        coded = np.append(code[text], np.zeros(self.longest, np.uint64))
-        usable = (np.isin(self.chars, alphabet) | (self.chars == 0)).all(axis=1)
-        chars, length, ids = self.chars[usable], self.length[usable], self.ids[usable]
-        piece = np.where(chars > 0, code[np.minimum(chars, len(code) - 1)], 0)
+        piece = code[np.minimum(self.chars, len(code) - 1)]
         depth = int(min(self.longest, count.max()))
-        fit = length <= depth
-        piece, length, ids = piece[fit], length[fit], ids[fit]
+        usable = ((piece > 0) | (self.chars == 0)).all(axis=1) & (self.length <= depth)
+        piece, length, ids = piece[usable], self.length[usable], self.ids[usable]
+        # The suffixes' first characters as numbers, some to a word; each word is the first one of a later suffix.
         per = 64 // bits
-        suffix, low, high = [], [], []
-        for w in range(0, depth, per):
-            k, a, b = np.zeros(len(text), np.uint64), np.zeros(len(ids), np.uint64), np.zeros(len(ids), np.uint64)
-            for j in range(w, min(w + per, depth)):
-                shift = np.uint64(bits * (per - 1 - (j - w)))
-                k |= np.where(left > j, coded[j : j + len(text)], 0) << shift
-                a |= piece[:, j] << shift
-                b |= np.where(length > j, piece[:, j], np.uint64((1 << bits) - 1)) << shift
-            suffix.append(k)
+        words = -(-depth // per)
+        coded = np.zeros(size + words * per, np.uint64)
+        coded[np.arange(len(text)) + np.repeat(np.arange(len(count)), count)] = code[text]
+        packed = np.zeros(size + (words - 1) * per, np.uint64)
+        for j in range(per):
+            packed <<= np.uint64(bits)
+            packed |= coded[j : j + len(packed)]
+        suffix = [packed[w * per : w * per + size] for w in range(words)]
+        low, high = [], []
+        for w in range(words):
+            a, b = np.zeros(len(ids), np.uint64), np.zeros(len(ids), np.uint64)
+            for j in range(w * per, w * per + per):
+                c = piece[:, j] if j < self.longest else np.zeros(len(ids), np.uint64)
+                a = (a << np.uint64(bits)) | c
+                b = (b << np.uint64(bits)) | np.where(length > j, c, np.uint64((1 << bits) - 1))
             low.append(a)
             high.append(b)
-        order = np.lexsort(suffix[::-1])
-        suffix = [k[order] for k in suffix]
+        order = np.argsort(suffix[0])
+        if words > 1:  # suffixes with one first word are put in order by the others
+            head = suffix[0][order]
+            same = np.zeros(size + 1, bool)
+            same[1:-1] = head[1:] == head[:-1]
+            tied = np.flatnonzero(same[1:] | same[:-1])
+            own = order[tied]
+            order[tied] = own[np.lexsort([k[own] for k in suffix[::-1]])]
+        suffix, order = [k[order] for k in suffix], order.astype(np.int32)
         lo, hi = self.bound(suffix, low, False), self.bound(suffix, high, True)
         # Edges: each piece's range of occurrences.
         n = hi - lo
         at = order[ragged(lo, n)]
         edge_id, edge_end = np.repeat(ids, n), at + np.repeat(length, n)
         step = edge_end - start[at]
-        by_end = np.argsort(step, kind="stable")
+        by_end = np.argsort(step.astype(np.uint16) if count.max() < 1 << 16 else step, kind="stable")  # short numbers sort in one pass
         at, edge_id, edge_end, step = at[by_end], edge_id[by_end], edge_end[by_end], step[by_end]
-        last = np.full(len(text) + 1, -2, np.int32)  # of the path that ends before a place; kept at its last character
+        last = np.full(size + 1, -2, np.int32)  # of the path that ends before a place; kept at its last character
         rounds = np.searchsorted(step, np.arange(1, int(count.max()) + 2))
         for r in range(len(rounds) - 1):
             e = slice(rounds[r], rounds[r + 1])
@@ -222,14 +252,14 @@ class Vocabulary:
             ok = self.fits(before, s_id)
             last[s_end[ok] - 1] = s_id[ok]
         # Walk back from the ends of all segments at once.
-        size = np.zeros(self.size, np.int64)
-        size[self.ids] = self.length
-        on_path = np.zeros(len(text), bool)
+        long = np.zeros(self.size, np.int64)
+        long[self.ids] = self.length
+        on_path = np.zeros(size, bool)
         place = begin + count
         while len(place):
             on_path[place - 1] = True
             head = start[place - 1]
-            place = place - size[last[place - 1]]
+            place = place - long[last[place - 1]]
             place = place[place > head]
         return last[:-1][on_path], np.add.reduceat(on_path.astype(np.int64), begin)
 
