@@ -99,6 +99,31 @@ def op10_passages(spark, sf_dir):
     return find_passages(table(spark, sf_dir, "documents"), within=False)  # passages that repeat across documents
 
 
+def op11_clusters(spark, sf_dir):
+    from .kd_clusters import cluster, with_inertia
+
+    return with_inertia(*cluster(table(spark, sf_dir, "embeddings")))
+
+
+def op12_alignment(spark, sf_dir):
+    import public_tokenizers
+
+    from .alignment import align, groups_text
+
+    paths = [public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    found, _ = align(table(spark, sf_dir, "documents").select("doc_id", "text"), *paths)
+    return found.select(
+        "doc_id", "n_a", "n_b", F.size("groups").cast("long").alias("n_groups"), "n_links", "n_best", "count_sum",
+        F.when(F.col("n_a") > 0, F.sha2(groups_text(F.col("groups")), 256)).otherwise("").alias("groups_sha256"),
+    )
+
+
+def op13_topk(spark, sf_dir):
+    from .maxscore import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def pipeline(spark, sf_dir):
     from corpus_pipeline import run
 
@@ -109,5 +134,44 @@ def queries():
     return {k: f for k, f in globals().items() if (k.startswith("op") or k == "pipeline") and callable(f)}
 
 
+def _rounds(n: int) -> str:
+    """Rounds of exact k-means: c{i} are the centroids before round i + 1, a{i} the vectors with theirs."""
+    parts = []
+    for i in range(n + 1):
+        parts.append(f"""
+  d{i} AS (SELECT r, k, sum((x - c) * (x - c)) AS d FROM p JOIN c{i} USING (j) GROUP BY r, k),
+  a{i} AS (SELECT r, k, d FROM d{i} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1)""")
+        if i < n:
+            parts.append(f"""
+  m{i} AS (SELECT k, j, sum(x) AS s, count(*) AS n FROM p JOIN a{i} USING (r) GROUP BY k, j),
+  c{i + 1} AS (SELECT k, j, CASE WHEN n IS NULL THEN c ELSE (s - ((s % n) + n) % n) // n END AS c FROM c{i} LEFT JOIN m{i} USING (k, j))""")
+    return ",".join(parts)
+
+
+ORACLE = {
+    "op11_clusters": f"""
+WITH v AS (
+    SELECT row_number() OVER () AS r, vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS z FROM embeddings
+    WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = 64),
+  p AS (SELECT r, unnest(range(64)) AS j, unnest(z) AS x FROM v),
+  f AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), z) - 1 AS k, z FROM v WHERE vec_id IS NOT NULL QUALIFY k < 16),
+  c0 AS (SELECT k, unnest(range(64)) AS j, unnest(z) AS c FROM f),{_rounds(3)},
+  n AS (SELECT k, sha256(string_agg(c::BIGINT::VARCHAR, ',' ORDER BY j)) AS h FROM c3 GROUP BY k)
+SELECT vec_id, k::INT AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia,
+    (sum(d) OVER ())::BIGINT AS inertia, h AS centroid_sha256
+FROM a3 JOIN v USING (r) JOIN n USING (k)""",
+    "op13_topk": """
+WITH v AS (
+    SELECT row_number() OVER () AS r, vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS z FROM embeddings
+    WHERE vec_id IS NOT NULL AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = len(embedding)),
+  p AS (SELECT r, vec_id, unnest(range(len(z))) AS j, unnest(z) AS x FROM v),
+  s AS (
+    SELECT q.r, q.vec_id AS query_id, p.vec_id, p.r AS other, sum(q.x * p.x)::BIGINT AS score
+    FROM p q JOIN p ON q.j = p.j AND q.r <> p.r WHERE q.vec_id % 50 = 0 GROUP BY ALL)
+SELECT query_id, (row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s
+QUALIFY rank <= 5""",
+}
+
+
 def oracle_sql():
-    return {}
+    return ORACLE
