@@ -8,8 +8,8 @@ serves them all.
 
 Token ids are written once. A first reading of them counts the linked id pairs, a second aligns and looks the counts up: in
 a sorted table that every task holds where a count of its rows shows it small, else by a join of each text's distinct
-pairs, where pairs of common tokens are spread over salts. Texts are encoded in pieces cut before a blank between two
-letters or digits, where neither tokenizer joins; a longer run without one is one piece.
+pairs, where pairs of common tokens are spread over salts. Texts are cut at each blank between two other characters, on whose left
+neither tokenizer joins, and each distinct part of a slice is encoded once, after a blank as in its text.
 
 Defined results: null and empty texts, and texts of which a token list doesn't spell a blank and the text (U+2581 stands for
 a blank), have no tokens: counts are 0 and ``groups`` is empty. Strings of special tokens are plain text. Repeated rows
@@ -36,12 +36,11 @@ from .shingles import pieces as slices
 
 #: Characters of text, and tokens, that a worker handles at once.
 CHARACTERS, TOKENS = 1 << 19, 1 << 19
-#: Longer texts are encoded in parts of about this many characters.
-PART = 1 << 16
 #: Pairs of ids that a task may hold with their counts: 17 bytes each.
 MAX_TABLE_PAIRS = 2_000_000
 SALTS = 32
-CUT = re.compile(r"(?<=\w) (?=\w)")
+#: A blank between two other characters: neither tokenizer joins across its left side.
+CUT = re.compile(r"(?<=\S) (?=\S)")
 SHIFT = 32
 
 
@@ -67,10 +66,13 @@ class Surfaces:
         self.pool = np.frombuffer(b"".join(surfaces), np.uint8)
         self.begin = np.cumsum(self.size) - self.size
 
-    def spell(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
-        """The bytes of all ids, and where each one starts, with the end."""
-        size = self.size[ids]
-        return self.pool[ragged(self.begin[ids], size)].tobytes(), np.concatenate([[0], np.cumsum(size)])
+    def texts(self, ids: list[list[int]]) -> list[bytes]:
+        """What each list of ids spells."""
+        flat = np.array([i for x in ids for i in x], np.int64)
+        size = self.size[flat]
+        data = self.pool[ragged(self.begin[flat], size)].tobytes()
+        at = np.concatenate([[0], np.cumsum(size)])[np.cumsum([0, *map(len, ids)])]
+        return [data[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
 
 
 class Tokenizers:
@@ -92,49 +94,28 @@ class Tokenizers:
             b.append(bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else b"" if self.b.is_control(i) or self.b.is_unknown(i) else p.replace("▁", " ").encode())
         self.a_bytes, self.b_bytes = Surfaces(a), Surfaces(b)
 
-    def encode(self, texts: list[str | None]) -> tuple[list, list]:
-        """Ids by A and by B of each text; none where they don't spell it."""
-        parts, owner = [], []
-        for i, text in enumerate(texts):
-            own = parts_of(text) if text else []
-            parts += own
-            owner += [i] * len(own)
-        ids = [e.ids for e in self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
-        a = self.joined(ids, owner, len(texts))
-        b = self.joined(self.b.encode(parts, num_threads=1), owner, len(texts))
-        spelled = [self.texts(s, *x) for s, x in ((self.a_bytes, a), (self.b_bytes, b))]
-        out: tuple[list, list] = ([], [])
-        for i, text in enumerate(texts):
-            want = b" " + text.encode() if text else b""
-            sound = all(s[i] == want for s in spelled)
-            for column, (flat, off) in zip(out, (a, b), strict=True):
-                column.append(flat[off[i] : off[i + 1]] if sound else flat[:0])
+    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids by A and by B of all texts, each with the texts' offsets; none where they don't spell the text. Each distinct
+        part is encoded once."""
+        number: dict[str, int] = {}
+        parts = [[number.setdefault(p, len(number)) for p in CUT.split(text)] if text else [] for text in texts]
+        names = list(number)
+        a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in names], add_special_tokens=False)]
+        b = self.b.encode(names, num_threads=1)
+        want = [b" " + p.encode() for p in names]
+        sound = np.array([x == y == w for x, y, w in zip(self.a_bytes.texts(a), self.b_bytes.texts(b), want, strict=True)], bool)
+        size = np.array([len(p) for p in parts], np.int64)
+        at = np.fromiter((i for p in parts for i in p), np.int64, int(size.sum()))
+        bad = added_up(~sound[at], np.concatenate([[0], np.cumsum(size)])) > 0
+        at = at[~np.repeat(bad, size)]
+        ends = np.concatenate([[0], np.cumsum(np.where(bad, 0, size))])
+        out = []
+        for ids in (a, b):
+            n, flat = np.array([len(x) for x in ids], np.int64), np.array([i for x in ids for i in x], np.int32)
+            own = n[at]
+            out.append((flat[ragged((np.cumsum(n) - n)[at], own)], np.concatenate([[0], np.cumsum(own)])[ends]))
         return out
 
-    @staticmethod
-    def joined(ids: list[list[int]], owner: list[int], n: int) -> tuple[np.ndarray, np.ndarray]:
-        size = np.bincount(owner, [len(x) for x in ids], n).astype(np.int64) if owner else np.zeros(n, np.int64)
-        flat = np.fromiter((i for x in ids for i in x), np.int32, int(size.sum()))
-        return flat, np.concatenate([[0], np.cumsum(size)])
-
-    @staticmethod
-    def texts(surfaces: Surfaces, flat: np.ndarray, off: np.ndarray) -> list[bytes]:
-        data, start = surfaces.spell(flat)
-        at = start[off]
-        return [data[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
-
-
-def parts_of(text: str) -> list[str]:
-    """The text cut at blanks between letters or digits, in parts of ``PART`` characters or more; the blank goes, as both
-    tokenizers are given one before each part."""
-    if len(text) <= PART:
-        return [text]
-    out, start = [], 0
-    while m := CUT.search(text, start + PART):
-        out.append(text[start : m.start()])
-        start = m.end()
-    return [*out, text[start:]]
-
 
 _loaded: dict[str, Tokenizers] = {}  # a worker's last tokenizers, by the content of their files
 
@@ -205,8 +186,8 @@ def tokenize(docs: DataFrame, a_path: str, b_path: str, text: str = "text", a: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in slices(whole, text, CHARACTERS):
-                lists = tokenizers_of(model.value, number).encode(part.column(text).to_pylist())
-                columns = [pa.array(x, pa.list_(pa.int32())) for x in lists]
+                found = tokenizers_of(model.value, number).encode(part.column(text).to_pylist())
+                columns = [pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids)) for ids, off in found]
                 yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], *columns], schema.fieldNames())
 
     return docs.mapInArrow(run, schema)

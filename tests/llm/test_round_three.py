@@ -216,19 +216,23 @@ def test_alignment_of_documents(spark):
     assert aligned(df.select("doc_id", "text"))[0] == plain_alignment(docs)
 
 
-def test_alignment_in_parts(monkeypatch):
-    """A long text in parts has the tokens of the whole one."""
+def test_alignment_in_parts():
+    """A text cut at its blanks has the tokens of the whole one."""
     import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
 
     from mailgrain.llm import alignment
 
-    t = alignment.Tokenizers(alignment.load(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")))
-    texts = [" ".join(f"word{i} été  two\nline" for i in range(300)), "x" * 5000, "日本 語 " * 500, None]
-    one = t.encode(texts)
-    monkeypatch.setattr(alignment, "PART", 50)
-    assert len(alignment.parts_of(texts[0])) > 50
-    for x, y in zip(one, t.encode(texts)):
-        assert [v.tolist() for v in x] == [v.tolist() for v in y]
+    paths = [public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    a, b = Tokenizer.from_file(paths[0]), sentencepiece.SentencePieceProcessor(model_file=paths[1])
+    rng = np.random.default_rng(4)
+    signs = list("ab1'. \n\té日½🦙\u00a0\u200d\x1c\x85") + [" ", " ", " a", "'s ", "  ", " _", " <s> "]
+    texts = ["".join(rng.choice(signs, 40)) for _ in range(400)] + [" ".join(f"word{i} été  two\nline" for i in range(300)), "x" * 5000]
+    found = alignment.Tokenizers(alignment.load(*paths)).encode(texts)
+    for (ids, off), own in zip(found, (lambda t: a.encode(" " + t, add_special_tokens=False).ids, b.encode), strict=True):
+        for i, text in enumerate(texts):
+            assert ids[off[i] : off[i + 1]].tolist() == own(text), text
 
 
 def test_alignment_keeps_clashing_columns(spark):
