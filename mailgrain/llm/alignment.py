@@ -9,7 +9,8 @@ serves them all.
 Token ids are written once. A first reading of them counts the linked id pairs, a second aligns and looks the counts up: in
 a sorted table that every task holds where a count of its rows shows it small, else by a join of each text's distinct
 pairs, where pairs of common tokens are spread over salts. Texts are cut at each blank between two other characters, on whose left
-neither tokenizer joins, and each distinct part of a slice is encoded once, after a blank as in its text.
+neither tokenizer joins, and each distinct part is encoded once, after a blank as in its text; a worker keeps the ids of
+a bounded number of parts.
 
 Defined results: null and empty texts, and texts of which a token list doesn't spell a blank and the text (U+2581 stands for
 a blank), have no tokens: counts are 0 and ``groups`` is empty. Strings of special tokens are plain text. Repeated rows
@@ -21,11 +22,11 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,12 +36,12 @@ from .pieces import ragged
 from .shingles import pieces as slices
 
 #: Characters of text, and tokens, that a worker handles at once.
-CHARACTERS, TOKENS = 1 << 19, 1 << 19
+CHARACTERS, TOKENS = 1 << 20, 1 << 19
 #: Pairs of ids that a task may hold with their counts: 17 bytes each.
 MAX_TABLE_PAIRS = 2_000_000
 SALTS = 32
-#: A blank between two other characters: neither tokenizer joins across its left side.
-CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Parts whose ids a worker keeps.
+KNOWN_PARTS = 300_000
 SHIFT = 32
 
 
@@ -59,20 +60,19 @@ def load(a_path: str, b_path: str) -> dict[str, bytes]:
 
 
 class Surfaces:
-    """Bytes of each id of a vocabulary."""
+    """A table of byte strings."""
 
     def __init__(self, surfaces: list[bytes]):
         self.size = np.array([len(s) for s in surfaces], np.int64)
         self.pool = np.frombuffer(b"".join(surfaces), np.uint8)
         self.begin = np.cumsum(self.size) - self.size
 
-    def texts(self, ids: list[list[int]]) -> list[bytes]:
-        """What each list of ids spells."""
-        flat = np.array([i for x in ids for i in x], np.int64)
-        size = self.size[flat]
-        data = self.pool[ragged(self.begin[flat], size)].tobytes()
-        at = np.concatenate([[0], np.cumsum(size)])[np.cumsum([0, *map(len, ids)])]
-        return [data[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+    def spell(self, at: np.ndarray, off: np.ndarray) -> list[bytes]:
+        """The entries ``at`` one after another, cut at the offsets ``off`` in them."""
+        size = self.size[at]
+        data = self.pool[ragged(self.begin[at], size)].tobytes()
+        ends = np.concatenate([[0], np.cumsum(size)])[off].tolist()
+        return [data[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
 
 
 class Tokenizers:
@@ -93,30 +93,76 @@ class Tokenizers:
             p = self.b.id_to_piece(i)
             b.append(bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else b"" if self.b.is_control(i) or self.b.is_unknown(i) else p.replace("▁", " ").encode())
         self.a_bytes, self.b_bytes = Surfaces(a), Surfaces(b)
-
-    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids by A and by B of all texts, each with the texts' offsets; none where they don't spell the text. Each distinct
-        part is encoded once."""
-        number: dict[str, int] = {}
-        parts = [[number.setdefault(p, len(number)) for p in CUT.split(text)] if text else [] for text in texts]
-        names = list(number)
-        a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in names], add_special_tokens=False)]
-        b = self.b.encode(names, num_threads=1)
-        want = [b" " + p.encode() for p in names]
-        sound = np.array([x == y == w for x, y, w in zip(self.a_bytes.texts(a), self.b_bytes.texts(b), want, strict=True)], bool)
-        size = np.array([len(p) for p in parts], np.int64)
-        at = np.fromiter((i for p in parts for i in p), np.int64, int(size.sum()))
-        bad = added_up(~sound[at], np.concatenate([[0], np.cumsum(size)])) > 0
+        # Ids as they are written: A's before another of its group and at its group's end, then B's.
+        self.written = Surfaces([f"{i}{c}".encode() for n, last in ((len(a), "|"), (len(b), ";")) for c in ("," + last) for i in range(n)])
+        self.forget()
+
+    def forget(self) -> None:
+        """The parts known so far: their numbers, and for each its ids by A and B and whether they spell it."""
+        self.number: dict[str, int] = {}
+        self.ids = [(np.zeros(0, np.int32), np.zeros(1, np.int64)) for _ in "ab"]
+        self.sound = np.zeros(0, bool)
+
+    def learn(self, parts: list[str]) -> np.ndarray:
+        """Numbers of the parts; new ones are encoded."""
+        if len(self.number) > KNOWN_PARTS:
+            self.forget()
+        known = len(self.number)
+        at = np.array([self.number.setdefault(p, len(self.number)) for p in parts], np.int64)
+        new = list(self.number)[known:]
+        if new:
+            a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in new], add_special_tokens=False)]
+            spelled = []
+            for k, (lists, surfaces) in enumerate(((a, self.a_bytes), (self.b.encode(new, num_threads=1), self.b_bytes))):
+                flat = np.array([i for x in lists for i in x], np.int32)
+                off = np.cumsum([0, *map(len, lists)])
+                spelled.append(surfaces.spell(flat, off))
+                old, old_off = self.ids[k]
+                self.ids[k] = np.concatenate([old, flat]), np.concatenate([old_off, old_off[-1] + off[1:]])
+            own = [x == y == b" " + p.encode() for x, y, p in zip(*spelled, new, strict=True)]
+            self.sound = np.concatenate([self.sound, np.array(own, bool)])
+        return at
+
+    def encode(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids by A and by B of all texts, each with the texts' offsets; none where they don't spell the text."""
+        parts, size = parts_of(texts)
+        at = self.learn(parts.dictionary.to_pylist())[parts.indices.to_numpy()]
+        bad = added_up(~self.sound[at], np.concatenate([[0], np.cumsum(size)])) > 0
         at = at[~np.repeat(bad, size)]
         ends = np.concatenate([[0], np.cumsum(np.where(bad, 0, size))])
         out = []
-        for ids in (a, b):
-            n, flat = np.array([len(x) for x in ids], np.int64), np.array([i for x in ids for i in x], np.int32)
-            own = n[at]
-            out.append((flat[ragged((np.cumsum(n) - n)[at], own)], np.concatenate([[0], np.cumsum(own)])[ends]))
+        for flat, off in self.ids:
+            own = np.diff(off)[at]
+            out.append((flat[ragged(off[at], own)], np.concatenate([[0], np.cumsum(own)])[ends]))
         return out
 
 
+def parts_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """All texts cut at the blanks between two other characters, and the number of parts of each; a null or empty text has
+    none."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    lists = pc.split_pattern(texts, " ")
+    size = lists.value_lengths().to_numpy().astype(np.int64)
+    words = lists.flatten().dictionary_encode()
+    at, names = words.indices.to_numpy(), words.dictionary.to_pylist()
+    opens = np.array([w != "" and not w[0].isspace() for w in names], bool)[at] if names else np.zeros(0, bool)
+    closes = np.array([w != "" and not w[-1].isspace() for w in names], bool)[at] if names else opens
+    first = np.ones(len(at), bool)
+    first[1:] = closes[:-1] & opens[1:]
+    first[np.cumsum(size) - size] = True
+    start = np.flatnonzero(first)
+    count = np.diff(np.append(start, len(at)))
+    # What stands around other white space stays together.
+    number = {w: i for i, w in enumerate(names)}
+    found = at[start].astype(np.int64)
+    for k in np.flatnonzero(count > 1):
+        found[k] = number.setdefault(" ".join(names[i] for i in at[start[k] : start[k] + count[k]]), len(number))
+    size = np.add.reduceat(first, np.cumsum(size) - size).astype(np.int64) if len(size) else size
+    there = pc.binary_length(texts).to_numpy() > 0
+    found = found[np.repeat(there, size)]
+    return pa.DictionaryArray.from_arrays(pa.array(found), pa.array(list(number), pa.string())), np.where(there, size, 0)
+
+
 _loaded: dict[str, Tokenizers] = {}  # a worker's last tokenizers, by the content of their files
 
 
@@ -160,6 +206,19 @@ class Aligned:
         each = pa.StructArray.from_arrays([lists(self.a, self.a_end), lists(self.b, self.b_end)], names=["a", "b"])
         return pa.ListArray.from_arrays(pa.array(self.group_off, pa.int32()), each)
 
+    def digests(self, t: Tokenizers) -> list[str]:
+        """Of each text the sha256 of ``a1,a2|b1;a3|b2``: ids of both lists, group by group; empty without tokens."""
+        n, n_a = len(self.a) + len(self.b), len(t.a_bytes.size)
+        at = np.empty(n, np.int64)
+        for ids, end, other, base, own in ((self.a, self.a_end, self.b_end, 0, n_a), (self.b, self.b_end, self.a_end, 2 * n_a, len(t.b_bytes.size))):
+            size = np.diff(end, prepend=0)
+            last = np.zeros(len(ids), np.int64)
+            last[end - 1] = own
+            before = np.repeat(other - (np.diff(other, prepend=0) if base == 0 else 0), size)  # B stands after A's of its group
+            at[np.arange(len(ids)) + before] = base + ids + last
+        said = t.written.spell(at, self.a_off + self.b_off)
+        return [hashlib.sha256(x[:-1]).hexdigest() if x else "" for x in said]
+
 
 def added_up(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0], np.cumsum(values)])[off])
@@ -186,7 +245,7 @@ def tokenize(docs: DataFrame, a_path: str, b_path: str, text: str = "text", a: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in slices(whole, text, CHARACTERS):
-                found = tokenizers_of(model.value, number).encode(part.column(text).to_pylist())
+                found = tokenizers_of(model.value, number).encode(part.column(text))
                 columns = [pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids)) for ids, off in found]
                 yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], *columns], schema.fieldNames())
 
@@ -198,11 +257,11 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def align(
-    docs: DataFrame, a_path: str, b_path: str, text: str = "text", max_table_pairs: int = MAX_TABLE_PAIRS
+    docs: DataFrame, a_path: str, b_path: str, text: str = "text", max_table_pairs: int = MAX_TABLE_PAIRS, digest: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """Two tables. Of each text, with all columns but the text: ``groups`` (array of structs of the ids by ``a`` and ``b``),
-    n_a, n_b, n_links, n_best (links of which no pair with their B id has more), count_sum (of the links' pairs). Of each
-    linked pair: a_id, b_id, n, best."""
+    """Two tables. Of each text, with all columns but the text: ``groups`` (array of structs of the ids by ``a`` and ``b``), or
+    with ``digest`` their hash, groups_sha256; n_groups, n_a, n_b, n_links, n_best (links of which no pair with their B id has
+    more), count_sum (of the links' pairs). Of each linked pair: a_id, b_id, n, best."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     a, b, rid = unused(docs, "a_ids"), unused(docs, "b_ids"), unused(docs, "rid")
     kept = [c for c in docs.columns if c != text]
@@ -232,10 +291,10 @@ def align(
         columns = [known.column(c).to_numpy() for c in ("pair", "n", "best")]
         order = np.argsort(columns[0])
         known = spark.sparkContext.broadcast([c[order] for c in columns])
-    fields = ["groups", "n_a", "n_b", "n_links", "n_best", "count_sum"]
+    fields = ["groups_sha256" if digest else "groups", "n_groups", "n_a", "n_b", "n_links", "n_best", "count_sum"]
     taken = {c.lower(): unused(docs, c) for c in fields}  # of columns that clash, the new ones get a suffix
-    groups = "array<struct<a: array<int>, b: array<int>>>"
-    schema = T.StructType([*docs.select(*kept).schema.fields, *T._parse_datatype_string(f"{taken['groups']} {groups}, " + ", ".join(f"{taken[c]} bigint" for c in fields[1:])).fields])
+    groups = "string" if digest else "array<struct<a: array<int>, b: array<int>>>"
+    schema = T.StructType([*docs.select(*kept).schema.fields, *T._parse_datatype_string(f"{taken[fields[0]]} {groups}, " + ", ".join(f"{taken[c]} bigint" for c in fields[1:])).fields])
     if not in_table:
         schema = schema.add(rid, T.LongType())
 
@@ -247,8 +306,9 @@ def align(
                 pair, n, best = known.value
                 at = np.searchsorted(pair, x.links())
                 n_best, count_sum = added_up(best[at], off) if len(at) else n_best, added_up(n[at], off) if len(at) else n_best
-            numbers = [np.diff(x.a_off), np.diff(x.b_off), np.diff(off), n_best, count_sum]
-            columns = [*[part.column(c) for c in kept], x.groups(), *[pa.array(v.astype(np.int64)) for v in numbers]]
+            numbers = [np.diff(x.group_off), np.diff(x.a_off), np.diff(x.b_off), np.diff(off), n_best, count_sum]
+            shown = pa.array(x.digests(tokenizers_of(model.value, number)), pa.string()) if digest else x.groups()
+            columns = [*[part.column(c) for c in kept], shown, *[pa.array(v.astype(np.int64)) for v in numbers]]
             yield pa.RecordBatch.from_arrays([*columns, part.column(rid)] if known is None else columns, schema.fieldNames())
 
     out = tokens.mapInArrow(result, schema)
@@ -271,8 +331,3 @@ def align(
     names = schema.fieldNames()[:-1]
     return out.join(sums, rid, "left").select(*[looked[c].cast("long").alias(c) if c in looked else F.col(f"`{c}`") for c in names]), pairs
 
-
-def groups_text(groups):
-    """``a1,a2|b1;a3|b2``: ids of both lists, group by group."""
-    ids = lambda x: F.array_join(x.cast("array<string>"), ",")
-    return F.array_join(F.transform(groups, lambda g: F.concat(ids(g["a"]), F.lit("|"), ids(g["b"]))), ";")

@@ -108,14 +108,11 @@ def op11_clusters(spark, sf_dir):
 def op12_alignment(spark, sf_dir):
     import public_tokenizers
 
-    from .alignment import align, groups_text
+    from .alignment import align
 
     paths = [public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
-    found, _ = align(table(spark, sf_dir, "documents").select("doc_id", "text"), *paths)
-    return found.select(
-        "doc_id", "n_a", "n_b", F.size("groups").cast("long").alias("n_groups"), "n_links", "n_best", "count_sum",
-        F.when(F.col("n_a") > 0, F.sha2(groups_text(F.col("groups")), 256)).otherwise("").alias("groups_sha256"),
-    )
+    found, _ = align(table(spark, sf_dir, "documents").select("doc_id", "text"), *paths, digest=True)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
 def op13_topk(spark, sf_dir):

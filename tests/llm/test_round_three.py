@@ -5,6 +5,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,21 +194,25 @@ def plain_alignment(docs):
 def aligned(df, **options):
     import public_tokenizers
 
-    from mailgrain.llm.alignment import align, groups_text
+    from mailgrain.llm.alignment import align
 
     found, pairs = align(df, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), **options)
-    text = F.when(F.col("n_a") > 0, F.sha2(groups_text(F.col("groups")), 256)).otherwise("")
-    return sorted(tuple(r) for r in found.select("doc_id", "n_a", "n_b", F.size("groups"), "n_links", "n_best", "count_sum", text).collect()), pairs
+    ids = lambda x: F.array_join(x.cast("array<string>"), ",")
+    if "groups" in found.columns:
+        text = F.array_join(F.transform("groups", lambda g: F.concat(ids(g["a"]), F.lit("|"), ids(g["b"]))), ";")
+        found = found.withColumn("groups_sha256", F.when(F.col("n_a") > 0, F.sha2(text, 256)).otherwise(""))
+    return sorted(tuple(r) for r in found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256").collect()), pairs
 
 
 @pytest.mark.parametrize("most", [2_000_000, 0])  # the table of pairs, and the join
-def test_alignment(spark, most):
+@pytest.mark.parametrize("digest", [False, True])
+def test_alignment(spark, most, digest):
     docs = list(enumerate(TEXTS)) + [(3, "a")] * 2
     df = spark.createDataFrame(docs, "doc_id bigint, text string").withColumns({"rid": F.lit("clash"), "a_ids": F.lit("clash")}).repartition(3)
-    got, pairs = aligned(df, max_table_pairs=most)
+    got, pairs = aligned(df, max_table_pairs=most, digest=digest)
     assert got == plain_alignment(docs)
     assert sum(r["n"] for r in pairs.collect()) == sum(r[4] for r in got)
-    assert aligned(df.limit(0), max_table_pairs=most)[0] == []
+    assert aligned(df.limit(0), max_table_pairs=most, digest=digest)[0] == []
 
 
 def test_alignment_of_documents(spark):
@@ -216,7 +221,7 @@ def test_alignment_of_documents(spark):
     assert aligned(df.select("doc_id", "text"))[0] == plain_alignment(docs)
 
 
-def test_alignment_in_parts():
+def test_alignment_in_parts(monkeypatch):
     """A text cut at its blanks has the tokens of the whole one."""
     import public_tokenizers
     import sentencepiece
@@ -229,10 +234,13 @@ def test_alignment_in_parts():
     rng = np.random.default_rng(4)
     signs = list("ab1'. \n\té日½🦙\u00a0\u200d\x1c\x85") + [" ", " ", " a", "'s ", "  ", " _", " <s> "]
     texts = ["".join(rng.choice(signs, 40)) for _ in range(400)] + [" ".join(f"word{i} été  two\nline" for i in range(300)), "x" * 5000]
-    found = alignment.Tokenizers(alignment.load(*paths)).encode(texts)
-    for (ids, off), own in zip(found, (lambda t: a.encode(" " + t, add_special_tokens=False).ids, b.encode), strict=True):
-        for i, text in enumerate(texts):
-            assert ids[off[i] : off[i + 1]].tolist() == own(text), text
+    t = alignment.Tokenizers(alignment.load(*paths))
+    monkeypatch.setattr(alignment, "KNOWN_PARTS", 1000)
+    for part in (texts[:300], texts[300:], texts):  # some parts are known by then, and forgotten in between
+        found = t.encode(pa.array(part))
+        for (ids, off), own in zip(found, (lambda t: a.encode(" " + t, add_special_tokens=False).ids, b.encode), strict=True):
+            for i, text in enumerate(part):
+                assert ids[off[i] : off[i + 1]].tolist() == own(text), text
 
 
 def test_alignment_keeps_clashing_columns(spark):
