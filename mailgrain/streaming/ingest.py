@@ -1,4 +1,4 @@
-"""Incremental ingest: raw archive files to the messages table, batch by batch, without repeats."""
+"""Incremental ingest: raw mail to the messages table, batch by batch, without repeats."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..schema import RAW
+from ..sources import shards
 from ..sources.mail import parse_messages
 from ..sources.store import write_messages
 
@@ -14,8 +15,16 @@ from ..sources.store import write_messages
 def ingest(spark: SparkSession, raw_path: str, table_path: str, state_path: str, now_ns: int, files_per_trigger: int = 1000) -> StreamingQuery:
     """Parses new raw files and appends them, then ends. The checkpoint remembers files, each batch is tagged with its number,
     and readers take the latest run of a key: a batch that is replayed adds nothing, and one without rows no generation."""
-    stream = spark.readStream.schema(RAW).option("maxFilesPerTrigger", files_per_trigger).parquet(raw_path)
+    return ingest_stream(spark.readStream.schema(RAW).option("maxFilesPerTrigger", files_per_trigger).parquet(raw_path), table_path, state_path, now_ns)
 
+
+def ingest_shards(spark: SparkSession, root: str, table_path: str, state_path: str, now_ns: int) -> StreamingQuery:
+    """As :func:`ingest`, from repositories; the checkpoint remembers the head of each shard."""
+    shards.register(spark)
+    return ingest_stream(spark.readStream.format("mail_shards").load(root), table_path, state_path, now_ns)
+
+
+def ingest_stream(stream: DataFrame, table_path: str, state_path: str, now_ns: int) -> StreamingQuery:
     def write(batch: DataFrame, number: int) -> None:
         rows = parse_messages(batch, now_ns)
         if batch.isEmpty():

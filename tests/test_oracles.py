@@ -8,7 +8,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from mailgrain.plans import more_queries  # noqa: F401
+from mailgrain.plans import more_queries, round_three  # noqa: F401
 from mailgrain.plans.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
