@@ -36,12 +36,12 @@ from .pieces import ragged
 from .shingles import pieces as slices
 
 #: Characters of text, and tokens, that a worker handles at once.
-CHARACTERS, TOKENS = 1 << 20, 1 << 19
+CHARACTERS, TOKENS = 1 << 20, 1 << 18
 #: Pairs of ids that a task may hold with their counts: 17 bytes each.
 MAX_TABLE_PAIRS = 2_000_000
 SALTS = 32
-#: Parts whose ids a worker keeps.
-KNOWN_PARTS = 300_000
+#: Parts whose ids a worker keeps, and parts encoded at once: a library's result takes a thousand bytes for each.
+KNOWN_PARTS, ENCODED = 200_000, 4096
 SHIFT = 32
 
 
@@ -111,9 +111,12 @@ class Tokenizers:
         at = np.array([self.number.setdefault(p, len(self.number)) for p in parts], np.int64)
         new = list(self.number)[known:]
         if new:
-            a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in new], add_special_tokens=False)]
-            spelled = []
-            for k, (lists, surfaces) in enumerate(((a, self.a_bytes), (self.b.encode(new, num_threads=1), self.b_bytes))):
+            a, b, spelled = [], [], []
+            for i in range(0, len(new), ENCODED):
+                some = new[i : i + ENCODED]
+                a += [e.ids for e in self.a.encode_batch_fast([" " + p for p in some], add_special_tokens=False)]
+                b += self.b.encode(some, num_threads=1)
+            for k, (lists, surfaces) in enumerate(((a, self.a_bytes), (b, self.b_bytes))):
                 flat = np.array([i for x in lists for i in x], np.int32)
                 off = np.cumsum([0, *map(len, lists)])
                 spelled.append(surfaces.spell(flat, off))
