@@ -2,10 +2,11 @@
 
 Exact phrases give base labels. For the method, all documents are counted first: how many hold each word of the templates. Of
 each template the words that stand in some document are ranked by inverse document frequency; the rarer half, and all that at
-most ``RARE`` of all documents hold, are its index words. Every file's words are looked up in the index; a template that has two of its index words in a file or more takes the
-``top_k`` of them with the highest inverse document frequency, intersects their places in the file with its postings, and is
-a candidate where ``min_votes`` of them agree on one relative position. Last, a candidate's mandatory key phrases are
-verified. Each template has votes of its own, so the notices of one file don't take words from each other.
+most ``RARE`` of all documents hold, are its index words. Every file's words are looked up in the index; a template that has
+two of its index words in a file or more takes the ``top_k`` of them with the highest inverse document frequency, intersects
+their places in the file with its postings, and is a candidate where ``min_votes`` of them agree on one relative position.
+Last, its mandatory key phrases are verified: each must stand where that position puts it, give or take ``slack`` words, so
+"version 3" in another sentence makes no third version of a notice of the second. Each template has votes of its own, so the notices of one file don't take words from each other.
 
 Defined results: null or empty text has no words, no labels and score 0; repeated rows are scanned one by one; an empty
 table gives an empty result; only the id and text columns are read.
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -134,6 +135,11 @@ TEMPLATES = [
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
         ["creative commons attribution sharealike"],
     ),
+    (
+        "cc-by",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License",
+        ["creative commons attribution 4 0"],
+    ),
     (
         "cc0",
         """To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to
@@ -159,6 +165,12 @@ def words_of(text: str) -> list[str]:
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
 
 
+def places_of(whole: str, phrase: str) -> list[int]:
+    """Where a phrase stands in a template, in words."""
+    words, wanted = words_of(whole), phrase.split()
+    return [i for i in range(len(words)) if words[i : i + len(wanted)] == wanted]
+
+
 def vocabulary() -> list[str]:
     return sorted({w for _, text, _ in TEMPLATES for w in words_of(text)})
 
@@ -203,7 +215,7 @@ def index_words(n: int, df: dict[str, int]) -> list[list[str]]:
     return out
 
 
-def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", top_k: int = 8, min_votes: int = 2) -> DataFrame:
+def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", top_k: int = 8, min_votes: int = 2, slack: int = 2) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score. score is 1 where a base phrase stands,
     else the largest share of an accepted template's looked-up words that agree on one relative position."""
     index = index_words(*document_frequency(docs, text))
@@ -236,13 +248,21 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
         possible = F.filter(F.transform(F.lit(list(range(len(TEMPLATES)))), lambda t: F.struct(t.alias("t"), own(t).alias("c"))), lambda x: F.size(x["c"]) >= min_votes)
         return F.sort_array(F.flatten(F.transform(possible, lambda x: of(x["t"], x["c"]))))
 
-    def verified(t: Column) -> Column:
+    def verified(words: Column, t: Column, d: Column) -> Column:
+        """Whether each key phrase of the template stands in the file where the run puts it, give or take some words."""
+
+        def stands(phrase: str, at: int) -> Column:
+            wanted = phrase.split()
+            near = F.sequence(F.greatest(d + at - slack, F.lit(0)), F.greatest(d + at + slack, F.lit(0)))
+            return F.exists(near, lambda w: F.slice(words, (w + 2).cast("int"), len(wanted)) == literals(wanted))
+
         out = F.lit(False)
-        for i, (_, _, phrases) in reversed(list(enumerate(TEMPLATES))):
-            out = F.when(t == i, reduce(and_, map(has, phrases))).otherwise(out)
+        for i, (_, whole, phrases) in reversed(list(enumerate(TEMPLATES))):
+            each = [has(p) & reduce(or_, [stands(p, at) for at in places_of(whole, p)]) for p in phrases]
+            out = F.when(t == i, reduce(and_, each)).otherwise(out)
         return out
 
-    def accepted(v: Column) -> Column:
+    def accepted(words: Column, v: Column) -> Column:
         """(template, votes) of each run of equal pairs that is long enough, for templates with all their key phrases."""
         starts = F.filter(
             F.transform(v, lambda x, i: F.struct(x["t"].alias("t"), x["d"].alias("d"), i.alias("i"))),
@@ -250,10 +270,10 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
         )
         runs = let(
             starts,
-            lambda s: F.transform(s, lambda x, k: F.struct(x["t"].alias("t"), (F.coalesce(F.get(s, k + 1)["i"], F.size(v)) - x["i"]).alias("n"))),
+            lambda s: F.transform(s, lambda x, k: F.struct(x["t"].alias("t"), x["d"].alias("d"), (F.coalesce(F.get(s, k + 1)["i"], F.size(v)) - x["i"]).alias("n"))),
         )
         # A run has one vote for each word of its own: a template's word stands at one relative position once.
-        return F.filter(runs, lambda x: (x["n"] >= min_votes) & verified(x["t"]))
+        return F.filter(runs, lambda x: (x["n"] >= min_votes) & verified(words, x["t"], x["d"]))
 
     none = F.array().cast("array<struct<w:bigint,m:string>>")
     base = F.concat(*[F.when(has(p), word_spans(j, [p])).otherwise(none) for p in PHRASES])  # none can overlap itself, but it could another
@@ -266,7 +286,7 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
 
         return let(
             F.array_intersect(words, literals(every)),
-            lambda present: F.when(F.size(present) >= min_votes, let(hits(present), lambda h: let(votes(h, present), accepted))),
+            lambda present: F.when(F.size(present) >= min_votes, let(hits(present), lambda h: let(votes(h, present), lambda v: accepted(words, v)))),
         )
 
     d = d.select("doc_id", (n_spaces(j) - 1).cast("long").alias("n_words"), base.alias("base"), let(F.split(j, " "), found).alias("found"))

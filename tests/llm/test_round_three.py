@@ -265,3 +265,35 @@ def test_sql(spark, name):
     df, want = queries()[name](spark, SMALL), con.sql(ORACLE[name])
     assert df.columns == want.columns
     assert sorted(tuple(r) for r in df.collect()) == sorted(want.fetchall())
+
+
+def test_license_phrases_stand_at_their_place(spark):
+    """Key phrases elsewhere in a file make no other licence of a notice that shares nearly all words."""
+    from mailgrain.llm.licenses import TEMPLATES, scan_licenses
+
+    notice = {label: text for label, text, _ in TEMPLATES if label in ("gpl-2", "gpl-3", "cc-by", "cc-by-sa", "apache-2")}
+    rows = [
+        (1, notice["gpl-2"] + "\nThis is version 3 of the tool."),
+        (2, "Version 2 of the tool.\n" + notice["gpl-3"]),
+        (3, "/* " + notice["gpl-2"].replace("; you can", "; as before, you can") + " */"),  # words put in
+        (4, notice["gpl-2"] + "\n\nPart two:\n" + notice["gpl-3"]),
+        (5, notice["cc-by"]),
+        (6, notice["cc-by-sa"] + " Creative Commons Attribution 4.0"),
+    ]
+    got = {r["doc_id"]: r["labels"] for r in scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: "gpl-2", 2: "gpl-3", 3: "gpl-2", 4: "gpl-2,gpl-3", 5: "cc-by", 6: "cc-by-sa"}
+
+
+def test_pipeline_keeps_clashing_columns(spark, tmp_path):
+    from corpus_pipeline import STAGES
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(60)
+    own = {"score": F.lit(42.0), "Lang_Pred": F.lit("mine"), "piece_ids": F.lit("mine"), "n_pieces": F.lit(-1)}
+    docs = docs.withColumns(own)
+    want = {r["doc_id"]: r for r in docs.collect()}
+    for name, stage in STAGES[:-1]:
+        out = stage(spark, docs, SMALL)
+        assert out.columns == docs.columns, name
+        for r in out.collect():
+            assert [r[c] for c in own] == [want[r["doc_id"]][c] for c in own], name
+    assert STAGES[-1][1](spark, docs, SMALL).columns == ["doc_id", "lang", "source", "piece_ids", "n_pieces"]
