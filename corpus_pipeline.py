@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailgrain.llm.common import Scratch, drop_since, scratch_mark, table
+from mailgrain.llm.common import Scratch, drop_since, scratch_mark, table, unused
 from mailgrain.llm.decontaminate import drop_contaminated
 from mailgrain.llm.language import identify, learn, training_labels
 from mailgrain.llm.near_dedup import deduplicate
@@ -20,8 +20,10 @@ LEAST_LANGUAGE_SCORE = 0.3
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a language: those without letters, or far from all that were learnt, go."""
     model = learn(docs.select("doc_id", "text"), training_labels(docs))
-    found = identify(docs, model)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    own = {c: unused(docs, f"{c}_own") for c in docs.columns if c.lower() in ("lang_pred", "score")}
+    found = identify(docs.withColumnsRenamed(own), model)
+    found = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    return found.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
