@@ -278,7 +278,7 @@ def test_license_phrases_stand_at_their_place(spark):
         (3, "/* " + notice["gpl-2"].replace("; you can", "; as before, you can") + " */"),  # words put in
         (4, notice["gpl-2"] + "\n\nPart two:\n" + notice["gpl-3"]),
         (5, notice["cc-by"]),
-        (6, notice["cc-by-sa"] + " Creative Commons Attribution 4.0"),
+        (6, notice["cc-by-sa"] + " Version 4.0 of the attribution."),
     ]
     got = {r["doc_id"]: r["labels"] for r in scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {1: "gpl-2", 2: "gpl-3", 3: "gpl-2", 4: "gpl-2,gpl-3", 5: "cc-by", 6: "cc-by-sa"}
