@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import items
 from ..lineage import checkpointed
+from .components import components, links
 
 DAY_NS = 86400 * 10**9
 
@@ -47,15 +48,41 @@ def with_fallback(m: DataFrame, tid: DataFrame, strict_compat: bool = False) ->
     """Roots with the same list, subject and author as an earlier root of the last 30 days join its thread; their replies
     follow unless ``strict_compat``."""
     rows = m.join(tid, "message_id").filter(F.col("message_id") == F.col("tid"))
-    w = W.partitionBy("list", "subject_normalized", "from_addr").orderBy("date_unix_ns").rangeBetween(-30 * DAY_NS, 0)
     keyed = rows.filter("subject_normalized IS NOT NULL AND date_unix_ns IS NOT NULL")
-    earliest = F.min(F.struct("date_unix_ns", "message_id")).over(w)  # of equal dates the smallest id
-    joined = keyed.select("tid", earliest["message_id"].alias("older")).groupBy("tid").agg(F.min("older").alias("older"))
+    key = F.to_json(F.struct("list", "subject_normalized", "from_addr"), {"ignoreNullFields": "false"})
+    keyed = keyed.select(key.alias("key"), F.col("date_unix_ns").alias("at"), "message_id")
+    joined = earliest_before(keyed, 30 * DAY_NS).groupBy(F.col("message_id").alias("tid")).agg(F.min("older").alias("older"))
     out = tid.join(joined, "tid", "left")
     moves = F.col("older").isNotNull() & (F.lit(not strict_compat) | (F.col("message_id") == F.col("tid")))
     return out.select("message_id", F.when(moves, F.col("older")).otherwise(F.col("tid")).alias("tid"))
 
 
+def earliest_before(rows: DataFrame, span: int, steps: int = 720) -> DataFrame:
+    """message_id, older: for rows of key, at, message_id, the earliest of the key in the ``span`` up to the row's time; of
+    equal times the smallest id.
+
+    Times are cut into buckets of one span, and these into steps. The earliest one is in the bucket before, at or after the
+    row's time less the span: in that step, by a window over the step alone, else in a later step, by the steps' minima; if
+    none is there, it is the first of the row's own bucket. So no window holds more than a key's rows of one step, or
+    ``steps`` minima, however many rows a key has."""
+    step = span // steps
+    whole = lambda x: F.floor(x / F.lit(step)).cast("long")
+    first = F.struct("at", "message_id")
+    data = rows.select("key", whole(F.expr("cast(at as decimal(20,0))")).alias("step"), "at", "message_id", F.lit(None).cast("string").alias("probe"))
+    probes = rows.select("key", whole(F.expr(f"cast(at - {span} as decimal(20,0))")).alias("step"), (F.col("at") - span).alias("at"), F.lit(None).cast("string").alias("message_id"), F.col("message_id").alias("probe"))
+    both = data.union(probes)
+    # At a probe's time and after it in its step; a probe stands before rows of its own time.
+    w = W.partitionBy("key", "step").orderBy("at", F.col("probe").isNull()).rowsBetween(0, W.unboundedFollowing)
+    inside = both.withColumn("inside", F.min(F.when(F.col("message_id").isNotNull(), first)).over(w)).filter("probe IS NOT NULL").select("key", "step", "probe", "inside")
+    minima = both.groupBy("key", "step").agg(F.min(F.when(F.col("message_id").isNotNull(), first)).alias("least"))
+    bucket = F.floor(F.col("step") / steps).cast("long").alias("bucket")
+    after = W.partitionBy("key", "bucket").orderBy("step").rowsBetween(1, W.unboundedFollowing)
+    minima = minima.select("*", bucket).withColumn("later", F.min("least").over(after))
+    heads = minima.groupBy("key", (F.col("bucket") - 1).alias("bucket")).agg(F.min("least").alias("head"))
+    found = inside.join(minima.select("key", "step", "bucket", "later"), ["key", "step"]).join(heads, ["key", "bucket"], "left")
+    return found.select(F.col("probe").alias("message_id"), F.coalesce("inside", "later", "head")["message_id"].alias("older"))
+
+
 def thread_of(m: DataFrame, tid: DataFrame, message_id: str, limit: int = 1000) -> DataFrame:
     """The newest ``limit`` members of a message's thread, oldest first, undated ones first of all."""
     own = tid.filter(F.col("message_id") == message_id).select("tid").limit(1)
@@ -81,19 +108,14 @@ def propagate(m: DataFrame, tid: DataFrame) -> DataFrame:
 
 def conversation(m: DataFrame, message_id: str, limit: int = 1000) -> DataFrame:
     """The newest ``limit`` messages that hang together with one through replies *and* references, in either direction,
-    oldest first: breadth first, a round for each step away, over ids alone."""
-    ids = F.array_distinct(F.concat(F.array("in_reply_to"), items("references")))
-    edge = m.select("message_id", F.explode(F.filter(ids, lambda x: F.coalesce(x != "", F.lit(False)))).alias("other"))
-    edge = checkpointed(edge.union(edge.select("other", "message_id")).distinct())
-    seen = m.sparkSession.createDataFrame([(message_id.strip().strip("<>"),)], "message_id string")
-    frontier = seen
-    while True:
-        new = edge.join(frontier, "message_id", "left_semi").select(F.col("other").alias("message_id")).distinct()
-        frontier = checkpointed(new.join(seen, "message_id", "left_anti"))
-        if frontier.isEmpty():
-            break
-        seen = checkpointed(seen.union(frontier))
-    newest = m.join(seen, "message_id", "left_semi").orderBy(F.desc_nulls_last("date_unix_ns"), "message_id", "list").limit(limit)
+    oldest first. The corpus' components are found in rounds that grow with the logarithm of the longest chain; ask
+    ``Maintained.conversation`` where they are stored."""
+    message_id = message_id.strip().strip("<>")
+    labels = checkpointed(components(links(m)))
+    own = labels.filter(F.col("node") == message_id).select("label").first()
+    ids = labels.filter(F.col("label") == own[0]).select(F.col("node").alias("message_id")) if own else None
+    found = m.join(ids, "message_id", "left_semi") if own else m.filter(F.col("message_id") == message_id)
+    newest = found.orderBy(F.desc_nulls_last("date_unix_ns"), "message_id", "list").limit(limit)
     return newest.orderBy(F.asc_nulls_first("date_unix_ns"), "message_id", "list")
 
 

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.bounds import window
-from ..lineage import checkpointed, scratch_dir
+from ..lineage import checkpointed, scratch_folder
 from ..operators import activity as A
 from ..operators import classify as C
 from ..operators import derive as D
@@ -118,7 +116,7 @@ def stored(spark, sf_dir) -> DataFrame:
     own = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in h.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in MESSAGES.fields]
     m = h.select(*own)
     k = F.regexp_extract("message_id", "[0-9]+", 0).cast("bigint")
-    at = f"{scratch_dir(spark)}/mailgrain-store-{uuid.uuid4().hex}"
+    at = scratch_folder(spark, "store")
     store.write_messages(m, f"{at}/a", 0)
     store.write_messages(m.filter(k % 3 == 0).withColumn("subject_raw", F.lit("third")), f"{at}/a", 1)
     store.compact(spark, f"{at}/a", f"{at}/b")
@@ -152,7 +150,7 @@ def store_reads(spark, sf_dir):
 @query(MESSAGES_SQL + """SELECT 'touched_file' AS name, count(*) AS rows FROM (SELECT unnest(touched_files) FROM msgs) UNION ALL SELECT 'path_vocabulary', count(*) FROM (SELECT DISTINCT unnest(touched_files) AS p FROM msgs)
   UNION ALL SELECT 'involvement', count(*) + (SELECT count(*) FROM msgs) FROM (SELECT unnest(reviewers) FROM msgs)""")
 def side_tables(spark, sf_dir):
-    at = f"{scratch_dir(spark)}/mailgrain-side-{uuid.uuid4().hex}"
+    at = scratch_folder(spark, "side")
     names = ("touched_file", "path_vocabulary", "involvement")
     store.write_side_tables(messages(spark, sf_dir), at, names)
     out = None
@@ -162,10 +160,15 @@ def side_tables(spark, sf_dir):
     return out
 
 
-@query("SELECT 'p' || p_partkey AS path, CAST(p_size AS VARCHAR) AS fingerprint FROM part WHERE p_partkey <= 50")
+@query("SELECT 'p' || p_partkey AS path, CAST(p_size AS VARCHAR) AS fingerprint, p_partkey * 7 AS modified FROM part")
 def manifest_parsed(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").filter("p_partkey <= 50").select("p_partkey", "p_size").collect()  # a manifest is a small file
-    return store.manifest_rows(spark, {f"p{r[0]}": {"fingerprint": str(r[1]), "modified": 1} for r in rows}).select("path", "fingerprint")
+    """A manifest of each brand, written as gzip JSON and read back."""
+    p = table(spark, sf_dir, "part")
+    entry = F.struct(F.col("p_size").cast("string").alias("fingerprint"), (F.col("p_partkey") * 7).alias("modified"), F.lit("x").alias("owner"))
+    one = p.groupBy("p_brand").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("p"), "p_partkey"), entry)))).alias("value"))  # a brand is a small manifest
+    at = scratch_folder(spark, "manifests")
+    one.select("value").write.text(at, compression="gzip")
+    return store.read_manifest(spark, at, lines=True)
 
 
 @query("SELECT 'o' || o_orderkey || '@x' AS message_id, substr('Order ' || o_orderstatus || ' of customer ' || o_custkey || '\nOrder ' || o_orderkey, 1, 30) AS text FROM orders WHERE o_orderkey % 5 <> 0")
@@ -308,9 +311,9 @@ def review_concerns(spark, sf_dir):
     return C.concerns(m, tid)
 
 
-@query("""SELECT conv_id, turn FROM (SELECT conv_id, turn, role, text, sum(length(text)) OVER w AS used, row_number() OVER w AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)) WHERE used <= 400 OR n = 1""")
+@query("""SELECT conv_id, turn, role, substr(text, 1, 400 - before) AS text FROM (SELECT conv_id, turn, role, text, coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations WHERE text IS NOT NULL) WHERE before < 400""")
 def bodies_within_budget(spark, sf_dir):
-    return C.within_budget(table(spark, sf_dir, "conversations"), "conv_id", ["turn", "role", "text"], "text", 400).select("conv_id", "turn")
+    return C.within_budget(table(spark, sf_dir, "conversations"), "conv_id", ["turn", "role", "text"], "text", 400).select("conv_id", "turn", "role", "text")
 
 
 @on_talk("""SELECT 'message' AS section, message_id FROM msgs WHERE k = 4 UNION ALL SELECT 'reply', message_id FROM msgs WHERE k = 5 UNION ALL
@@ -360,11 +363,11 @@ def indexed_substring(spark, sf_dir):
     return S.indexed_substring(d, S.trigram_table(d, "doc_id", "text"), "License", "doc_id", "text", max_candidates=10**9).select("doc_id")
 
 
-@query("SELECT doc_id FROM documents WHERE regexp_matches(text, 'MIT .icense|MIT L.cense|MIT Li.ense|MIT Lic.nse|MIT Lice.se|MIT Licen.e')")
+@query("""WITH w AS (SELECT doc_id, unnest(list_distinct([substr(text, i, n) FOR i IN range(1, length(text) + 1)])) AS part FROM documents, (VALUES (10), (11), (12)) l(n)
+  WHERE contains(text, 'MIT L') OR contains(text, 'icense')) SELECT doc_id, min(levenshtein(part, 'MIT License')) AS distance FROM w GROUP BY doc_id HAVING distance <= 1""")
 def fuzzy_license(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    near = S.fuzzy_substring(d, "MIT License", 1, "doc_id", "text").join(d, "doc_id")
-    return near.filter(F.col("text").rlike("MIT .icense|MIT L.cense|MIT Li.ense|MIT Lic.nse|MIT Lice.se|MIT Licen.e")).select("doc_id")
+    """One edit leaves the needle's first five or its last six characters as they are, so no other text is near."""
+    return S.fuzzy_substring(table(spark, sf_dir, "documents").select("doc_id", "text"), "MIT License", 1, "doc_id", "text").withColumn("distance", F.col("distance").cast("bigint"))
 
 
 @query("SELECT doc_id, CASE WHEN a = b THEN '' ELSE '--- a\n+++ b\n@@ -1 +1 @@\n-' || a || '\n+' || b END AS diff FROM (SELECT doc_id, source AS a, lang AS b FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL)")
@@ -373,10 +376,9 @@ def text_diffs(spark, sf_dir):
     return S.unified_diff(d).select("doc_id", "diff")
 
 
-@query("SELECT doc_id, substr(text, greatest(p - 20, 1), 60) AS excerpt FROM (SELECT doc_id, text, instr(lower(text), 'license') AS p FROM documents) WHERE p > 0 AND length(lower(text)) = length(text)")
+@query("SELECT doc_id, substr(text, greatest(p - 19, 1), 46) AS excerpt FROM (SELECT doc_id, text, instr(lower(text), 'license') AS p FROM documents) WHERE p > 0")
 def kwic_excerpts(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "text").filter(F.length(F.lower("text")) == F.length("text"))
-    return S.kwic(d, "license", "doc_id", "text", window=46).join(d, "doc_id").select("doc_id", F.substring(F.col("text"), F.greatest(F.locate("license", F.lower("text")) - 20, F.lit(1)), F.lit(60)).alias("excerpt"), F.col("excerpt").alias("own")).filter(F.contains("excerpt", F.lit("icense"))).select("doc_id", "excerpt")
+    return S.kwic(table(spark, sf_dir, "documents").select("doc_id", "text"), "license", "doc_id", "text", window=46).select("doc_id", "excerpt")
 
 
 @on_talk("SELECT 'part/' || p_partkey AS path, 'NET' AS name, 1 AS depth FROM part WHERE p_partkey % 10 <> 3 UNION ALL SELECT 'part/' || p_partkey, 'ODD', 0 FROM part WHERE CAST(p_partkey AS VARCHAR) LIKE '%7'")
@@ -384,10 +386,3 @@ def owners_by_folder(spark, sf_dir):
     sections = MT.parse("NET\nM:\tA <a@x.org>\nF:\tpart/\nX:\tpart/*3\n\nODD\nN:\t^part/.*7$\n")
     paths = table(spark, sf_dir, "part").select(F.concat(F.lit("part/"), F.col("p_partkey")).alias("path"))
     return MT.owners(paths, MT.rules(spark, sections))
-
-
-@query("SELECT count(*) AS rows, sum(length(comment)) AS chars FROM (SELECT text AS comment FROM conversations)")
-def visited_batches(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select(F.length("text").alias("n"))
-    rows = store.visit(c, lambda batch: None)
-    return c.agg(F.lit(rows).cast("bigint").alias("rows"), F.sum("n").alias("chars"))

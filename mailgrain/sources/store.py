@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections import deque
+from concurrent.futures import ThreadPoolExecutor
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..lineage import checkpointed
 from ..operators.derive import freshest, involvement, path_vocabulary, touched, trailer_refs
 from ..operators.predicates import top
 from ..operators.search import trigram_table
@@ -33,15 +37,16 @@ def write_messages(m: DataFrame, path: str, run: int | None, mode: str = "append
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
-    """The row of the greatest run of each (message_id, list), with its run. The latest runs are found on the three key
-    columns alone and joined back, so filters on other columns reach the scan and bodies go through no window. A run that was
-    written twice counts once."""
+    """The row of the greatest run of each (message_id, list), with its run. Whether a key has another row of its run or a
+    later one is found on the key columns and the row's place (file and row number) alone, and only what has is anti-joined:
+    filters on other columns reach the scan, and bodies go through no shuffle unless the superseded rows are very many. A
+    run that was written twice counts once."""
     m = spark.read.schema(T.StructType([*MESSAGES.fields, T.StructField(SEQUENCE, T.LongType())])).parquet(path)
-    latest = m.groupBy("message_id", "list").agg(F.max(SEQUENCE).alias(SEQUENCE), F.count("*").alias("rows"))
-    found = m.join(latest, ["message_id", "list", SEQUENCE])
-    once = found.filter("rows = 1").drop("rows")
-    again = found.filter("rows > 1").drop("rows").dropDuplicates(["message_id", "list"])
-    return once.unionByName(again).select(*[f.name for f in MESSAGES.fields], SEQUENCE)
+    at = F.struct(F.col(SEQUENCE), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    m = m.withColumn("_at", at)
+    older = m.groupBy("message_id", "list").agg(F.max("_at").alias("_last"), F.count("*").alias("_n")).filter("_n > 1")
+    found = m.join(older.drop("_n"), ["message_id", "list"], "left").filter("_last IS NULL OR _at = _last")
+    return found.select(*[f.name for f in MESSAGES.fields], SEQUENCE)
 
 
 def compact(spark: SparkSession, path: str, to: str) -> None:
@@ -60,6 +65,32 @@ def visit(m: DataFrame, visitor, columns: list[str] | None = None) -> int:
     return (m.select(*columns) if columns else m).mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0] or 0
 
 
+def batches(m: DataFrame, columns: list[str] | None = None, rows: int = 10_000, ahead: int = 1):
+    """Arrow batches of at most ``rows`` rows to the caller, partition by partition in the table's order. ``ahead``
+    partitions are fetched before they are asked for, so that many are in memory; a caller that stops early ends the rest."""
+    t = m.select(*columns) if columns else m
+    names, numbered = t.columns, t.withColumn("_part", F.spark_partition_id())
+    kept = checkpointed(numbered)  # each pull reads what is written, and computes nothing anew
+    parts = [r[0] for r in kept.select("_part").distinct().orderBy("_part").collect()]  # partitions, not rows
+
+    def fetch(part: int) -> pa.Table:
+        return kept.filter(F.col("_part") == part).select(*names).toArrow()
+
+    with ThreadPoolExecutor(max_workers=max(ahead, 1)) as pool:
+        waiting = deque()
+        at = iter(parts)
+        try:
+            for part in at:
+                waiting.append(pool.submit(fetch, part))
+                if len(waiting) > ahead:
+                    yield from waiting.popleft().result().to_batches(max_chunksize=rows)
+            while waiting:
+                yield from waiting.popleft().result().to_batches(max_chunksize=rows)
+        finally:
+            for f in waiting:
+                f.cancel()
+
+
 def fetch_body(m: DataFrame, message_id: str) -> DataFrame:
     """message_id, body, body_sha256 of the freshest copy, as it was parsed."""
     return fetch_message(m, message_id).select("message_id", "body", "body_sha256")
@@ -118,6 +149,15 @@ def manifest_rows(spark: SparkSession, manifest: dict) -> DataFrame:
     return spark.createDataFrame(rows, "path string, fingerprint string, modified bigint")
 
 
+def read_manifest(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """path, fingerprint, modified of all shards in manifest files: JSON objects by path, gzip or not, a file each (or a line
+    each). Keys that the engine doesn't know are left alone."""
+    files = spark.read.text(path, wholetext=not lines).select(F.parse_json("value").alias("v"))
+    each = files.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
+    get = lambda name, kind: F.try_variant_get("value", f"$.{name}", kind).alias(name)
+    return each.select(F.col("key").alias("path"), get("fingerprint", "string"), get("modified", "bigint"))
+
+
 def manifest_diff(now: DataFrame, before: DataFrame, include: str | None = None, exclude: str | None = None) -> DataFrame:
     """Shards that are new or whose fingerprint changed; ``include`` and ``exclude`` are patterns on the path."""
     if include:

@@ -366,6 +366,7 @@ def test_views_and_rules(spark, m):
     assert C.summarize(texts, 1).first()["summary"].startswith("> not: foo_bar()") is False
     budget = spark.createDataFrame([("g", 1, "x" * 10), ("g", 2, "y" * 10), ("g", 3, "z" * 10), ("h", 1, "q" * 99)], "g string, n int, t string")
     assert sorted((r["g"], r["n"]) for r in C.within_budget(budget, "g", ["n"], "t", 20).collect()) == [("g", 1), ("g", 2), ("h", 1)]
+    assert sorted(r["t"] for r in C.within_budget(budget, "g", ["n"], "t", 20).collect()) == ["q" * 20, "x" * 10, "y" * 8]
     assert [r["section"] for r in ST.explain_patch(m, "m1@x").collect()] == ["message", "series", "reply"]
     assert A.coverage_markdown(A.corpus_stats(m), 3, "now").endswith("| cifs | 4 |")
 
