@@ -36,7 +36,7 @@ from .pieces import ragged
 from .shingles import pieces as slices
 
 #: Characters of text, and tokens, that a worker handles at once.
-CHARACTERS, TOKENS = 1 << 20, 1 << 18
+CHARACTERS, TOKENS = 1 << 19, 1 << 17
 #: Pairs of ids that a task may hold with their counts: 17 bytes each.
 MAX_TABLE_PAIRS = 2_000_000
 SALTS = 32
