@@ -3,11 +3,13 @@
 Three patterns give base spans. For the method, every token of ``min_length`` or more key characters, letters alone included,
 is put down as hex, base32, lower-case alphanumeric or base64, and three tests measure how far it is from uniformly drawn
 characters of that alphabet: chi-squared of the character counts, runs above and below the alphabet's middle, and lag-one
-serial correlation. A token whose three tests together reject uniformity at 0.001 is none. Of the others, each has the chance
-that ordinary language of its length, whose characters repeat as often as ``REPEATS`` says, gives a chi-squared as small:
-the lower tail of the noncentral chi-squared distribution, by its normal approximation and a bound of the normal tail. So
-p-values depend on a token's own length and alphabet, not on what else the corpus holds. Benjamini-Hochberg over all tokens of
-a length class, uniform or not, picks the cut.
+serial correlation. A token whose three tests together reject uniformity at 0.001 is none. Of the others, each has the
+chance that a name, number or word of its encoding and length looks as random, from two tests. Its characters repeat as
+often as ``REPEATS`` says, and give a chi-squared as small: the lower tail of the noncentral chi-squared distribution, by its
+normal approximation and a bound of the normal tail. And digits, capitals and small letters follow one another in runs that
+end with chance ``SWITCHES``: the upper tail of the number of runs, by Chernoff's bound. Fisher's method combines both. So
+p-values depend on a token's own length and alphabet, not on what else the corpus holds. Benjamini-Hochberg over all tokens
+of an encoding and length class, uniform or not, picks the cut.
 
 Defined results: null or empty text has no spans; repeated rows are scanned one by one; an empty table gives an empty
 result; only the id and text columns are read. Spans of the method that overlap a base span are left out.
@@ -16,6 +18,8 @@ result; only the id and text columns are read. Spans of the method that overlap
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -39,18 +43,25 @@ ALPHABETS = {
 LENGTHS = (24, 32, 48)
 #: Bins of -log10 of the p-values.
 BIN, BINS = 0.25, 80
-# Fixed value: the chance that two characters of ordinary text agree, in the languages of Europe about 0.065 to 0.08.
-REPEATS = 0.065
+# The chance that two characters agree: of ordinary text in the languages of Europe about 0.065 to 0.08, of
+# numbers, which hexadecimal tokens are if not keys, 0.1.
+REPEATS = {"hex": 0.1, "base32": 0.065, "alnum": 0.065, "base64": 0.065}
+# Where the kind of character changes (digits, capitals, small letters, signs), by place in the alphabet, and
+# the chance that it does from one character to the next: once or twice in a word with a number, often in names of several
+# words, which base64 tokens may be.
+KIND_STARTS = {"hex": (10,), "base32": (26,), "alnum": (10,), "base64": (26, 52, 62)}
+SWITCHES = {"hex": 0.05, "base32": 0.05, "alnum": 0.05, "base64": 0.35}
 # Fixed value: 0.999 quantile of chi-squared with three degrees of freedom; three tests of a uniform token sum to less.
 UNIFORM = 16.27
 
 
 def randomness(token: Column) -> Column:
-    """stat: sum of squares of the three test scores, about 3 for random tokens, larger for language. bin: of -log10 of the
-    chance that language gives a chi-squared as small."""
+    """code: the encoding's number. stat: sum of squares of the three test scores, about 3 for random tokens, larger for
+    language. bin: of -log10 of the chance that what is no key looks as random."""
     bare = F.translate(F.rtrim(token, F.lit("=")), "-_", "+/")
 
-    def for_alphabet(text: Column, alphabet: str) -> Column:
+    def for_alphabet(text: Column, name: str) -> Column:
+        alphabet, repeats, often = ALPHABETS[name], REPEATS[name], SWITCHES[name]
         k = len(alphabet)
 
         def score(x: Column) -> Column:
@@ -66,9 +77,16 @@ def randomness(token: Column) -> Column:
             )
             raw = runs_of * k / n - n
             chi = (raw - (k - 1)) / (2.0 * (k - 1)) ** 0.5
-            beyond = n * (k * REPEATS - 1)
+            beyond = n * (k * repeats - 1)
             z = (raw - (k - 1) - beyond) / F.sqrt(2.0 * (k - 1) + 4 * beyond)
             log_p = F.when(z < 0, (z * z / 2 + math.log(2)) / math.log(10)).otherwise(F.lit(0.0))
+            kind = F.transform(x, lambda c: reduce(add, [(c >= start).cast("int") for start in KIND_STARTS[name]]))
+            changes = let(kind, lambda c: F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda a, b: (a != b).cast("double")))
+            share = F.aggregate(changes, F.lit(0.0), lambda a, c: a + c) / (n - 1)
+            stays = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - often))).otherwise(F.lit(0.0))
+            log_runs = F.when(share > often, (n - 1) * (share * F.log(share / often) + stays) / math.log(10)).otherwise(F.lit(0.0))
+            both = log_p + log_runs
+            log_p = both - F.log10(1 + both * math.log(10))  # Fisher's method for two tests
             high = F.aggregate(x, F.lit(0.0), lambda a, c: a + (c >= k // 2).cast("double"))
             steps = F.zip_with(
                 F.slice(x, F.lit(1), F.size(x) - 1),
@@ -96,29 +114,31 @@ def randomness(token: Column) -> Column:
                 + F.pow(run_score, F.lit(2))
                 + F.coalesce(serial * serial, F.lit(1.0)) * n
             )
-            return F.struct(stat.alias("stat"), F.least(F.lit(BINS), F.floor(log_p / BIN)).cast("int").alias("bin"))
+            return F.struct(F.lit(code).alias("code"), stat.alias("stat"), F.least(F.lit(BINS), F.floor(log_p / BIN)).cast("int").alias("bin"))
 
-        none = F.struct(F.lit(99.0).alias("stat"), F.lit(0).alias("bin"))
+        code = list(ALPHABETS).index(name)
+        none = F.struct(F.lit(code).alias("code"), F.lit(99.0).alias("stat"), F.lit(0).alias("bin"))
         places = F.transform(F.split(text, ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
         return let(F.filter(places, lambda p: p >= 0), lambda x: F.when(F.size(x) > 1, score(x)).otherwise(none))
 
     return (
-        F.when(bare.rlike("^[0-9a-fA-F]*$"), for_alphabet(F.lower(bare), ALPHABETS["hex"]))
-        .when(bare.rlike("^[A-Z2-7]*$"), for_alphabet(bare, ALPHABETS["base32"]))
-        .when(bare.rlike("^[0-9a-z]*$"), for_alphabet(bare, ALPHABETS["alnum"]))
-        .otherwise(for_alphabet(bare, ALPHABETS["base64"]))
+        F.when(bare.rlike("^[0-9a-fA-F]*$"), for_alphabet(F.lower(bare), "hex"))
+        .when(bare.rlike("^[A-Z2-7]*$"), for_alphabet(bare, "base32"))
+        .when(bare.rlike("^[0-9a-z]*$"), for_alphabet(bare, "alnum"))
+        .otherwise(for_alphabet(bare, "base64"))
     )
 
 
-def length_class(n: Column) -> Column:
-    out = F.lit(0)
+def token_class(code: Column, n: Column) -> Column:
+    """A number for each encoding and length class."""
+    out = code * (len(LENGTHS) + 1)
     for least in LENGTHS:
         out = out + (n >= least).cast("int")
     return out
 
 
 def measure(docs: DataFrame, doc_id: str, text: str, min_length: int) -> DataFrame:
-    """doc_id, base spans by kind, and tokens with length class, bin and whether uniformity holds."""
+    """doc_id, base spans by kind, and tokens with their class, bin and whether uniformity holds."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     none = no_spans()
     assign = F.when(F.col("t").contains("=") | F.col("t").contains(":"), spans(F.col("t"), ASSIGN)).otherwise(none)
@@ -133,7 +153,7 @@ def measure(docs: DataFrame, doc_id: str, text: str, min_length: int) -> DataFra
         lambda x: let(
             randomness(x["m"]),
             lambda r: F.struct(
-                x["s"].alias("s"), x["e"].alias("e"), length_class(x["e"] - x["s"]).alias("c"), r["bin"].alias("b"), (r["stat"] <= UNIFORM).alias("uniform")
+                x["s"].alias("s"), x["e"].alias("e"), token_class(r["code"], x["e"] - x["s"]).alias("c"), r["bin"].alias("b"), (r["stat"] <= UNIFORM).alias("uniform")
             ),
         ),
     )
@@ -141,7 +161,7 @@ def measure(docs: DataFrame, doc_id: str, text: str, min_length: int) -> DataFra
 
 
 def cuts(measured: DataFrame, rate: float) -> DataFrame:
-    """c, cut: the least bin of each length class whose Benjamini-Hochberg bound holds, by the largest p-value of each bin.
+    """c, cut: the least bin of each class whose Benjamini-Hochberg bound holds, by the largest p-value of each bin.
     Works on a histogram of at most classes x bins rows, gathered from all documents."""
     seen = measured.select(F.explode("tokens").alias("x")).groupBy(F.col("x.c").alias("c"), F.col("x.b").alias("b")).agg(F.count("*").alias("n"))
     upto, whole = W.partitionBy("c").orderBy(F.desc("b")), W.partitionBy("c")

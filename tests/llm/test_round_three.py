@@ -297,3 +297,79 @@ def test_pipeline_keeps_clashing_columns(spark, tmp_path):
         for r in out.collect():
             assert [r[c] for c in own] == [want[r["doc_id"]][c] for c in own], name
     assert STAGES[-1][1](spark, docs, SMALL).columns == ["doc_id", "lang", "source", "piece_ids", "n_pieces"]
+
+
+# -- op4 ---------------------------------------------------------------------------------------------------------------
+
+HEX, CAPITALS, SMALL, DIGITS = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+KEYS = [(HEX, 24), (HEX, 31), (HEX.upper(), 40), (HEX.upper(), 64), (CAPITALS + "234567", 32), (SMALL + DIGITS, 32), (SMALL + DIGITS, 40), (CAPITALS + SMALL + DIGITS + "+/", 24), (CAPITALS + SMALL + DIGITS + "+/", 40)]
+
+
+def plain_battery(token):
+    """(encoding's number, sum of squares, -log10 p) of a token, by the definitions."""
+    from mailgrain.llm import secrets as S
+
+    bare = token.rstrip("=").replace("-", "+").replace("_", "/")
+    if all(c in HEX + HEX.upper() for c in bare):
+        bare, name = bare.lower(), "hex"
+    else:
+        name = "base32" if all(c in CAPITALS + "234567" for c in bare) else "alnum" if all(c in DIGITS + SMALL for c in bare) else "base64"
+    alphabet, n, k = S.ALPHABETS[name], len(bare), len(S.ALPHABETS[name])
+    x = [alphabet.index(c) for c in bare]
+    raw = sum(v * v for v in Counter(x).values()) * k / n - n
+    beyond = n * (k * S.REPEATS[name] - 1)
+    z = (raw - (k - 1) - beyond) / math.sqrt(2 * (k - 1) + 4 * beyond)
+    log_p = (z * z / 2 + math.log(2)) / math.log(10) if z < 0 else 0.0
+    kind = [sum(c >= s for s in S.KIND_STARTS[name]) for c in x]
+    q, s = sum(a != b for a, b in zip(kind, kind[1:])) / (n - 1), S.SWITCHES[name]
+    if q > s:
+        log_p += (n - 1) * (q * math.log(q / s) + ((1 - q) * math.log((1 - q) / (1 - s)) if q < 1 else 0)) / math.log(10)
+    log_p -= math.log10(1 + log_p * math.log(10))
+    up = [c >= k // 2 for c in x]
+    high, runs = sum(up), 1 + sum(a != b for a, b in zip(up, up[1:]))
+    mu = 2 * high * (n - high) / n + 1
+    var = (mu - 1) * (mu - 2) / (n - 1)
+    mean = sum(x) / n
+    square = sum((c - mean) ** 2 for c in x)
+    serial = sum((a - mean) * (b - mean) for a, b in zip(x, x[1:])) / square if square else None
+    chi = max((raw - (k - 1)) / math.sqrt(2 * (k - 1)), 0)
+    stat = chi**2 + (((runs - mu) / math.sqrt(var)) if var > 0 else 9.0) ** 2 + (serial**2 if serial is not None else 1.0) * n
+    return list(S.ALPHABETS).index(name), stat, log_p
+
+
+def some_tokens(rng):
+    words = ["the", "ra", "tion", "ing", "er", "on", "an", "re", "st", "en", "version", "Node", "Http", "get", "count"]
+    plain = ["".join(rng.choices(words[:11], k=rng.randrange(8, 14))) for _ in range(2000)]
+    plain += ["".join(w.title() for w in rng.choices(words, k=7)) for _ in range(400)] + ["_".join(rng.choices(words, k=6)) for _ in range(400)]
+    plain += ["".join(rng.choices(DIGITS, k=rng.randrange(20, 32))) for _ in range(200)] + [f"release{i:04d}candidate{i % 7}build" for i in range(200)]
+    plain += ["".join(rng.choices(["THE", "RA", "TION", "ING", "ER"], k=9)) for _ in range(200)] + ["0" * 24 + f"{i:04x}" for i in range(100)] + ["deadbeef" * 4] * 20
+    return [p for p in plain if len(p) >= 20]
+
+
+@pytest.mark.parametrize("alphabet,length", KEYS)
+def test_secret_recall_by_encoding(spark, alphabet, length):
+    import random
+
+    from mailgrain.llm.secrets import scan_secrets
+
+    rng = random.Random(length)
+    plain = some_tokens(rng)
+    keys = ["".join(rng.choices(alphabet, k=length)) for _ in range(60)]
+    rows = [(i, f"see {t} there") for i, t in enumerate(keys + plain)]
+    found = [r["doc_id"] for r in scan_secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).collect() if any(x["kind"] != "assign" for x in r["spans"])]
+    hits, false = sum(i < 60 for i in found), sum(i >= 60 and "deadbeef" not in rows[i][1] and "0000" not in rows[i][1] for i in found)
+    assert hits >= 54 and false <= max(0.05 * len(found), 3), (hits, false)
+
+
+def test_battery_against_plain_python(spark):
+    import random
+
+    from mailgrain.llm import secrets as S
+
+    rng = random.Random(1)
+    tokens = some_tokens(rng)[::20] + ["".join(rng.choices(a, k=n)) for a, n in KEYS for _ in range(5)] + ["a" * 30, "Ab" * 12, "ab==", "a-b_c/+Z9" * 3]
+    got = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", S.randomness(F.col("t")).alias("r")).collect()
+    for r in got:
+        code, stat, log_p = plain_battery(r["t"])
+        assert r["r"]["code"] == code and abs(r["r"]["stat"] - stat) < 1e-6 * max(stat, 1), r["t"]
+        assert r["r"]["bin"] in {min(S.BINS, math.floor((log_p + e) / S.BIN)) for e in (-1e-9, 1e-9)}, r["t"]
