@@ -14,6 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.bounds import checked_needle, window
+from ..lineage import checkpointed
+from .derive import freshest
 from .predicates import contains_ci, eq, expand_citation, keyset_page, newest, windowed
 from .search import bm25, substring
 
@@ -63,9 +65,10 @@ def search(m: DataFrame, text: str, now_ns: int, limit: int = 25, after: tuple |
     rows = windowed(m, since, until, q.get("list"))
     if "f" in q:
         rows = rows.filter(contains_ci(F.col("from_addr"), q["f"]))
+    hits = _hits(m, rows, q, since, until)
     while True:
-        tiers = _tiers(m, rows, q, since, until, depth)
-        cut = [t.count() >= depth for t in tiers]
+        tiers = [ranked(h, name, order, limit=depth) for name, h, order in hits]
+        cut = [h.count() >= depth for _, h, _ in hits]
         page = keyset_page(fuse(tiers), limit, after, "score", "message_id")
         if not any(cut):
             return page
@@ -75,26 +78,36 @@ def search(m: DataFrame, text: str, now_ns: int, limit: int = 25, after: tuple |
         depth *= 2
 
 
-def _tiers(m: DataFrame, rows: DataFrame, q: dict, since: int | None, until: int | None, depth: int) -> list[DataFrame]:
-    tiers = []
+def search_page(m: DataFrame, text: str, now_ns: int, limit: int = 25, after: tuple | None = None, depth: int = 1000) -> DataFrame:
+    """A page of :func:`search` with what a reader sees of each hit: list, subject, author and date of its freshest copy, best
+    first. The page is broadcast: it has ``limit`` rows at most."""
+    page = checkpointed(search(m, text, now_ns, limit, after, depth))
+    shown = m.select("message_id", "list", "subject_raw", "from_addr", "date_unix_ns").join(F.broadcast(page), "message_id")
+    return freshest(shown).orderBy(F.desc("score"), "message_id")
+
+
+def _hits(m: DataFrame, rows: DataFrame, q: dict, since: int | None, until: int | None) -> list[tuple[str, DataFrame, list]]:
+    """name, hits and order of each tier. Keys and what orders them are written once, and read for each depth."""
+    found = []
     if "mid" in q:
-        tiers.append(ranked(eq(rows, "message_id", q["mid"], limit=None), "metadata", newest(), limit=depth))
+        found.append(("metadata", eq(rows, "message_id", q["mid"], limit=None)))
     elif "fixes" in q:
-        tiers.append(ranked(expand_citation(rows, q["fixes"], None), "metadata", newest(), limit=depth))
+        found.append(("metadata", expand_citation(rows, q["fixes"], None)))
     elif "dfn" in q or "dfhh" in q:
         hit = eq(rows, "touched_files", q["dfn"], limit=None) if "dfn" in q else rows
-        tiers.append(ranked(eq(hit, "touched_functions", q["dfhh"], limit=None) if "dfhh" in q else hit, "metadata", newest(), limit=depth))
+        found.append(("metadata", eq(hit, "touched_functions", q["dfhh"], limit=None) if "dfhh" in q else hit))
     elif "f" in q or "list" in q or since is not None or until is not None:
-        tiers.append(ranked(rows, "metadata", newest(), limit=depth))
+        found.append(("metadata", rows))
     if "dfb" in q:
-        tiers.append(ranked(substring(rows, checked_needle(q["dfb"]), "patch"), "patch", newest(), limit=depth))
+        found.append(("patch", substring(rows, checked_needle(q["dfb"]), "patch")))
+    out = [(name, checkpointed(h.select("message_id", "list", "date_unix_ns")), newest()) for name, h in found]
     if q["words"]:
         scored = bm25(m, " ".join(q["words"]), fields=("prose", "subject_normalized"))
         allowed = scored.join(rows.select("message_id").distinct(), "message_id", "left_semi")
-        tiers.append(ranked(allowed, "prose", [F.desc("score"), F.asc("message_id")], limit=depth))
-    if not tiers:
+        out.append(("prose", checkpointed(allowed.select("message_id", "score")), [F.desc("score"), F.asc("message_id")]))
+    if not out:
         raise ValueError("empty query")
-    return tiers
+    return out
 
 
 def sign_cursor(secret: bytes, query: str, score, message_id: str) -> str:

@@ -57,7 +57,7 @@ def thread_states(m: DataFrame, tid: DataFrame, commits: DataFrame, now_ns: int,
     )
     seeds = rows.filter("message_id = tid").drop("tid", "author")  # a merged patch of a series doesn't mark the others
     merged = commits_for(seeds, commits, 90).select(F.col("message_id").alias("tid")).distinct().withColumn("merged", F.lit(1))
-    newer = newer_version(m).join(tid, "message_id").select("tid").distinct().withColumn("newer", F.lit(1))
+    newer = newer_version(m).select(F.col("message_id").alias("tid")).distinct().withColumn("newer", F.lit(1))  # of the thread's first one
     d = root.join(thread, "tid").join(merged, "tid", "left").join(newer, "tid", "left")
     rfc = F.exists(items("subject_tags"), lambda t: F.lower(t).rlike(r"(?:^|\s)rfc(?:\s|$)"))
     state = (

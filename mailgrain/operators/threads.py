@@ -13,6 +13,8 @@ from ..lineage import checkpointed
 from .components import components, links
 
 DAY_NS = 86400 * 10**9
+#: Series of more than one version that a join may broadcast.
+MAX_BROADCAST = 200_000
 
 
 def parents(m: DataFrame) -> DataFrame:
@@ -106,7 +108,14 @@ def propagate(m: DataFrame, tid: DataFrame) -> DataFrame:
     return covers.select("message_id", "tid", "propagated_files", "propagated_functions")
 
 
-def conversation(m: DataFrame, message_id: str, limit: int = 1000) -> DataFrame:
+def newest_first(found: DataFrame, limit: int | None) -> DataFrame:
+    """The newest ``limit`` messages, or all, oldest first, undated ones first of all."""
+    if limit is not None:
+        found = found.orderBy(F.desc_nulls_last("date_unix_ns"), "message_id", "list").limit(limit)
+    return found.orderBy(F.asc_nulls_first("date_unix_ns"), "message_id", "list")
+
+
+def conversation(m: DataFrame, message_id: str, limit: int | None = 1000) -> DataFrame:
     """The newest ``limit`` messages that hang together with one through replies *and* references, in either direction,
     oldest first. The corpus' components are found in rounds that grow with the logarithm of the longest chain; ask
     ``Maintained.conversation`` where they are stored."""
@@ -115,8 +124,7 @@ def conversation(m: DataFrame, message_id: str, limit: int = 1000) -> DataFrame:
     own = labels.filter(F.col("node") == message_id).select("label").first()
     ids = labels.filter(F.col("label") == own[0]).select(F.col("node").alias("message_id")) if own else None
     found = m.join(ids, "message_id", "left_semi") if own else m.filter(F.col("message_id") == message_id)
-    newest = found.orderBy(F.desc_nulls_last("date_unix_ns"), "message_id", "list").limit(limit)
-    return newest.orderBy(F.asc_nulls_first("date_unix_ns"), "message_id", "list")
+    return newest_first(found, limit)
 
 
 def series(m: DataFrame, message_id: str) -> DataFrame:
@@ -131,6 +139,9 @@ def newer_version(m: DataFrame) -> DataFrame:
     key = ["list", "subject_normalized", "from_addr"]
     first = F.struct(F.col("series_version"), (-F.coalesce("date_unix_ns", F.lit(0))).alias("d"), F.col("message_id"))
     best = m.groupBy(*key).agg(F.max(first).alias("b"), F.min("series_version").alias("least")).filter("b.series_version > least")
+    best = checkpointed(best)
+    if best.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:  # else both sides are shuffled
+        best = F.broadcast(best)
     on = [m[k].eqNullSafe(best[k]) for k in key]
     newer = m.join(best, on).filter(F.col("b.series_version") > m["series_version"])
     return newer.select(m["message_id"], F.col("b.message_id").alias("superseded_by"))

@@ -268,7 +268,7 @@ SERIES_SQL = ", best AS (SELECT list, subject_normalized, from_addr, max(series_
 
 @on_talk(SERIES_SQL + f""", x AS (SELECT tid.tid, m.*, t.prose AS says, EXISTS (SELECT 1 FROM msgs c WHERE c.k % 8 = 0 AND c.subject_normalized = m.subject_normalized AND c.from_addr = m.from_addr AND abs(c.date_unix_ns - m.date_unix_ns) <= 7776000000000000) AS merged,
     m.series_version < best.top AS newer FROM tid JOIN msgs m ON m.message_id = tid.message_id JOIN talk t ON t.message_id = m.message_id JOIN best ON best.list = m.list AND best.subject_normalized = m.subject_normalized AND best.from_addr = m.from_addr),
-  a AS (SELECT tid, bool_or(merged) AS merged, bool_or(newer) AS newer, max(date_unix_ns) AS last, count(*) AS messages, max(from_addr) FILTER (message_id = tid) AS author FROM x GROUP BY tid),
+  a AS (SELECT tid, bool_or(merged) FILTER (message_id = tid) AS merged, bool_or(newer) FILTER (message_id = tid) AS newer, max(date_unix_ns) AS last, count(*) AS messages, max(from_addr) FILTER (message_id = tid) AS author FROM x GROUP BY tid),
   n AS (SELECT x.tid, bool_or(x.message_id <> x.tid AND x.from_addr <> a.author AND contains(says, 'NAK:')) AS nacked FROM x JOIN a USING (tid) GROUP BY 1)
   SELECT a.tid, CASE WHEN merged THEN 'merged' WHEN CAST(regexp_extract(a.tid, '[0-9]+') AS BIGINT) % 6 = 1 THEN 'rfc' WHEN newer THEN 'superseded' WHEN nacked THEN 'nacked' WHEN last >= {NOW} - 180 * 86400000000000 THEN 'under_review' ELSE 'abandoned' END AS state, messages FROM a JOIN n USING (tid)""")
 def thread_states(spark, sf_dir):
@@ -311,7 +311,7 @@ def review_concerns(spark, sf_dir):
     return C.concerns(m, tid)
 
 
-@query("""SELECT conv_id, turn, role, substr(text, 1, 400 - before) AS text FROM (SELECT conv_id, turn, role, text, coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations WHERE text IS NOT NULL) WHERE before < 400""")
+@query("""SELECT conv_id, turn, role, substr(text, 1, 400 - before::BIGINT) AS text FROM (SELECT conv_id, turn, role, text, coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations WHERE text IS NOT NULL) WHERE before < 400""")
 def bodies_within_budget(spark, sf_dir):
     return C.within_budget(table(spark, sf_dir, "conversations"), "conv_id", ["turn", "role", "text"], "text", 400).select("conv_id", "turn", "role", "text")
 
