@@ -342,23 +342,30 @@ def some_tokens(rng):
     plain = ["".join(rng.choices(words[:11], k=rng.randrange(8, 14))) for _ in range(2000)]
     plain += ["".join(w.title() for w in rng.choices(words, k=7)) for _ in range(400)] + ["_".join(rng.choices(words, k=6)) for _ in range(400)]
     plain += ["".join(rng.choices(DIGITS, k=rng.randrange(20, 32))) for _ in range(200)] + [f"release{i:04d}candidate{i % 7}build" for i in range(200)]
-    plain += ["".join(rng.choices(["THE", "RA", "TION", "ING", "ER"], k=9)) for _ in range(200)] + ["0" * 24 + f"{i:04x}" for i in range(100)] + ["deadbeef" * 4] * 20
+    plain += ["".join(rng.choices(["THE", "RA", "TION", "ING", "ER"], k=9)) for _ in range(200)] + ["0" * 24 + f"{i:04x}" for i in range(100)] + ["deadbeef" * 3] * 20
     return [p for p in plain if len(p) >= 20]
 
 
-@pytest.mark.parametrize("alphabet,length", KEYS)
-def test_secret_recall_by_encoding(spark, alphabet, length):
+@pytest.fixture(scope="module")
+def scanned(spark):
+    """60 keys of each kind, then tokens that are none; the ids in which the scan finds a key."""
     import random
 
     from mailgrain.llm.secrets import scan_secrets
 
-    rng = random.Random(length)
-    plain = some_tokens(rng)
-    keys = ["".join(rng.choices(alphabet, k=length)) for _ in range(60)]
-    rows = [(i, f"see {t} there") for i, t in enumerate(keys + plain)]
-    found = [r["doc_id"] for r in scan_secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).collect() if any(x["kind"] != "assign" for x in r["spans"])]
-    hits, false = sum(i < 60 for i in found), sum(i >= 60 and "deadbeef" not in rows[i][1] and "0000" not in rows[i][1] for i in found)
-    assert hits >= 54 and false <= max(0.05 * len(found), 3), (hits, false)
+    rng = random.Random(8)
+    keys = ["".join(rng.choices(a, k=n)) for a, n in KEYS for _ in range(60)]
+    rows = [(i, f"see {t} there") for i, t in enumerate(keys + some_tokens(rng))]
+    return {r["doc_id"] for r in scan_secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).collect() if r["spans"]}
+
+
+@pytest.mark.parametrize("at", range(len(KEYS)))
+def test_secret_recall_by_encoding(scanned, at):
+    assert sum(60 * at <= i < 60 * (at + 1) for i in scanned) >= 54, KEYS[at]
+
+
+def test_secret_false_discoveries(scanned):
+    assert sum(i >= 60 * len(KEYS) for i in scanned) <= 0.05 * len(scanned)
 
 
 def test_battery_against_plain_python(spark):
