@@ -21,7 +21,7 @@ from ..lineage import checkpointed
 from ..operators.components import components, links
 from ..operators.derive import involvement, touched, trailer_refs
 from ..operators.search import trigrams
-from ..operators.threads import thread_roots
+from ..operators.threads import newest_first, thread_roots
 
 KEY = ["message_id", "list"]
 SIDE = {
@@ -107,7 +107,7 @@ class Maintained:
         """message_id (of named ones as well), conversation."""
         return self._labels("conversations", self.generation() + 1).toDF("message_id", "conversation")
 
-    def conversation(self, m: DataFrame, message_id: str, limit: int = 1000) -> DataFrame:
+    def conversation(self, m: DataFrame, message_id: str, limit: int | None = 1000) -> DataFrame:
         """The newest ``limit`` messages that hang together with one, oldest first: a filter on the stored labels."""
         message_id = message_id.strip().strip("<>")
         label = self.conversation_ids().filter(F.col("message_id") == message_id).first()
@@ -116,8 +116,7 @@ class Maintained:
         else:
             ids = self.conversation_ids().filter(F.col("conversation") == label[1]).select("message_id")
             found = m.join(ids, "message_id", "left_semi")
-        newest = found.orderBy(F.desc_nulls_last("date_unix_ns"), "message_id", "list").limit(limit)
-        return newest.orderBy(F.asc_nulls_first("date_unix_ns"), "message_id", "list")
+        return newest_first(found, limit)
 
     # -- labels --------------------------------------------------------------------------------------------------------
 

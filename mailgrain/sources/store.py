@@ -40,9 +40,10 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
     """The row of the greatest run of each (message_id, list), with its run. Whether a key has another row of its run or a
     later one is found on the key columns and the row's place (file and row number) alone, and only what has is anti-joined:
     filters on other columns reach the scan, and bodies go through no shuffle unless the superseded rows are very many. A
-    run that was written twice counts once."""
+    run that was written twice counts once, as its first file has it."""
     m = spark.read.schema(T.StructType([*MESSAGES.fields, T.StructField(SEQUENCE, T.LongType())])).parquet(path)
-    at = F.struct(F.col(SEQUENCE), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    earlier = (-F.unix_micros("_metadata.file_modification_time")).alias("earlier")
+    at = F.struct(F.col(SEQUENCE), earlier, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     m = m.withColumn("_at", at)
     older = m.groupBy("message_id", "list").agg(F.max("_at").alias("_last"), F.count("*").alias("_n")).filter("_n > 1")
     found = m.join(older.drop("_n"), ["message_id", "list"], "left").filter("_last IS NULL OR _at = _last")
