@@ -93,6 +93,7 @@ class Tokenizers:
             p = self.b.id_to_piece(i)
             b.append(bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else b"" if self.b.is_control(i) or self.b.is_unknown(i) else p.replace("▁", " ").encode())
         self.a_bytes, self.b_bytes = Surfaces(a), Surfaces(b)
+        self.kind = np.dtype(np.uint16 if max(len(a), len(b)) <= 1 << 16 else np.uint32)
         # Ids as they are written: A's before another of its group and at its group's end, then B's.
         self.written = Surfaces([f"{i}{c}".encode() for n, last in ((len(a), "|"), (len(b), ";")) for c in ("," + last) for i in range(n)])
         self.forget()
@@ -239,24 +240,35 @@ def distinct_pairs(links: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def tokenize(docs: DataFrame, a_path: str, b_path: str, text: str = "text", a: str = "a_ids", b: str = "b_ids") -> DataFrame:
-    """All columns but the text, and both lists of ids; empty where a text has no tokens."""
+    """All columns but the text, and both lists of ids as packed numbers (:func:`packed`); empty where a text has no tokens."""
     model = docs.sparkSession.sparkContext.broadcast(load(a_path, b_path))
     number = hashlib.sha256(model.value["a"] + model.value["b"]).hexdigest()
     kept = [f for f in docs.schema.fields if f.name != text]
-    schema = T.StructType([*kept, T.StructField(a, T.ArrayType(T.IntegerType())), T.StructField(b, T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*kept, T.StructField(a, T.BinaryType()), T.StructField(b, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in slices(whole, text, CHARACTERS):
-                found = tokenizers_of(model.value, number).encode(part.column(text))
-                columns = [pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids)) for ids, off in found]
+                t = tokenizers_of(model.value, number)
+                columns = [packed(ids, off, t.kind) for ids, off in t.encode(part.column(text))]
                 yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], *columns], schema.fieldNames())
 
     return docs.mapInArrow(run, schema)
 
 
-def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    return column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())]).astype(np.int64)
+def packed(ids: np.ndarray, off: np.ndarray, kind: np.dtype) -> pa.Array:
+    """Lists of ids as bytes, two or four an id: what a task is handed at once is half as large as lists of integers."""
+    buffers = [None, pa.py_buffer((off * kind.itemsize).astype(np.int32)), pa.py_buffer(ids.astype(kind))]
+    return pa.Array.from_buffers(pa.binary(), len(off) - 1, buffers)
+
+
+def unpacked(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """All ids, and the lists' offsets in them."""
+    column = column.cast(pa.large_binary())
+    off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] // kind.itemsize
+    data = column.buffers()[2]
+    ids = np.frombuffer(data, kind)[off[0] : off[-1]] if data is not None and off[-1] > off[0] else np.zeros(0, kind)
+    return ids.astype(np.int32), off - off[0]
 
 
 def align(
@@ -274,8 +286,9 @@ def align(
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Aligned]]:
         for whole in batches:
-            for part in slices(whole, a, TOKENS):
-                yield part, Aligned(*flat(part.column(a)), *flat(part.column(b)), tokenizers_of(model.value, number))
+            t = tokenizers_of(model.value, number)
+            for part in slices(whole, a, TOKENS * t.kind.itemsize):
+                yield part, Aligned(*unpacked(part.column(a), t.kind), *unpacked(part.column(b), t.kind), t)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, x in aligned(batches):
