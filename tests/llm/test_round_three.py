@@ -301,8 +301,8 @@ def test_pipeline_keeps_clashing_columns(spark, tmp_path):
 
 # -- op4 ---------------------------------------------------------------------------------------------------------------
 
-HEX, CAPITALS, SMALL, DIGITS = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
-KEYS = [(HEX, 24), (HEX, 31), (HEX.upper(), 40), (HEX.upper(), 64), (CAPITALS + "234567", 32), (SMALL + DIGITS, 32), (SMALL + DIGITS, 40), (CAPITALS + SMALL + DIGITS + "+/", 24), (CAPITALS + SMALL + DIGITS + "+/", 40)]
+HEX, CAPITALS, LETTERS, DIGITS = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+KEYS = [(HEX, 24), (HEX, 31), (HEX.upper(), 40), (HEX.upper(), 64), (CAPITALS + "234567", 32), (LETTERS + DIGITS, 32), (LETTERS + DIGITS, 40), (CAPITALS + LETTERS + DIGITS + "+/", 24), (CAPITALS + LETTERS + DIGITS + "+/", 40)]
 
 
 def plain_battery(token):
@@ -313,7 +313,7 @@ def plain_battery(token):
     if all(c in HEX + HEX.upper() for c in bare):
         bare, name = bare.lower(), "hex"
     else:
-        name = "base32" if all(c in CAPITALS + "234567" for c in bare) else "alnum" if all(c in DIGITS + SMALL for c in bare) else "base64"
+        name = "base32" if all(c in CAPITALS + "234567" for c in bare) else "alnum" if all(c in DIGITS + LETTERS for c in bare) else "base64"
     alphabet, n, k = S.ALPHABETS[name], len(bare), len(S.ALPHABETS[name])
     x = [alphabet.index(c) for c in bare]
     raw = sum(v * v for v in Counter(x).values()) * k / n - n
