@@ -36,12 +36,12 @@ from .pieces import ragged
 from .shingles import pieces as slices
 
 #: Characters of text, and tokens, that a worker handles at once.
-CHARACTERS, TOKENS = 1 << 19, 1 << 17
+CHARACTERS, TOKENS = 1 << 20, 1 << 18
 #: Pairs of ids that a task may hold with their counts: 17 bytes each.
 MAX_TABLE_PAIRS = 2_000_000
 SALTS = 32
 #: Parts whose ids a worker keeps, and parts encoded at once: a library's result takes a thousand bytes for each.
-KNOWN_PARTS, ENCODED = 200_000, 4096
+KNOWN_PARTS, ENCODED = 300_000, 4096
 SHIFT = 32
 
 
