@@ -594,6 +594,34 @@ def test_passages_recall(spark):
     assert set(want) <= set(got) and missed <= 0.001 * sum(map(len, want.values()))
 
 
+@pytest.mark.parametrize(
+    ("n", "rate", "edits"), [(60, 0.06, "r"), (60, 0.1, "r"), (60, 0.15, "r"), (120, 0.15, "r"), (60, 0.1, "rid"), (60, 0.15, "rid")]
+)
+def test_fuzzy_passages_recall(spark, n, rate, edits):
+    """Planted pairs with words replaced (r), put in (i) and left out (d) at random: of those that agree in 0.8 of their words
+    nine tenths or more are found, and no other pair."""
+    import random
+
+    import numpy as np
+
+    from mailgrain.llm.passages import edit_matches, find_passages
+
+    rng = random.Random(n * rate)
+    fresh = lambda k: [f"u{rng.randrange(10**9)}" for _ in range(k)]
+    rows, planted = [], set()
+    for i in range(200):
+        one, two = fresh(n), []
+        for w in one:
+            edit = rng.choice(edits) if rng.random() < rate else None
+            two += {None: [w], "r": fresh(1), "i": [w, *fresh(1)], "d": []}[edit]
+        if edit_matches(np.array(one), np.array(two)) >= 0.8 * max(len(one), len(two)):
+            planted.add(i)
+        rows += [(2 * i, " ".join(fresh(80) + one + fresh(80))), (2 * i + 1, " ".join(fresh(80) + two + fresh(80)))]
+    got = find_passages(spark.createDataFrame(rows, "doc_id bigint, text string"), within=False).collect()
+    assert all(r["doc_id"] // 2 == r["ref_doc_id"] // 2 and r["identity"] >= 0.8 and r["n_words"] >= 50 for r in got)
+    assert len(planted & {r["doc_id"] // 2 for r in got}) >= 0.9 * len(planted)
+
+
 def test_redact_leaves_nothing_of_a_span(spark):
     """Nested and overlapping spans, more of them than any window: what is outside all spans stays, and nothing else."""
     import random
