@@ -171,6 +171,20 @@ def stood_for(near: np.ndarray, role: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate([member, rep[main][x]]), np.concatenate([other, rep[main][y]]), np.setdiff1d(np.arange(len(role)), member)
 
 
+def joined_parts(near: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """near: members x others, of which ``rep`` are the places among the members. What hangs together through these, as one
+    link of each to the least of the others there: so a task's links are as many as its members at most."""
+    a, b = np.nonzero(near)
+    n = len(near)
+    own = np.arange(len(rep))
+    label = spread(np.concatenate([n + b, n + own]), np.concatenate([a, rep]), n + len(rep))
+    root = np.full(n + len(rep), n + len(rep))
+    np.minimum.at(root, label[n:], own)
+    root = root[label[:n]]
+    member = np.flatnonzero(root < len(rep))
+    return member, rep[root[member]]
+
+
 FOUND = "a bigint, b bigint, left bigint, region bigint"
 
 
@@ -206,8 +220,7 @@ def near_representatives(least: float, rest: bool):
                 rep = np.flatnonzero(role[own] == 1)
                 near = np.stack([(low[own] == low[lo + r]).sum(axis=1) >= least for r in rep], axis=1) if len(rep) else np.zeros((hi - lo, 0), bool)
                 if rest:
-                    a, b, out = *np.nonzero(near), []
-                    b = rep[b]
+                    a, b, out = *joined_parts(near, rep), []
                 else:
                     a, b, out = stood_for(near, role[own])
                 links.append(c[own][a])
@@ -361,8 +374,7 @@ def confirmed(similarity: int, mode: str):
                     for k, r in enumerate(rep):
                         near[linked_sets(similarity, sets, r, np.arange(len(c))), k] = True
                     if mode == "rest":
-                        a, b = np.nonzero(near)
-                        b = rep[b]
+                        a, b = joined_parts(near, rep)
                     else:
                         a, b, out = stood_for(near, role)
                 links.append(c[a] if len(a) else c[:0])

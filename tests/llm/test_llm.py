@@ -669,6 +669,32 @@ def test_large_group_of_near_copies(spark):
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in find_near_duplicates(d, **options).collect()} == want
 
 
+def test_links_of_hot_groups_grow_with_the_rows(spark):
+    """Three groups of near copies in one region, three quarters of whose words are the same: twice the rows, about twice the
+    links at most."""
+    import random
+
+    from mailgrain.llm import near_dedup
+    from mailgrain.llm.common import Scratch
+
+    rng = random.Random(9)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    common = fresh(150)
+    bases = [common + fresh(50) for _ in range(3)]
+    counts = []
+    for n in (400, 800):
+        rows = []
+        for i in range(n):
+            w = list(bases[(0, 0, 0, 1, 1, 2)[i % 6]])
+            w[rng.randrange(200)] = f"x{i}"
+            rows.append((i, " ".join(w)))
+        scratch = Scratch(spark)
+        sig = near_dedup.signatures(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text")
+        classes = scratch.write(sig.selectExpr("monotonically_increasing_id() AS c", "n", "slots", "low"), "classes")
+        counts.append(near_dedup.candidate_links(classes, 32, 4, 0.7, scratch).count())
+    assert counts[1] <= 2.2 * counts[0]
+
+
 def test_forest_recall():
     """The share of pairs at the threshold that the forest's regions bring together, at first and at full depth."""
     import numpy as np
