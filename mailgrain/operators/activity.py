@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import email_of, items, quarter_label
-from ..lineage import checkpointed
+from ..lineage import written
 from ..schema import PEOPLE
 from .predicates import contains_ci, top, windowed
 
@@ -51,16 +51,16 @@ def timeline_events(m: DataFrame, path: str, order: str = "desc", limit: int = 1
     return file_activity(m, path, None, since_ns, until_ns, list_name).orderBy(by, "message_id", "list").limit(limit)
 
 
-def churn(m: DataFrame, since_ns=None, until_ns=None, list_name=None, prefix: str | None = None, limit: int = 20) -> DataFrame:
+def churn(m: DataFrame, since_ns=None, until_ns=None, list_name=None, prefix: str | None = None, limit: int = 20, parts: int | None = None) -> DataFrame:
     """The most patched files: path, patches, authors, first_ns, last_ns, some_authors (five, alphabetical). Paths are
     exploded once into counts by path and author, which are written; both results read these. A message has one author, so
-    patches add up."""
+    patches add up. ``parts``: how many tasks share the counts, nearly as many as touched files."""
     rows = windowed(m, since_ns, until_ns, list_name).select("message_id", "from_addr", "date_unix_ns", F.explode("touched_files").alias("path"))
     rows = rows.filter(F.col("path").startswith(prefix)) if prefix else rows
-    pairs = rows.groupBy("path", "from_addr").agg(
-        F.countDistinct("message_id").alias("n"), F.min("date_unix_ns").alias("first_ns"), F.max("date_unix_ns").alias("last_ns")
-    )
-    pairs = checkpointed(pairs)
+    once = rows.groupBy("path", "from_addr", "message_id").agg(F.min("date_unix_ns").alias("first_ns"), F.max("date_unix_ns").alias("last_ns"))
+    once = once.repartition(parts, "path", "from_addr") if parts else once
+    pairs = once.groupBy("path", "from_addr").agg(F.count("message_id").alias("n"), F.min("first_ns").alias("first_ns"), F.max("last_ns").alias("last_ns"))
+    pairs = written(pairs, "churn")
     found = pairs.groupBy("path").agg(
         F.sum("n").alias("patches"), F.count("from_addr").alias("authors"), F.min("first_ns").alias("first_ns"), F.max("last_ns").alias("last_ns")
     ).orderBy(F.desc("patches"), F.desc("authors"), "path").limit(limit)

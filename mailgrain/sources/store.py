@@ -113,12 +113,14 @@ SIDE_TABLES = {
 }
 
 
-def write_side_tables(m: DataFrame, path: str, names: tuple[str, ...] = tuple(SIDE_TABLES)) -> None:
+def write_side_tables(m: DataFrame, path: str, names: tuple[str, ...] = tuple(SIDE_TABLES), parts: int | None = None) -> None:
     """The derived tables, each dealt out and sorted by its key, so a lookup reads few row groups. Written anew from the
-    messages as they are read now: rows of replaced messages leave nothing behind."""
+    messages as they are read now: rows of replaced messages leave nothing behind. ``parts``: how many tasks sort a table."""
     for name in names:
         make, key = SIDE_TABLES[name]
-        make(m).repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(f"{path}/{name}", compression="zstd")
+        rows = make(m)
+        ranged = rows.repartitionByRange(parts, key) if parts else rows.repartitionByRange(key)
+        ranged.sortWithinPartitions(key).write.mode("overwrite").parquet(f"{path}/{name}", compression="zstd")
 
 
 def side_table(spark: SparkSession, path: str, name: str) -> DataFrame:
