@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import items
-from ..lineage import checkpointed
+from ..lineage import checkpointed, written
 from ..operators.components import components, links
 from ..operators.derive import involvement, touched, trailer_refs
 from ..operators.search import trigrams
@@ -75,14 +75,15 @@ class Maintained:
     def apply(self, changed: DataFrame, run: int, only: tuple[str, ...] | None = None) -> None:
         """``changed``: the rows, as they are now, of each key that is new or replaced. Runs come in order; a run that was
         applied before is done again. ``only`` names the tiers to do."""
-        changed = checkpointed(changed)
+        changed = written(changed, "changed")
+        by_id = changed.repartition("message_id")  # what is distinct with it is shuffled no more
         keys = changed.select(*KEY).distinct()
         known = self._read("keys", "message_id string, list string", run)
         self._write(known.select(*KEY).distinct().join(keys, KEY, "left_semi"), "dead", run)
         self._write(keys, "keys", run)
         for tier in only or self.tiers:
             if tier in SIDE:
-                rows = SIDE[tier](changed)
+                rows = SIDE[tier](by_id)
                 self._write(rows.repartitionByRange(SORTED_BY[tier]).sortWithinPartitions(SORTED_BY[tier]), tier, run)
             else:
                 getattr(self, f"_{tier}")(changed, run)
