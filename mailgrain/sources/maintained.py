@@ -116,7 +116,7 @@ class Maintained:
             found = m.filter(F.col("message_id") == message_id)
         else:
             ids = self.conversation_ids().filter(F.col("conversation") == label[1]).select("message_id")
-            found = m.join(ids, "message_id", "left_semi")
+            found = m.join(ids.hint("merge"), "message_id", "left_semi")  # a conversation may hold most messages
         return newest_first(found, limit)
 
     # -- labels --------------------------------------------------------------------------------------------------------
@@ -125,11 +125,11 @@ class Maintained:
         """node, label: the newest label of each, through the newest merge of a later run."""
         own = self._read(f"{tier}_labels", "node string, label string", before)
         if nodes is not None:
-            own = own.join(nodes, "node", "left_semi")
+            own = own.join(nodes.hint("merge"), "node", "left_semi")  # labels and merges are too many to broadcast
         own = own.groupBy("node").agg(F.max(F.struct("run", "label")).alias("x")).select("node", "x.*")
         merged = self._read(f"{tier}_merges", "old string, new string", before)
         merged = merged.groupBy(F.col("old").alias("label")).agg(F.max(F.struct(F.col("run").alias("then"), "new")).alias("x")).select("label", "x.*")
-        return own.join(merged, "label", "left").select("node", F.when(F.col("then") > F.col("run"), F.col("new")).otherwise(F.col("label")).alias("label"))
+        return own.join(merged.hint("merge"), "label", "left").select("node", F.when(F.col("then") > F.col("run"), F.col("new")).otherwise(F.col("label")).alias("label"))
 
     def _members(self, tier: str, before: int, labels: DataFrame) -> DataFrame:
         """node, label of all nodes with one of these labels now: those that were given it, or one merged into it."""
@@ -228,12 +228,12 @@ class Maintained:
         # Edges between labels: a node that has none stands for itself.
         named = own.select(F.col("message_id").alias("a"), "b").distinct()
         for side in ("a", "b"):
-            named = named.join(there.toDF(side, f"{side}_label"), side, "left").withColumn(f"{side}_label", F.coalesce(f"{side}_label", side))
+            named = named.join(there.toDF(side, f"{side}_label").hint("merge"), side, "left").withColumn(f"{side}_label", F.coalesce(f"{side}_label", side))
         edges = named.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).filter("a != b").distinct()
         found = checkpointed(components(checkpointed(edges)))
-        fresh = ends.join(there.select("node"), "node", "left_anti")
-        labels = checkpointed(fresh.join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
-        merges = checkpointed(found.join(fresh, "node", "left_anti").toDF("old", "new"))
+        fresh = ends.join(there.select("node").hint("merge"), "node", "left_anti")
+        labels = checkpointed(fresh.join(found.hint("merge"), "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+        merges = checkpointed(found.join(fresh.hint("merge"), "node", "left_anti").toDF("old", "new"))
         self._save("conversations", run, labels, merges)
         if gone.isEmpty():
             return
