@@ -573,6 +573,41 @@ def test_passage_of_very_many(spark):
     assert len(seen) == 300 and sum(map(len, near.values())) < 300 * 40  # all hang together, without all pairs
 
 
+@pytest.mark.parametrize("block", [8192, 16])
+def test_passages_around_a_common_line(spark, monkeypatch, block):
+    """Pairs whose only seed is in a line that all texts have: each pair is found, whatever texts lie between, and so are
+    near copies of one passage, by one class."""
+    import random
+
+    from mailgrain.llm import passages as P
+
+    monkeypatch.setattr(P, "BLOCK", block)
+    rng = random.Random(12)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    line = fresh(20)
+
+    def edited(w):  # no five words in a row outside of the line
+        return [x if i % 5 != 4 else fresh(1)[0] for i, x in enumerate(w)]
+
+    rows = {}
+    for i in range(30):
+        left, right = fresh(20), fresh(20)
+        rows[2 * i] = fresh(40) + left + line + right + fresh(40)
+        rows[2 * i + 1] = fresh(30) + edited(left) + line + edited(right) + fresh(50)
+    rows |= {100 + i: fresh(60) + line + fresh(60) for i in range(40)}
+    left, right = fresh(20), fresh(20)
+    for i in range(30):
+        a, b = list(left), list(right)
+        a[rng.randrange(5) + 10], b[rng.randrange(5) + 5] = fresh(2)
+        rows[200 + i] = fresh(30) + a + line + b + fresh(30)
+    d = spark.createDataFrame([(k, " ".join(w)) for k, w in rows.items()], "doc_id bigint, text string").repartition(3)
+    got = P.with_classes(P.find_passages(d, within=False)).collect()
+    pairs = {(r["doc_id"], r["ref_doc_id"]) for r in got}
+    assert {(2 * i, 2 * i + 1) for i in range(30)} <= pairs and all(a // 2 == b // 2 or min(a, b) >= 200 for a, b in pairs)
+    classes = {r["doc_id"]: r["class_id"] for r in got}
+    assert classes == {**{i: i - i % 2 for i in range(60)}, **{200 + i: 200 for i in range(30)}}
+
+
 def test_passages_recall(spark):
     """Exact passages against brute force on the larger table: every document, and all words but for a few."""
     from mailgrain.llm.passages import find_passages
