@@ -52,6 +52,20 @@ def test_blocks_are_skipped(spark, tmp_path):
     assert seen[0] + seen[1] <= 4  # of 100
 
 
+def test_words_are_not_shuffled(spark, docs, tmp_path, monkeypatch):
+    """A task makes its own blocks: a range has one row for a term, and a range's words are bounded too."""
+    import mailgrain.operators.postings as M
+
+    monkeypatch.setattr(M, "RANGE_WORDS", 100)
+    for name, per_range in (("a", 4096), ("b", 7)):
+        write_postings(docs, f"{tmp_path}/{name}", "id", ("body", "subject"), per_range)
+        p = Postings(spark, f"{tmp_path}/{name}")
+        ranges = p.blocks.groupBy("range", "field").agg(F.sum(F.aggregate("tf", F.lit(0), lambda a, x: a + x)).alias("words"))
+        assert ranges.agg(F.max("words")).first()[0] <= 100 and p.blocks.agg(F.max("n")).first()[0] <= per_range
+        assert p.blocks.groupBy("range", "field", "term").count().filter("count > 1").isEmpty() and p.documents.select("doc").distinct().count() == 600
+        assert rows_of(p.top("c0 c1 r7", 10)) == rows_of(S.top_scored(S.bm25(docs, "c0 c1 r7", "id", ("body", "subject"), "or"), 10, "id"))
+
+
 def test_least_distances():
     rng = random.Random(1)
     for _ in range(300):
