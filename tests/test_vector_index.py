@@ -88,6 +88,15 @@ def test_empty_index(spark, tmp_path):
     assert VI.Index(spark, str(tmp_path)).search([1.0, 2.0, 3.0], exact=True).collect() == []
 
 
+def test_few_vectors_meet_all_centroids_at_once():
+    """A task's products have AT_ONCE rows at most, whatever an Arrow batch holds."""
+    import pyarrow as pa
+
+    b = pa.record_batch({"x": list(range(10_000))})
+    parts = list(VI.sliced(iter([b, b.slice(0, 5)])))
+    assert max(p.num_rows for p in parts) == VI.AT_ONCE and sum((p.column(0).to_pylist() for p in parts), []) == [*range(10_000), *range(5)]
+
+
 def test_free_text(spark, tmp_path):
     texts = ["mount option parsing fails", "network driver timeout", "parsing of mount options", None, ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "message_id int, text string")
