@@ -608,6 +608,49 @@ def test_passages_around_a_common_line(spark, monkeypatch, block):
     assert classes == {**{i: i - i % 2 for i in range(60)}, **{200 + i: 200 for i in range(30)}}
 
 
+def test_passages_of_repeated_words(monkeypatch):
+    """Texts that repeat a word many times: the same texts are joined as by aligning all pairs of places, with few alignments."""
+    import numpy as np
+    import pyarrow as pa
+
+    from mailgrain.llm import passages as P
+
+    def joined(pairs):
+        part = list(range(len(texts)))
+        for i, j in pairs:
+            part = [part[i] if x == part[j] else x for x in part]
+        return [part.index(x) for x in part]
+
+    for word in ([1], [1, 2]):
+        run = lambda n: (word * n)[:n]
+        texts = [[7] * 21 + run(14) + [8] * 21, [7] * 21 + run(20) + [8] * 21]  # a passage of both
+        texts += [[9] * 30 + run(41) + [10] * 9, [11] * 9 + run(44) + [12] * 20, run(47) + [9] * 9]
+        rows = []
+        for u, t in enumerate(texts):
+            for p in range(len(t) - 4):
+                if t[p : p + 5] == run(5):
+                    lo = max(p - 65, 0)
+                    rows.append((u, p, p - lo, np.array(t[lo : p + 70], np.uint16).tobytes()))
+        u, pos, at, words = map(list, zip(*rows, strict=True))
+        fixed = {c: pa.array([0] * len(u), k) for c, k in (("class", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("key", pa.int64()), ("part", pa.int32()))}
+        batch = pa.RecordBatch.from_pydict({**fixed, "u": u, "pos": pos, "label": u, "at": at, "words": words})
+        calls, plain = [], P.passage
+        monkeypatch.setattr(P, "passage", lambda *x: calls.append(1) or plain(*x))
+        got = [(i, j) for b in P.compared(50, 0.8)(iter([batch])) for i, j in zip(b["u"].to_pylist(), b["ru"].to_pylist(), strict=True)]
+        monkeypatch.setattr(P, "passage", plain)
+        cut = [np.frombuffer(w, np.uint16) for w in words]
+        one = np.array([5])
+        want, tried = [], 0
+        for i in range(len(u)):
+            for j in range(i + 1, len(u)):
+                if u[i] != u[j] and (u[i], u[j]) not in want:
+                    tried += 1
+                    if plain(cut[i], cut[j], np.array([at[i]]), np.array([at[j]]), one, 50, 0.8):
+                        want.append((u[i], u[j]))
+        assert joined(got) == joined(want) and want
+        assert len(calls) * 20 < tried
+
+
 def test_passages_recall(spark):
     """Exact passages against brute force on the larger table: every document, and all words but for a few."""
     from mailgrain.llm.passages import find_passages
