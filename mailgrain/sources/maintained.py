@@ -42,9 +42,14 @@ class Maintained:
 
     # -- runs ----------------------------------------------------------------------------------------------------------
 
-    def _exists(self, name: str) -> bool:
+    def _at(self, name: str):
+        """A path and its file system."""
         at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _exists(self, name: str) -> bool:
+        at, files = self._at(name)
+        return files.exists(at)
 
     def _write(self, df: DataFrame, name: str, run: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/{name}/run={run}", compression="zstd")
@@ -56,14 +61,16 @@ class Maintained:
         return self.spark.read.schema(f"{schema}, run bigint").parquet(f"{self.path}/{name}").filter(F.col("run") < before)
 
     def _mark(self, tier: str, run: int) -> None:
-        self._write(self.spark.createDataFrame([(tier,)], "tier string").coalesce(1), f"markers/{tier}", run)
+        at, files = self._at(f"markers/{tier}/run={run}")
+        files.create(at, True).close()
 
     def generations(self) -> dict[str, int]:
         """The newest run of each tier."""
         out = {}
         for t in self.tiers:
-            n = self.spark.read.parquet(f"{self.path}/markers/{t}").agg(F.max("run")).first()[0] if self._exists(f"markers/{t}") else None
-            out[t] = -1 if n is None else int(n)
+            at, files = self._at(f"markers/{t}")
+            runs = [int(x.getPath().getName().removeprefix("run=")) for x in (files.listStatus(at) if files.exists(at) else [])]
+            out[t] = max(runs, default=-1)
         return out
 
     def generation(self) -> int:
@@ -83,8 +90,8 @@ class Maintained:
         self._write(keys, "keys", run)
         for tier in only or self.tiers:
             if tier in SIDE:
-                rows = SIDE[tier](by_id)
-                self._write(rows.repartitionByRange(SORTED_BY[tier]).sortWithinPartitions(SORTED_BY[tier]), tier, run)
+                # Sorted where they are: ranges over all rows would make each row twice, for their sample, and shuffle it.
+                self._write(SIDE[tier](by_id).sortWithinPartitions(SORTED_BY[tier]), tier, run)
             else:
                 getattr(self, f"_{tier}")(changed, run)
             self._mark(tier, run)
